@@ -4,17 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parallax.llm import langid, quality
 from parallax.llm.common import table
 from parallax.llm.packing import pack
 
 
+def fold(folds: int) -> Column:
+    """The fold of a row: crc32 of doc_id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(fold(3) != 1).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold(4) != 2)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
