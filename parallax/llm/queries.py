@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import langid, quality
+from parallax.llm import chat, fingerprint, langid, quality, urlfilter
 from parallax.llm.common import table
 from parallax.llm.packing import pack
 
@@ -17,6 +17,15 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(own)
+    records = rows.select(F.col("conv_id").alias("record_id"), F.col("turn").alias("at"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("body"))
+    return chat.digests(chat.format_chats(chat.canonical(records)))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(fold(3) != 1).select("doc_id", "text", "lang"))
@@ -30,6 +39,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold(4) != 2)
@@ -47,9 +65,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
     "op3_language": op3_language,
+    "op4_fingerprint": op4_fingerprint,
+    "op6_urls": op6_urls,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = r"""
+WITH rules(host, path, block) AS (
+    VALUES ('com', '/en/', true), ('example.com', '/en/7', false), ('net', '/de/', false), ('example.net', '/de/8', true), ('org', '/es/', true)
+), urls AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages
+), won AS (
+    SELECT u.page_id, u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.block, length(r.host || r.path)) AS block
+    FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+    GROUP BY u.page_id, u.host, u.path
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IS NOT NULL THEN CASE WHEN block THEN 'block' ELSE 'allow' END
+    WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(spam[^A-Za-z0-9]farm|cheap[^A-Za-z0-9]pills|casino|viagra|porn|xxx|free[^A-Za-z0-9]download|malware|phishing|adult[^A-Za-z0-9]cams)($|[^A-Za-z0-9])', 's') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM won
+"""
+
+ORACLES: dict[str, str] = {"op6_urls": OP6_SQL}
