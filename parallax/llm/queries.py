@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import chat, fingerprint, langid, quality, urlfilter
+from parallax.llm import chat, fingerprint, langid, minhash, quality, urlfilter
 from parallax.llm.common import table
 from parallax.llm.packing import pack
 
@@ -17,6 +17,10 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.assign(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     said = "</s>[INST] ok [/INST]"
@@ -65,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_chat": op2_chat,
     "op3_language": op3_language,
     "op4_fingerprint": op4_fingerprint,
