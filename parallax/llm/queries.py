@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import chat, fingerprint, langid, minhash, quality, urlfilter
+from parallax.llm import chat, fingerprint, langid, minhash, pii, quality, urlfilter
 from parallax.llm.common import table
 from parallax.llm.packing import pack
 
@@ -52,6 +52,18 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    counts = [F.size(F.filter("pii_base", lambda s: s["ord"] == k)).cast("long") for k in range(len(pii.BASE))]
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{kind}") for n, kind in zip(counts, pii.BASE, strict=True)],
+        F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold(4) != 2)
@@ -74,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_fingerprint": op4_fingerprint,
     "op6_urls": op6_urls,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
