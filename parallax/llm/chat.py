@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.session import workers_see_package
+from parallax.llm.common import ready
+
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: What starts or ends turns in this and other templates.
@@ -102,7 +103,7 @@ def canonical(records: DataFrame, mappings: dict[str, Layout] | None = None) ->
     that nothing is lost unseen; the caller sets them apart. Null values count as absent texts ("").
     """
     known = MAPPINGS if mappings is None else mappings
-    workers_see_package(records.sparkSession)
+    ready(records.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple, Layout | None] = {}

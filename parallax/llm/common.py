@@ -17,8 +17,20 @@ MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 
 
+#: Bytes and rows of texts handed to a Python worker at a time; the JVM holds as much outside its heap.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 4000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Workers import the package, and get batches of bounded bytes, however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return workers_see_package(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return workers_see_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty
-from parallax.session import workers_see_package
+from parallax.llm.common import null_to_empty, ready
 
 BINS = 128
 SHIFT = np.uint64(57)
@@ -115,7 +114,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
     lead_to = F.create_map(*[F.lit(x) for k, r in before.items() for x in (int(k), r)]) if before else F.create_map(F.lit(0), F.lit(0))
     wide = keyed.withColumn("_range", own("_key")).withColumn("_to", F.array_compact(F.array("_range", F.try_element_at(lead_to, F.col("_key")))))
-    workers_see_package(spark)
+    ready(spark)
     spread = wide.select("doc_id", "text", "_key", F.posexplode("_to").alias("_ahead", "_range"))
     return spread.repartition("_range").sortWithinPartitions(F.col("_range"), F.col("_ahead"), F.col("_key").desc(), F.col("text"))
 

@@ -25,8 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty
-from parallax.session import workers_see_package
+from parallax.llm.common import null_to_empty, ready
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -190,7 +189,7 @@ def fit(sample: list[tuple[str, list[int]]], epochs: int = 4, rate: float = 4.0,
 
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
-    workers_see_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return fit(labelled_sample(docs, max_rows))
 
 
@@ -201,7 +200,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     any learned language all are ``und``. All other columns and repeated rows stay as they are; columns
     with the names of the new ones are replaced.
     """
-    spark = workers_see_package(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     new = ("lang_pred", "lang_score", "lang_rejected")
     docs = docs.drop(*new)
     shared = spark.sparkContext.broadcast(model)

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import forget, mix64, stored
-from parallax.session import workers_see_package
+from parallax.llm.common import forget, mix64, ready, stored
+
 
 WORDS = 5
 SIMILAR = 75
@@ -344,7 +344,7 @@ def assign(docs: DataFrame) -> DataFrame:
     whose links are those of any of its texts. Rows with a null doc_id are not compared: their
     component is null and they are kept. An empty table gives no rows.
     """
-    workers_see_package(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     every = stored(signed(known), "signatures")

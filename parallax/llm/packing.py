@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty
-from parallax.session import workers_see_package
+from parallax.llm.common import null_to_empty, ready
 
 CAPACITY = 2048
 SMALLEST_HALF = 128
@@ -149,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     path = tokenizer or default_tokenizer()
-    workers_see_package(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)

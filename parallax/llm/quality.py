@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import hashed_share, null_to_empty, sum_blocks
-from parallax.session import workers_see_package
+from parallax.llm.common import hashed_share, null_to_empty, ready, sum_blocks
 
 BUCKETS = 1 << 15
 WIDTH = 64
@@ -86,7 +85,7 @@ class WordVectors:
 
 def word_vectors(docs: DataFrame) -> WordVectors:
     """Random indexing and document frequencies over all rows; 8 MB, whatever the input."""
-    spark = workers_see_package(docs.sparkSession)
+    spark = ready(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets, (at, signs) = Buckets(), spikes()
@@ -211,7 +210,7 @@ def fit(vectors: WordVectors, x: np.ndarray, y: np.ndarray, epochs: int = 60, se
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``docs`` with quality_score, read from ``text`` alone. Null texts score as empty ones. Other columns
     and repeated rows stay; a column quality_score is replaced. Without labelled rows all score 0.5."""
-    spark = workers_see_package(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     docs = docs.drop("quality_score")
     shared = spark.sparkContext.broadcast(model)
 
