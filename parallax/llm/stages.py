@@ -1,11 +1,47 @@
-"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+``docs`` has the columns of documents; all stages but the last return these columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parallax.llm import decontaminate, langid, minhash, pii
+from parallax.llm.common import ready, table
 from parallax.llm.packing import pack
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from rows with a language; rejected documents go, ``lang`` is what was predicted."""
+    ready(spark)
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model).filter(~F.col("lang_rejected"))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays."""
+    ready(spark)
+    return minhash.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kinds; ``n_chars`` follows. All documents stay."""
+    ready(spark)
+    found = pii.find(docs, pii.train(docs))
+    some = F.size("pii_spans") > 0
+    found = found.withColumn("text", F.when(some, pii.redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return pack(docs)
