@@ -32,10 +32,18 @@ OVERSAMPLE = 16
 WINDOW = 48
 SHORT_WINDOW = 12
 COSINE = 0.45
-#: Least share of a window's energy in the benchmark's words: a quarter of the window is a short item.
-ENERGY = 0.12
+#: Least share of a window's energy in the benchmark's words.
+ENERGY = 0.15
+#: Documents that are taken to exist beside the input, so that words of a few documents are not common.
+PRIOR = 20
+#: Words with a lower idf, in more than about three of five documents, have no part in latent vectors.
+COMMON = 1.0
+#: Words are searched in runs of about so many.
+CHUNK = 1 << 18
 SURE, LIKELY = 0.7, 0.5
 ANSWER_WORDS = 6
+#: Slots of the table of items' words, by which words are told apart that share a bucket.
+SLOTS = 1 << 22
 #: Items searched at a time; a larger benchmark is searched in blocks.
 BLOCK_ITEMS = 20_000
 BLOCK = 1024
@@ -50,6 +58,10 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """idf by bucket, from all rows of ``docs`` (text); a quarter of a megabyte, whatever the input."""
     spark = ready(docs.sparkSession)
@@ -68,7 +80,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     if not sums:
         return np.ones(BUCKETS, np.float32)
     seen = np.concatenate([sums[i] for i in range(len(sums))])
-    return np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])).astype(np.float32) + np.float32(0.1)
+    return np.log1p((seen[BUCKETS] + PRIOR) / (seen[:BUCKETS] + 0.5)).astype(np.float32)
 
 
 def passages(hashes: np.ndarray) -> list[np.ndarray]:
@@ -83,9 +95,11 @@ def weighed(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Latent:
-    """A block of items in latent space. ``basis`` has a row for each bucket with items' words, ``row`` finds it."""
+    """A block of items in latent space. ``basis`` has a row for each bucket with items' words, ``row`` finds it;
+    ``known`` flags the slots of items' words."""
 
     idf: np.ndarray
+    known: np.ndarray
     row: np.ndarray
     basis: np.ndarray
     passages: np.ndarray
@@ -94,43 +108,65 @@ class Latent:
     items: list[tuple[int, np.ndarray]]
     masks: dict[int, dict[int, int]] = field(default_factory=dict)
 
-    def search(self, text: str) -> list[tuple[int, float, float, bool]]:
-        """(item_id, cosine, shared part of the item, whether its answer is there) of the items in a text."""
-        hashes = words(text)
-        best: dict[int, tuple[float, int, int]] = {}
-        for size, wanted in ((WINDOW, ~self.short), (SHORT_WINDOW, self.short)):
-            if len(hashes) and wanted.any():
-                self.near(hashes, size, wanted, best)
-        found = []
-        for at, (cosine, start, end) in sorted(best.items()):
-            item_id, item = self.items[at]
-            region = hashes[max(0, start - len(item)) : end + len(item)]
-            shared = self.common(at, region) / len(item)
-            if shared >= LIKELY:
-                answer = item[-min(ANSWER_WORDS, len(item)) :]
-                there = contains(region, answer)
-                if shared >= SURE or there:
-                    found.append((item_id, cosine, shared, there))
-        return found
-
-    def near(self, hashes: np.ndarray, size: int, wanted: np.ndarray, best: dict) -> None:
-        n = len(hashes)
+    def search(self, texts: list[str]) -> list[list[tuple[int, float, float, bool]]]:
+        """(item_id, cosine, shared part of the item, whether its answer is there) of the items in each text."""
+        hashed = [words(t) for t in texts]
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        first, held = 0, 0
+        for i, h in enumerate(hashed):
+            held += len(h)
+            if held >= CHUNK or i == len(hashed) - 1:
+                for size, wanted in ((WINDOW, ~self.short), (SHORT_WINDOW, self.short)):
+                    if held and wanted.any():
+                        self.near(hashed[first : i + 1], size, wanted, best[first : i + 1])
+                first, held = i + 1, 0
+        return [[x for at, where in sorted(b.items()) if (x := self.confirmed(h, at, *where))] for h, b in zip(hashed, best, strict=True)]
+
+    def confirmed(self, hashes: np.ndarray, at: int, cosine: float, start: int, end: int):
+        item_id, item = self.items[at]
+        region = hashes[max(0, start - len(item)) : end + len(item)]
+        shared = self.common(at, region) / len(item)
+        if shared < LIKELY:
+            return None
+        there = contains(region, item[-min(ANSWER_WORDS, len(item)) :])
+        return (item_id, cosine, shared, there) if shared >= SURE or there else None
+
+    def near(self, hashed: list[np.ndarray], size: int, wanted: np.ndarray, best: list[dict]) -> None:
+        """The nearest window, over the cosine, for each item of each text."""
+        n = np.array([len(h) for h in hashed])
+        hashes, offsets, step = np.concatenate(hashed), np.concatenate([[0], np.cumsum(n)[:-1]]), size // 2
         at = buckets(hashes)
-        energy = self.idf[at].astype(np.float64) ** 2
-        own = np.where(self.row[at] >= 0, energy, 0)
-        starts = np.unique(np.minimum(np.arange(0, max(1, n - size // 2), size // 2), max(0, n - size)))
-        ends = np.minimum(starts + size, n)
-        all_sums, own_sums = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, own))
-        share = (own_sums[ends] - own_sums[starts]) / np.maximum(1e-9, all_sums[ends] - all_sums[starts])
-        for a, b in zip(starts[share >= ENERGY], ends[share >= ENERGY], strict=True):
-            where, weight = weighed(hashes[a:b], self.idf)
-            known = self.row[where] >= 0
-            z = weight[known] @ self.basis[self.row[where[known]]]
-            cosines = self.passages @ (z / max(1e-9, np.linalg.norm(z)))
-            for p in np.flatnonzero((cosines >= COSINE) & wanted):
-                item = int(self.item[p])
-                if item not in best or best[item][0] < cosines[p]:
-                    best[item] = (float(cosines[p]), int(a), int(b))
+        weight = self.idf[at]
+        ours = self.known[slots(hashes)] & (weight >= COMMON)
+        energy, own = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (weight**2, np.where(ours, weight**2, 0)))
+        windows = np.where(n > 0, np.maximum(0, -(-(n - size) // step)) + 1, 0)
+        text = np.repeat(np.arange(len(n)), windows)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts = np.minimum(k * step, np.maximum(0, n[text] - size))
+        a, b = offsets[text] + starts, offsets[text] + np.minimum(starts + size, n[text])
+        likely = np.flatnonzero(own[b] - own[a] >= np.maximum(1e-9, ENERGY * (energy[b] - energy[a])))
+        if not len(likely):
+            return
+        rows, of = self.row[at], np.concatenate([[0], np.cumsum(ours)])
+        kept = np.flatnonzero(ours)
+        block = max(64, (1 << 20) // max(1, len(self.passages)))
+        for i in range(0, len(likely), block):
+            w = likely[i : i + block]
+            lo, hi = of[a[w]], of[b[w]]  # at least one word of each window is kept
+            counts = hi - lo
+            order = np.argsort(-counts, kind="stable")
+            w, lo, counts = w[order], lo[order], counts[order]
+            z = np.zeros((len(w), self.basis.shape[1]), np.float32)
+            for j in range(int(counts[0])):  # the j-th word of all windows that have so many
+                more = int(np.searchsorted(-counts, -j, side="left"))
+                at_j = kept[lo[:more] + j]
+                z[:more] += self.basis[rows[at_j]] * weight[at_j, None]
+            z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
+            cosines = z @ self.passages.T
+            for x, p in zip(*np.nonzero((cosines >= COSINE) & wanted), strict=True):
+                d, item, c = int(text[w[x]]), int(self.item[p]), float(cosines[x, p])
+                if item not in best[d] or best[d][item][0] < c:
+                    best[d][item] = (c, int(starts[w[x]]), int(b[w[x]] - offsets[d]))
 
     def common(self, at: int, region: np.ndarray) -> int:
         """Length of the longest common subsequence, a bit for each word of the item."""
@@ -214,12 +250,16 @@ def latent_space(items: DataFrame, idf: np.ndarray) -> Latent:
             continue
         for part in passages(hashes):
             at, weight = weighed(part, idf)
-            z = weight @ basis[row[at]]
+            rare = weight >= COMMON
+            z = weight[rare] @ basis[row[at[rare]]] if rare.any() else weight @ basis[row[at]]
             owner.append(len(kept))
             latent.append(z / max(1e-9, np.linalg.norm(z)))
             short.append(len(part) <= SHORT_WINDOW)
         kept.append((item_id, hashes))
-    return Latent(idf, row, basis, np.array(latent, np.float32).reshape(len(latent), RANK), np.array(owner, np.int64), np.array(short, bool), kept)
+    flags = np.zeros(SLOTS, bool)
+    for _, hashes in kept:
+        flags[slots(hashes)] = True
+    return Latent(idf, flags, row, basis, np.array(latent, np.float32).reshape(len(latent), RANK), np.array(owner, np.int64), np.array(short, bool), kept)
 
 
 LEAKS = "array<struct<item_id:bigint,cosine:double,shared:double,answered:boolean>>"
@@ -246,6 +286,6 @@ def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def searched(block) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "cosine", "shared", "answered"), x, strict=True)) for x in block.value.search(t)] for t in null_to_empty(texts)], dtype=object)
+            yield pd.Series([[dict(zip(("item_id", "cosine", "shared", "answered"), x, strict=True)) for x in found] for found in block.value.search(null_to_empty(texts))], dtype=object)
 
     return F.pandas_udf(run, LEAKS)(F.col("text").cast("string"))

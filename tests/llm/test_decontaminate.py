@@ -63,7 +63,7 @@ def test_common_subsequence_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(200):
         a, b = (rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(2))
-        block = dc.Latent(None, None, None, None, None, None, [(0, a)])
+        block = dc.Latent(None, None, None, None, None, None, None, [(0, a)])
         assert block.common(0, b) == lcs(a.tolist(), b.tolist())
 
 
@@ -88,11 +88,12 @@ def test_frequencies_equal_a_plain_count(spark):
     texts = ["a b a", None, "b, C!", ""]
     idf = dc.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
     at = {w: int(dc.buckets(dc.words(w))[0]) for w in "abc"}
-    assert np.allclose([idf[at[w]] for w in "abc"], [np.log(5 / (1 + n)) + 0.1 for n in (1, 2, 1)])
+    assert np.allclose([idf[at[w]] for w in "abc"], [np.log1p(24 / (n + 0.5)) for n in (1, 2, 1)])
 
 
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "x " * 200_000 + "alpha beta gamma delta epsilon zeta eta theta"), (None, "alpha beta gamma delta epsilon zeta eta theta"), (4, "!!!")]
     items = [(7, "Alpha, beta gamma delta epsilon zeta eta theta."), (None, "x x x x x x x x"), (8, None), (9, "")]
     assert found(spark, docs + docs, items) == {(3, 7), (None, 7)}
+    assert found(spark, [(1, items[0][1])], items[:1]) == {(1, 7)}
     assert found(spark, docs, []) == set() and found(spark, [], items) == set()
