@@ -10,8 +10,9 @@ more are linked, and linked documents, directly or through others, form a compon
    at least one of 6 trees but for 6e-8 of the cases, and any depth but for about 2e-6.
 3. Nodes of at most ``LEAF`` documents are compared exhaustively, by size and sketch (a linked pair fails
    that with a chance under 1e-6). Only a spanning forest of what may be linked goes on: candidates.
-   Larger nodes compare all with one pivot, and branch again as long as they hold more than one
-   candidate cluster. Beyond ``DEPTH``, all of a node becomes one cluster, so that nothing is lost.
+   Larger nodes compare all with one pivot, and branch again as long as they hold several candidate
+   clusters. Where one cluster has half of such a node, and beyond ``DEPTH``, all of the node joins one
+   cluster instead: that is only more to compare, so nothing is lost.
 4. Links lie within candidate clusters. Each cluster of at most ``CELL`` documents is one cell, to which
    whole texts are sent once, and where all full sets are compared exactly. A larger cluster is dealt
    to cells by hash, each with the same few pivots; then everything outside the cluster's largest component
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 
 from parallax.llm.common import forget, mix64, ready, stored
 
-
 WORDS = 5
 SIMILAR = 75
 TREES = 6
@@ -47,6 +47,8 @@ BLOCK = 128
 PIVOTS = 32
 #: Sketch bits that agree: 112 of 128 expected at 75 percent; six standard deviations less.
 LEAST_BITS = 90
+#: As many edges are joined in one task (a few MB); more by stars.
+LOCAL_EDGES = 500_000
 #: Slots of the filter that keeps texts without candidates from being shuffled; bounds its size.
 FILTER_SLOTS = 1 << 22
 
@@ -222,8 +224,9 @@ def pivot_edges(large: DataFrame, reps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each edge's component, for all ids but the roots.
 
-    Alternates large and small stars: each vertex passes its least neighbour to its larger
-    neighbours, then to its smaller ones, until nothing changes.
+    At most ``LOCAL_EDGES`` distinct edges are joined in one task. More alternate large and small stars:
+    each vertex passes its least neighbour to its larger neighbours, then to its smaller ones, until
+    nothing changes.
     """
 
     def mark(e: DataFrame):
@@ -231,7 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     seen = mark(now)
-    while seen[0]:
+    if seen[0] <= LOCAL_EDGES:
+        return stored(now.coalesce(1).mapInPandas(joined, "id long, root long"), "components")
+    while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -246,6 +251,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all edges of a task."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    found = [(x, r) for x in [*above] if (r := root(x)) != x]
+    yield pd.DataFrame(found, columns=["id", "root"], dtype="int64")
+
+
 # Exact comparison in cells
 
 
@@ -355,22 +378,20 @@ def assign(docs: DataFrame) -> DataFrame:
     frontier = children(reps, True)
     for depth in range(DEPTH):
         nodes = in_nodes(frontier)
-        edges.append(stored(candidates(nodes), "candidates"))
         large = nodes.filter(F.col("size") > LEAF)
+        edges.append(stored(candidates(nodes).union(pivot_edges(large, reps)), "candidates"))
         if large.isEmpty():
             break
-        edges.append(stored(pivot_edges(large, reps), "candidates"))
         clusters = components(union(edges)).withColumnRenamed("id", "rep")
-        held = large.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = held.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("node")
-        again = large.join(mixed, "node")
-        if depth == DEPTH - 1:
-            edges.append(stored(again.select(F.col("rep").alias("u"), F.col("pivot").alias("v")), "candidates"))
-        else:
-            again = stored(again.join(reps.select("rep", "sig"), "rep").select("node", "rep", "n", "s0", "s1", "sig"), "frontier")
-            if again.isEmpty():
-                break
-            frontier = children(again, False)
+        held = large.join(clusters, "rep", "left").groupBy("node", F.coalesce("root", "rep").alias("root")).agg(F.count(F.lit(1)).alias("k"))
+        held = held.groupBy("node").agg(F.max("k").alias("most"), F.sum("k").alias("all")).filter("most < all")
+        mixed = stored(large.join(held, "node"), "mixed")
+        whole = F.lit(True) if depth == DEPTH - 1 else F.col("most") * 2 >= F.col("all")
+        edges.append(mixed.filter(whole).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        again = mixed.filter(~whole)
+        if again.isEmpty():
+            break
+        frontier = children(again.select("node", "rep").join(reps.select("rep", "n", "s0", "s1", "sig"), "rep"), False)
     clusters = components(union(edges)).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
     clusters = stored(clusters.union(clusters.select("cluster", "cluster").distinct()), "clusters")
 

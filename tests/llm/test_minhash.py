@@ -69,6 +69,7 @@ def test_large_nodes_and_clusters(spark, monkeypatch, depth):
     monkeypatch.setattr(mh, "BLOCK", 8)
     monkeypatch.setattr(mh, "PIVOTS", 4)
     monkeypatch.setattr(mh, "DEPTH", depth)
+    monkeypatch.setattr(mh, "LOCAL_EDGES", 0 if depth == 1 else 10_000)
     rows = corpus(2, 60, 240, 14)
     assert {r["doc_id"]: r["component_id"] for r in got(spark, rows)} == brute(rows)
 
@@ -104,6 +105,8 @@ def test_links_are_exact(m):
             assert found[i, j] == (i != j and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b))
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    monkeypatch.setattr(mh, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "u long, v long")
     assert {(r["id"], r["root"]) for r in mh.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 99)}
