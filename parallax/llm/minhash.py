@@ -9,7 +9,7 @@ more are linked, and linked documents, directly or through others, form a compon
    one minwise token (coordinate) of it. At 75 percent likeness, a pair shares the first level of
    at least one of 6 trees but for 6e-8 of the cases, and any depth but for about 2e-6.
 3. Nodes of at most ``LEAF`` documents are compared exhaustively, by size and sketch (a linked pair fails
-   that with a chance under 1e-6). Only a spanning forest of what may be linked goes on: candidates.
+   that with a chance under 1e-8). Only a spanning forest of what may be linked goes on: candidates.
    Larger nodes compare all with one pivot, and branch again as long as they hold several candidate
    clusters. Where one cluster has half of such a node, and beyond ``DEPTH``, all of the node joins one
    cluster instead: that is only more to compare, so nothing is lost.
@@ -25,11 +25,12 @@ documents, links or components to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.llm.common import forget, mix64, ready, stored
@@ -39,14 +40,16 @@ SIMILAR = 75
 TREES = 6
 BRANCHES = 2
 COORDINATES = 64
-BITS = 128
+BITS = 512
 LEAF = 256
-DEPTH = 5
+DEPTH = 4
 CELL = 256
 BLOCK = 128
 PIVOTS = 32
-#: Sketch bits that agree: 112 of 128 expected at 75 percent; six standard deviations less.
-LEAST_BITS = 90
+#: Sketch bits that agree: 448 of 512 expected at 75 percent; six standard deviations less.
+LEAST_BITS = 403
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
+LONGS = ", ".join(f"{c} long" for c in SKETCH)
 #: As many edges are joined in one task (a few MB); more by stars.
 LOCAL_EDGES = 500_000
 #: Slots of the filter that keeps texts without candidates from being shuffled; bounds its size.
@@ -54,8 +57,9 @@ FILTER_SLOTS = 1 << 22
 
 RNG = np.random.default_rng(20240229)
 FACTORS = RNG.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-HASH_MUL = (RNG.integers(0, 2**63, BITS, np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-HASH_XOR = RNG.integers(0, 2**63, BITS, np.uint64)[:, None]
+HASH_MUL = (RNG.integers(0, 2**31, BITS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+HASH_XOR = RNG.integers(0, 2**32 - 1, BITS, np.uint32)[:, None]
+HASH_OWN = np.arange(BITS, dtype=np.uint64) << np.uint64(32)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -73,19 +77,21 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minhashes(hashes: np.ndarray) -> np.ndarray:
-    lows = np.full(BITS, np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048]
-        np.minimum(lows, ((part ^ HASH_XOR) * HASH_MUL).min(axis=1), out=lows)
-    return mix64(lows)
+    lows = np.full(BITS, np.uint32(2**32 - 1))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        part = short[at : at + 512] ^ HASH_XOR
+        part *= HASH_MUL
+        np.minimum(lows, part.min(axis=1), out=lows)
+    return mix64(lows.astype(np.uint64) + HASH_OWN)
 
 
-def signature(hashes: np.ndarray) -> tuple[int, int, int, int, bytes]:
-    """Two longs that name the set, two of sketch bits, and 32 bits of each branching coordinate."""
+def signature(hashes: np.ndarray) -> tuple:
+    """Two longs that name the set, longs of sketch bits, and 32 bits of each branching coordinate."""
     lows = minhashes(hashes)
     bits = np.packbits((lows >> np.uint64(63)).astype(np.uint8)).view(np.int64)
     name = np.array([hashes.sum(dtype=np.uint64), mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
-    return int(name[0]), int(name[1]), int(bits[0]), int(bits[1]), (lows[:COORDINATES] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return *name.tolist(), *bits.tolist(), (lows[:COORDINATES] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -95,16 +101,16 @@ def signed(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 hashes = shingles(text if isinstance(text, str) else None)
                 rows.append((doc_id, len(hashes), *signature(hashes)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "a", "b", "s0", "s1", "sig"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "a", "b", *SKETCH, "sig"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, a long, b long, s0 long, s1 long, sig binary")
+    return docs.mapInPandas(run, f"doc_id long, n long, a long, b long, {LONGS}, sig binary")
 
 
 # Branching
 
 
 def children(rows: DataFrame, first: bool) -> DataFrame:
-    """(node, rep, n, s0, s1) one level down of (rep, n, s0, s1, sig) and, but for the first level, their node."""
+    """(node, rep, n, sketch) one level down of (rep, n, sketch, sig) and, but for the first level, their node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,9 +126,9 @@ def children(rows: DataFrame, first: bool) -> DataFrame:
                     else:
                         chosen = ((mix64(above + np.uint64(7)) + np.uint64(branch * 37)) % np.uint64(COORDINATES)).astype(np.int64)
                     node = mix64(mix64(above * np.uint64(0x9E3779B97F4A7C15) + chosen.astype(np.uint64)) + sig[each, chosen])
-                    yield pd.DataFrame({"node": node.view(np.int64), "rep": pdf["rep"], "n": pdf["n"], "s0": pdf["s0"], "s1": pdf["s1"]})
+                    yield pdf[["rep", "n", *SKETCH]].assign(node=node.view(np.int64))
 
-    return rows.mapInPandas(run, "node long, rep long, n long, s0 long, s1 long")
+    return rows.mapInPandas(run, f"node long, rep long, n long, {LONGS}")
 
 
 def in_nodes(frontier: DataFrame) -> DataFrame:
@@ -193,7 +199,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, ids, n = (pdf[c].to_numpy(np.int64) for c in ("node", "rep", "n"))
-        bits = pdf[["s0", "s1"]].to_numpy(np.int64).view(np.uint64)
+        bits = pdf[SKETCH].to_numpy(np.int64).view(np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
         sizes = np.diff(cuts)
         first = cuts[:-1][sizes == 2]  # most nodes are pairs
@@ -205,16 +211,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
             found += forest(ids[s], may_link(n[s], bits[s]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    small = nodes.filter(F.col("size") <= LEAF).select("node", "rep", "n", "s0", "s1")
+    small = nodes.filter(F.col("size") <= LEAF).select("node", "rep", "n", *SKETCH)
     dealt = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
     return dealt.mapInPandas(run, "u long, v long")
 
 
 def pivot_edges(large: DataFrame, reps: DataFrame) -> DataFrame:
-    pivots = large.select("node", F.col("pivot").alias("rep")).distinct().join(reps.select("rep", "n", "s0", "s1"), "rep")
-    pivots = pivots.select("node", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    agree = BITS - F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("p1")))
-    fits = (agree >= LEAST_BITS) & (100 * F.least("n", "pn") >= SIMILAR * F.greatest("n", "pn"))
+    pivots = large.select("node", F.col("pivot").alias("rep")).distinct().join(reps.select("rep", "n", *SKETCH), "rep")
+    pivots = pivots.select("node", F.col("rep").alias("pivot"), F.col("n").alias("pn"), *[F.col(c).alias(f"p{c}") for c in SKETCH])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in SKETCH])
+    fits = (BITS - differ >= LEAST_BITS) & (100 * F.least("n", "pn") >= SIMILAR * F.greatest("n", "pn"))
     return large.drop("pivot").join(pivots, "node").filter(fits & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
 
 
@@ -371,7 +377,7 @@ def assign(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     every = stored(signed(known), "signatures")
-    firsts = ("n", "s0", "s1", "sig")
+    firsts = ("n", *SKETCH, "sig")
     reps = stored(every.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in firsts]), "reps")
 
     edges: list[DataFrame] = []
@@ -391,7 +397,7 @@ def assign(docs: DataFrame) -> DataFrame:
         again = mixed.filter(~whole)
         if again.isEmpty():
             break
-        frontier = children(again.select("node", "rep").join(reps.select("rep", "n", "s0", "s1", "sig"), "rep"), False)
+        frontier = children(again.select("node", "rep").join(reps.select("rep", "n", *SKETCH, "sig"), "rep"), False)
     clusters = components(union(edges)).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
     clusters = stored(clusters.union(clusters.select("cluster", "cluster").distinct()), "clusters")
 
@@ -420,8 +426,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     All columns stay. Of rows of one kept doc_id the first by text stays; rows with a null doc_id all stay.
     """
-    from pyspark.sql import Window
-
     kept = assign(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
