@@ -186,10 +186,10 @@ def intervals(cases: DataFrame, drawn: DataFrame, case: str, rate: str = "rate",
 
 def inversion(rows: DataFrame) -> DataFrame:
     """Why a fitted slope must not be inverted: both slopes, r² and their product, by statistic (unweighted)."""
-    out = rows.groupBy("stat").agg(F.count(F.lit(1)).alias("n"), F.corr("x1", "y").alias("r"), F.regr_slope("y", "x1").alias("slope_mlb_on_kbo"), F.regr_slope("x1", "y").alias("slope_kbo_on_mlb"))
+    out = rows.groupBy("stat").agg(F.count(F.lit(1)).alias("n"), F.regr_r2("y", "x1").alias("r_squared"), F.regr_slope("y", "x1").alias("slope_mlb_on_kbo"), F.regr_slope("x1", "y").alias("slope_kbo_on_mlb"))
     back = F.col("slope_kbo_on_mlb")
     naive = F.when(F.abs(back) > 1e-9, 1 / F.when(F.abs(back) > 1e-9, back)).otherwise(F.lit(float("inf")))
-    return out.filter(F.col("n") >= MIN_PAIRS).select("stat", "n", (F.col("r") * F.col("r")).alias("r_squared"), "slope_mlb_on_kbo", "slope_kbo_on_mlb", naive.alias("naive_inverted_slope"), (F.col("slope_mlb_on_kbo") * back).alias("slope_product_equals_r2"))
+    return out.filter(F.col("n") >= MIN_PAIRS).select("stat", "n", "r_squared", "slope_mlb_on_kbo", "slope_kbo_on_mlb", naive.alias("naive_inverted_slope"), (F.col("slope_mlb_on_kbo") * back).alias("slope_product_equals_r2"))
 
 
 def weighted_line(rows: DataFrame, x: Column, y: Column, w: Column, by: list[str]) -> DataFrame:

@@ -64,4 +64,4 @@ def page_key(url: Column) -> Column:
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Cached pages: (page, html), the name and whole text of each file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("page"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("page"), F.decode("content", "UTF-8").alias("html"))
