@@ -33,7 +33,7 @@ MAX_ROWS = 4000
 SNIPPET = 512
 UNKNOWN = "und"
 #: Texts are handled in pieces of about so many characters, so memory stays bounded.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Scores of rows kept out of training under this quantile are rejected, and never scores over REJECT_MOST.
 REJECT_QUANTILE = 0.001
 REJECT_MOST = 0.5
@@ -214,6 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for texts in batches:
             yield result(texts)
 
-    predict = F.pandas_udf(run, "lang_pred string, lang_score double, lang_rejected boolean")
+    # not to be computed again for a filter on its result
+    predict = F.pandas_udf(run, "lang_pred string, lang_score double, lang_rejected boolean").asNondeterministic()
     return docs.withColumn("_found", predict(F.col("text").cast("string"))).select(*docs.columns, *[F.col(f"_found.{c}").alias(c) for c in new])
 
