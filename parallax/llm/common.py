@@ -33,13 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where no cluster names a folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
