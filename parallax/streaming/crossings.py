@@ -2,7 +2,7 @@
 
 Each key keeps its last (time, label, ordinal). A later row with another label within the gap is a
 crossing; a row with the same time and label as the kept one replaces it if its ordinal is higher. Rows older than
-the kept one are late and ignored, and a key's state is dropped once it has been idle for ``idle_ms``.
+the kept one are late and ignored. With ``idle_ms`` a key's state is dropped once it has been idle for so long.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ OUT = "key long, from_label string, to_label string, from_ordinal long, to_ordin
 STATE = "time long, label string, ordinal long"
 
 
-def switches(events: DataFrame, key: str, time: str, label: str, ordinal: str, most: int, idle_ms: int = 86_400_000) -> DataFrame:
+def switches(events: DataFrame, key: str, time: str, label: str, ordinal: str, most: int, idle_ms: int | None = None) -> DataFrame:
     """Crossings of a streaming ``events``; within a micro-batch rows go by time, then label."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,8 +37,9 @@ def switches(events: DataFrame, key: str, time: str, label: str, ordinal: str, m
                 last = (int(t), lab, int(o))
         if last is not None:
             state.update(last)
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(found, columns=["key", "from_label", "to_label", "from_ordinal", "to_ordinal", "gap"])
 
     named = events.select(F.col(key).cast("long").alias("key"), F.col(time).cast("long").alias("time"), F.col(label).alias("label"), F.col(ordinal).cast("long").alias("ordinal"))
-    return named.dropna().groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return named.dropna().groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
