@@ -15,6 +15,9 @@ from parallax.functions import expr, names
 from parallax.operators import evaluate, model, quality, rates, resolve, screen, timeline
 from parallax.plans import report
 from parallax.sources import records, tables
+from parallax.sources.urls import Sites, with_pages
+
+SITES = Sites()
 
 COUNTS = "PA double, AB double, H double, `2B` double, `3B` double, HR double, SO double, BB double, HBP double, SF double, TB double, batters_faced double, IP double, ER double, G double"
 ABOUT = "batting_avg double, onbase_perc double, slugging_perc double, earned_run_avg double"
@@ -23,7 +26,7 @@ AWAY = f"key_mlbam long, key_bbref string, name string, season int, age double,
 TOTALS = f"season int, side string, {COUNTS}"
 ROSTER = "player_register_id string, player string, season int, team_name string, date_of_birth date, birth_city string"
 LINKS = "player_register_id string, key_mlbam long, key_bbref string, match_tier string, match_confidence double"
-MIN_PLAYING_TIME = {"batting": 150, "pitching": 150}
+MIN_PLAYING_TIME = {"batting": 100, "pitching": 100}
 LEAST_COVERAGE = 0.80
 
 
@@ -52,6 +55,16 @@ def scrape(store: Store, index: DataFrame, seasons: DataFrame, teams: DataFrame,
     return found
 
 
+def scrape_cached(store: Store, cache: str, start: int, end: int, sites: Sites = SITES) -> records.Crawl:
+    """``scrape`` over a folder of cached pages: the index leads to seasons, those to teams."""
+    pages = tables.read_pages(store.spark, cache)
+    one = store.spark.range(1).select(F.lit("index").alias("k"))
+    index = with_pages(one, sites.league_index(), pages).select(F.col("k").alias("page"), "html")
+    seasons = with_pages(records.season_index(index).select("season_id").distinct(), sites.season(F.col("season_id")), pages)
+    named = records.season_teams(seasons.withColumnRenamed("season_id", "page")).select("team_bref_id").distinct()
+    return scrape(store, index, seasons, with_pages(named, sites.team(F.col("team_bref_id")), pages), start, end)
+
+
 class TooFewTeams(RuntimeError):
     """League totals that cover too few seasons to be a baseline."""
 
@@ -232,6 +245,20 @@ class Bundle:
         return f.select("stat", expr.pretty(F.col("stat")).alias("label"), F.bround("retention_slope", 3).alias("retention_slope"), F.bround("r_squared", 3).alias("r_squared"), "n_pairs", F.format_string("%.1fx", expr.range_factor(F.col("residual_sd"))).alias("typical_range"), expr.verdict(F.col("r_squared"), F.col("retention_slope"), F.col("residual_sd")).alias("verdict")).orderBy(expr.display_rank(F.col("stat")))
 
 
+def projections(store: Store, side: str, season: int, players: list[str] | None = None, top: int = 5, min_playing_time: float = 150, direction: str | None = "mlb_to_kbo", draws: int = 200, source: str = "") -> DataFrame:
+    """Projections of the named players active in a season, or of those with the most playing time; written too."""
+    bundle = load(store, side, season, min_playing_time, direction, draws, source)
+    if players:
+        wanted = [k for k in map(names.loose_key, players) if k]
+        chosen = bundle.home.filter(F.col("season") == season).filter(names.keys("player")["loose"].isin(wanted))
+    else:
+        chosen = bundle.top(top)
+    named = chosen.groupBy("player_register_id").agg(F.max("player").alias("player"))
+    out = bundle.project(named).join(named, "player_register_id")
+    store.write(out, f"projections_{side}_{season}")
+    return out
+
+
 def load(store: Store, side: str = "batting", season: int = 2026, min_playing_time: float = 150, direction: str | None = "mlb_to_kbo", draws: int = 400, source: str = "", **options) -> Bundle:
     """Everything for a season. Whether someone was posted counts all his away seasons, however short."""
     home, away = relative(store, side, min_playing_time, source)

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parallax.plans import pipelines
-from parallax.sources import tables
+from parallax.plans import cli, pipelines
+from parallax.sources import fetch, tables
 
 FAMILY = ["Lee", "Kim", "Park", "Choi", "Kang", "Yoon", "Jang", "Hwang"]
 GIVEN = ["Jung", "Ha", "Byung", "Seung", "Min", "Tae", "Dong", "Kwang"]
@@ -92,3 +92,36 @@ def test_counts_and_link(store, tmp_path):
     tiers = {r["match_tier"]: r["n"] for r in found.matches.groupBy("match_tier").agg(F.count("*").alias("n")).collect()}
     assert tiers["register_id"] == 45 and tiers["name_dob"] >= 40
     assert found.matches.filter("key_mlbam - 1000 != cast(substring(player_register_id, 2) as long)").count() == 0
+
+
+def test_projections_and_command_line(store, capsys):
+    name = store.read("kbo_batting", pipelines.HOME).filter("player_register_id = 'h2'").first()["player"]
+    got = pipelines.projections(store, "batting", 2022, [name.upper()], draws=20)
+    assert "h2" in {r["player_register_id"] for r in got.collect()} and store.exists("projections_batting_2022")
+    args = cli.parser().parse_args(["counts", "--data", store.folder])
+    assert cli.run(args, store) == 0 and "qualified" in capsys.readouterr().out
+    assert cli.run(cli.parser().parse_args(["audit", "--data", store.folder, "--start", "2015", "--end", "2022"]), store) == 1
+
+
+def test_scrape_of_cached_pages(spark, tmp_path):
+    from tests.test_sources import INDEX, SEASON, TEAM
+
+    sites, cache = pipelines.SITES, fetch.PageCache(f"{tmp_path}/cache", lambda url: (200, pages[url]), fetch.RateLimiter(0, 100))
+    one = spark.range(1)
+    urls = one.select(sites.league_index(), sites.season(F.lit("s2024")), sites.team(F.lit("t1"))).first()
+    pages = dict(zip(urls, (INDEX, SEASON, TEAM), strict=True))
+    for url in urls:
+        cache.get(url)
+    out = pipelines.Store(spark, str(tmp_path))
+    pipelines.scrape_cached(out, f"{tmp_path}/cache", 2020, 2026)
+    assert out.read("kbo_batting", pipelines.HOME).count() == 2 and out.read("kbo_league_totals", pipelines.TOTALS).first()["PA"] == 57263
+
+
+def test_refuses_thin_league_totals(spark, store, tmp_path):
+    docs = spark.createDataFrame([('{"stats":[{"splits":[{"season":"2020","stat":{"homeRuns":5}}]}]}',)], "body string")
+    keyed = docs.withColumn("key_mlbam", F.lit(1).cast("long"))
+    out = pipelines.Store(spark, str(tmp_path))
+    with pytest.raises(pipelines.TooFewTeams):
+        pipelines.fetch_away(out, {"batting": keyed}, {"batting": docs}, 2000, 2026)
+    pipelines.fetch_away(out, {"batting": keyed}, {"batting": docs}, 2020, 2020)
+    assert out.read("mlb_batting", pipelines.AWAY).first()["HR"] == 5
