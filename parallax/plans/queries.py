@@ -161,21 +161,21 @@ def tiered_crosswalk(read: Read) -> DataFrame:
 QUEUE = "SELECT c_custkey, NULL::BIGINT AS s_suppkey, 'no_match' AS review_reason FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM m) UNION ALL SELECT c_custkey, s_suppkey, 'low_confidence_proposal' FROM p"
 
 
-@query(f"{TIERED} {QUEUE}")
+@query(f"{TIERED} SELECT c_custkey, coalesce(s_suppkey, -1) AS s_suppkey, review_reason FROM ({QUEUE})")
 def review_queue(read: Read) -> DataFrame:
     left, matches, proposals = linked(read)
-    return resolve.review_queue(left.select("c_custkey"), matches, proposals, "c_custkey").select("c_custkey", "s_suppkey", "review_reason")
+    return resolve.review_queue(left.select("c_custkey"), matches, proposals, "c_custkey").select("c_custkey", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"), "review_reason")
 
 
 @query(f"""{TIERED}, d AS (SELECT c_custkey, c_custkey % 7 AS s_suppkey, CASE WHEN c_custkey % 10 = 0 THEN 'accept' ELSE 'reject' END AS decision FROM customer WHERE c_custkey % 10 IN (0, 1))
 SELECT 'match' AS part, c_custkey, s_suppkey, match_tier AS said FROM m UNION ALL SELECT 'match', c_custkey, s_suppkey, 'manual' FROM d WHERE decision = 'accept'
-UNION ALL SELECT 'queue', c_custkey, s_suppkey, review_reason FROM ({QUEUE}) WHERE c_custkey NOT IN (SELECT c_custkey FROM d)""")
+UNION ALL SELECT 'queue', c_custkey, coalesce(s_suppkey, -1), review_reason FROM ({QUEUE}) WHERE c_custkey NOT IN (SELECT c_custkey FROM d)""")
 def manual_overrides(read: Read) -> DataFrame:
     left, matches, proposals = linked(read)
     queue = resolve.review_queue(left.select("c_custkey"), matches, proposals, "c_custkey")
     decided = read("customer").filter((F.col("c_custkey") % 10).isin(0, 1)).select("c_custkey", (F.col("c_custkey") % 7).alias("s_suppkey"), F.when(F.col("c_custkey") % 10 == 0, "accept").otherwise("reject").alias("decision"))
     found = resolve.with_overrides(resolve.Crosswalk(matches, queue, None), decided, "c_custkey", "s_suppkey")
-    return found.matches.select(F.lit("match").alias("part"), "c_custkey", "s_suppkey", F.col("match_tier").alias("said")).union(found.review_queue.select(F.lit("queue"), "c_custkey", "s_suppkey", "review_reason"))
+    return found.matches.select(F.lit("match").alias("part"), "c_custkey", "s_suppkey", F.col("match_tier").alias("said")).union(found.review_queue.select(F.lit("queue"), "c_custkey", F.coalesce("s_suppkey", F.lit(-1)), "review_reason"))
 
 
 IN_1997 = "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997"
@@ -204,14 +204,17 @@ FROM (SELECT o_custkey AS k, min(year(o_orderdate))::BIGINT AS first_kbo, max(ye
 FULL JOIN (SELECT o_custkey AS k, min(year(o_orderdate))::BIGINT AS first_mlb, max(year(o_orderdate))::BIGINT AS last_mlb, count(DISTINCT year(o_orderdate)) AS n_mlb FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON f.k = o.k"""
 
 
+SPAN_COLUMNS = [f"{part}_{league}" for league in timeline.LEAGUES for part in ("first", "last", "n")]
+
+
 def cohorts(read: Read) -> DataFrame:
     orders = read("orders").select("o_custkey", "o_orderstatus", long(F.year("o_orderdate")).alias("season"))
     return timeline.classify(orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'O'"), "o_custkey")
 
 
-@query(SPANS)
+@query("SELECT o_custkey, cohort, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in SPAN_COLUMNS) + f" FROM ({SPANS})")
 def span_classify(read: Read) -> DataFrame:
-    return cohorts(read)
+    return cohorts(read).select("o_custkey", "cohort", *[F.coalesce(c, F.lit(0)).alias(c) for c in SPAN_COLUMNS])
 
 
 @query(f"SELECT cohort, count(*) AS n FROM ({SPANS}) GROUP BY 1 ORDER BY n DESC, cohort")
