@@ -42,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it back.
 

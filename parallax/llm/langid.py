@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty, ready
+from parallax.llm.common import fresh, null_to_empty, ready
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -216,5 +216,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     # not to be computed again for a filter on its result
     predict = F.pandas_udf(run, "lang_pred string, lang_score double, lang_rejected boolean").asNondeterministic()
-    return docs.withColumn("_found", predict(F.col("text").cast("string"))).select(*docs.columns, *[F.col(f"_found.{c}").alias(c) for c in new])
+    found = fresh(docs, "_found")
+    return docs.withColumn(found, predict(F.col("text").cast("string"))).select(*docs.columns, *[F.col(f"{found}.{c}").alias(c) for c in new])
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.llm.common import forget, mix64, ready, stored
+from parallax.llm.common import forget, fresh, mix64, ready, stored
 
 WORDS = 5
 SIMILAR = 75
@@ -426,8 +426,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     All columns stay. Of rows of one kept doc_id the first by text stays; rows with a null doc_id all stay.
     """
-    kept = assign(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    key, row = fresh(docs, "_kept"), fresh(docs, "_row")
+    kept = assign(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
+    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
-    one = joined.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    one = joined.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1).drop(row)
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

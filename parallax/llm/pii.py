@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import fresh
+
 #: The base kinds. Possessive forms and what is looked up before a match keep Java's
 #: matcher from trying again inside a run; they fit the same spans as the plain forms.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -218,14 +220,17 @@ def find(docs: DataFrame, weights: list[float]) -> DataFrame:
     Null and empty texts have none. Repeated rows and other columns stay; columns with the new names are
     replaced. Spans of different kinds may overlap; added ones never overlap base ones.
     """
-    out = docs.drop("pii_base", "pii_spans", "_text", "_proposed").withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    some = F.rlike(F.col("_text"), F.lit("[0-9]"))  # but an email, everything has a digit
-    maybe = some | F.contains(F.col("_text"), F.lit("@"))
-    out = out.withColumn("pii_base", F.when(maybe, base_spans(F.col("_text"))).otherwise(F.array().cast(SPANS)))
-    proposed = F.filter(proposals(F.col("_text"), F.col("pii_base")), lambda c: accepted(c, weights))
+    out = docs.drop("pii_base", "pii_spans")
+    held = fresh(out, "_text")
+    out = out.withColumn(held, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.col(held)
+    some = F.rlike(text, F.lit("[0-9]"))  # but an email, everything has a digit
+    maybe = some | F.contains(text, F.lit("@"))
+    out = out.withColumn("pii_base", F.when(maybe, base_spans(text)).otherwise(F.array().cast(SPANS)))
+    proposed = F.filter(proposals(text, F.col("pii_base")), lambda c: accepted(c, weights))
     added = F.transform(proposed, lambda c: F.struct(*[c[x].alias(x) for x in ("start", "ord", "end", "kind")])).cast(SPANS)
     spans = F.when(some, F.array_sort(F.concat("pii_base", added))).otherwise(F.col("pii_base"))
-    return out.withColumn("pii_spans", spans).drop("_text")
+    return out.withColumn("pii_spans", spans).drop(held)
 
 
 def listed(spans: Column) -> Column:

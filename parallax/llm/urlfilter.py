@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The index is a literal in the plan, so the number of rules is bounded.
 MAX_RULES = 5000
@@ -85,19 +87,20 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS) -> DataF
     new = ("host", "path", "rule", "verdict")
     split = pages.drop(*new).withColumns({"host": host, "path": path})
     site = F.concat("host", "path")
+    at, won = fresh(split, "_site"), fresh(split, "_won")
     index = indexed(split.select(tokens_of(site).alias("tokens")), rules)
     fetched = F.flatten(F.transform(F.concat(tokens_of(site), F.array(F.lit(""))), lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<int>"))))
     kind = "array<struct<id:int,rank:int,size:int,name:string,pattern:string,block:boolean>>"
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(r.rank).alias("rank"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.block).alias("block")) for i, r in enumerate(rules)]).cast(kind)
-    fitting = F.filter(F.transform(fetched, lambda i: F.get(known, i)), lambda r: F.rlike(F.col("_site"), r["pattern"]))
+    fitting = F.filter(F.transform(fetched, lambda i: F.get(known, i)), lambda r: F.rlike(F.col(at), r["pattern"]))
     best = F.array_sort(fitting, lambda a, b: F.coalesce(F.nullif(b["rank"] - a["rank"], F.lit(0)), F.nullif(b["size"] - a["size"], F.lit(0)), a["id"] - b["id"]))
-    judged = split.withColumn("_site", site).withColumn("_won", F.get(best, F.lit(0)))
+    judged = split.withColumn(at, site).withColumn(won, F.get(best, F.lit(0)))
     return judged.withColumns(
         {
-            "rule": F.when(F.col("_won.rank") == 1, F.col("_won.name")),
-            "verdict": F.when(F.coalesce(F.col("_won.block"), F.lit(False)), "block").otherwise("allow"),
+            "rule": F.when(F.col(f"{won}.rank") == 1, F.col(f"{won}.name")),
+            "verdict": F.when(F.coalesce(F.col(f"{won}.block"), F.lit(False)), "block").otherwise("allow"),
         }
-    ).drop("_site", "_won")
+    ).drop(at, won)
 
 
 def indexed(urls: DataFrame, rules: tuple[Rule, ...]) -> Column:

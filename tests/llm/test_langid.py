@@ -42,6 +42,12 @@ def test_batches_do_not_change_results():
     assert all(abs(s - a[1][0]) < 1e-9 for s, a in zip(together[1], alone, strict=True))
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([("the and", "x")], "text string, _found string")
+    got = langid.identify(docs, langid.train(spark.createDataFrame(corpus(60), "doc_id long, text string, lang string"))).first()
+    assert (got["_found"], got["lang_pred"]) == ("x", "aa")
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     got = langid.identify(docs, langid.train(docs)).collect()

@@ -91,6 +91,8 @@ def test_rows_of_one_id_tie_their_texts(spark):
 def test_deduplicated_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, None, "z"), (None, "a b c", "u"), (4, "d", "k"), (4, "d", "l")], "doc_id long, text string, lang string")
     assert sorted(((r["doc_id"], r["lang"]) for r in mh.deduplicated(docs).drop("text").collect() if r["lang"] not in "kl"), key=str) == [(1, "x"), (3, "z"), (None, "u")]
+    odd = docs.selectExpr("*", "'x' AS _row", "'y' AS _kept")
+    assert {(r["_row"], r["_kept"]) for r in mh.deduplicated(odd).collect()} == {("x", "y")}
     assert mh.deduplicated(docs).count() == 4 and mh.deduplicated(docs).columns == docs.columns
 
 

@@ -90,6 +90,12 @@ def test_redaction(spark, text, out):
     assert docs.select(pii.redacted(F.coalesce("text", F.lit("")), F.col("pii_spans"))).first()[0] == out
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([("a@b.cd", "t", "p")], "text string, _text string, pii_spans string")
+    got = pii.find(docs, [0.0] * 20).first()
+    assert got["_text"] == "t" and got["pii_spans"][0]["kind"] == "email"
+
+
 def test_long_text_and_empty_table(spark):
     long = "word 12 " * 100_000 + "x@y.zz"
     assert spans_of(spark, [long])[0][0] == f"email:{len(long) - 6}:{len(long)}"

@@ -40,6 +40,12 @@ def test_empty_table_and_rules_without_tokens(spark):
     assert [r["verdict"] for r in uf.judge(pages, ()).collect()] == ["allow", "allow"]
 
 
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "s", "w")], "page_id long, url string, _site string, _won string")
+    got = uf.judge(pages).first()
+    assert (got["_site"], got["_won"], got["verdict"]) == ("s", "w", "block")
+
+
 def test_only_candidates_run(spark):
     """A rule whose token no url has is not fetched."""
     pages = spark.createDataFrame([(1, "http://q.com/a")], "page_id long, url string")
