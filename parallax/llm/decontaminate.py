@@ -6,8 +6,9 @@
    space of ``RANK`` dimensions.
 3. Windows of the documents' words, half overlapping, whose energy (sum of squared weights) lies enough in
    the benchmark's words are projected; passages at a latent cosine of ``COSINE`` are candidates.
-4. The longest common subsequence of the item's words and the words around the window decides: a
+4. The longest common subsequence of the item's words and the words around a window decides: a
    share of ``SURE`` of the item, or of ``LIKELY`` when the item's answer, its last words, is there too.
+   Candidates of an item are taken nearest first, until one is confirmed or all have failed.
 
 Words are lower-cased and ASCII signs are dropped, so decorated copies are found.
 """
@@ -111,16 +112,34 @@ class Latent:
     def search(self, texts: list[str]) -> list[list[tuple[int, float, float, bool]]]:
         """(item_id, cosine, shared part of the item, whether its answer is there) of the items in each text."""
         hashed = [words(t) for t in texts]
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        near: list[dict[int, list[tuple[float, int, int]]]] = [{} for _ in texts]
         first, held = 0, 0
         for i, h in enumerate(hashed):
             held += len(h)
             if held >= CHUNK or i == len(hashed) - 1:
                 for size, wanted in ((WINDOW, ~self.short), (SHORT_WINDOW, self.short)):
                     if held and wanted.any():
-                        self.near(hashed[first : i + 1], size, wanted, best[first : i + 1])
+                        self.near(hashed[first : i + 1], size, wanted, near[first : i + 1])
                 first, held = i + 1, 0
-        return [[x for at, where in sorted(b.items()) if (x := self.confirmed(h, at, *where))] for h, b in zip(hashed, best, strict=True)]
+        return [[x for at, windows in sorted(b.items()) if (x := self.first(h, at, windows))] for h, b in zip(hashed, near, strict=True)]
+
+    def first(self, hashes: np.ndarray, at: int, windows: list[tuple[float, int, int]]):
+        """The item as confirmed around the nearest window (cosine, start, end) that does so; None after all failed."""
+        windows = sorted(windows, key=lambda w: (-w[0], w[1]))
+        if (x := self.confirmed(hashes, at, *windows[0])) or len(windows) == 1:
+            return x
+        n = len(self.items[at][1])
+        runs: list[tuple[int, int]] = []
+        for _, start, end in sorted(windows, key=lambda w: w[1]):  # what a run of windows does not hold, none of them holds
+            if runs and start - n <= runs[-1][1] + n:
+                runs[-1] = (runs[-1][0], max(runs[-1][1], end))
+            else:
+                runs.append((start, end))
+        runs = [(start, end) for start, end in runs if self.common(at, hashes[max(0, start - n) : end + n]) >= LIKELY * n]
+        for w in windows[1:]:
+            if any(start <= w[1] < end for start, end in runs) and (x := self.confirmed(hashes, at, *w)):
+                return x
+        return None
 
     def confirmed(self, hashes: np.ndarray, at: int, cosine: float, start: int, end: int):
         item_id, item = self.items[at]
@@ -131,8 +150,8 @@ class Latent:
         there = contains(region, item[-min(ANSWER_WORDS, len(item)) :])
         return (item_id, cosine, shared, there) if shared >= SURE or there else None
 
-    def near(self, hashed: list[np.ndarray], size: int, wanted: np.ndarray, best: list[dict]) -> None:
-        """The nearest window, over the cosine, for each item of each text."""
+    def near(self, hashed: list[np.ndarray], size: int, wanted: np.ndarray, near: list[dict]) -> None:
+        """All windows over the cosine, for each item of each text."""
         n = np.array([len(h) for h in hashed])
         hashes, offsets, step = np.concatenate(hashed), np.concatenate([[0], np.cumsum(n)[:-1]]), size // 2
         at = buckets(hashes)
@@ -165,8 +184,7 @@ class Latent:
             cosines = z @ self.passages.T
             for x, p in zip(*np.nonzero((cosines >= COSINE) & wanted), strict=True):
                 d, item, c = int(text[w[x]]), int(self.item[p]), float(cosines[x, p])
-                if item not in best[d] or best[d][item][0] < c:
-                    best[d][item] = (c, int(starts[w[x]]), int(b[w[x]] - offsets[d]))
+                near[d].setdefault(item, []).append((c, int(starts[w[x]]), int(b[w[x]] - offsets[d])))
 
     def common(self, at: int, region: np.ndarray) -> int:
         """Length of the longest common subsequence, a bit for each word of the item."""

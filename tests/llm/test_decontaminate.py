@@ -97,3 +97,16 @@ def test_edge_cases(spark):
     assert found(spark, docs + docs, items) == {(3, 7), (None, 7)}
     assert found(spark, [(1, items[0][1])], items[:1]) == {(1, 7)}
     assert found(spark, docs, []) == set() and found(spark, [], items) == set()
+
+
+def test_copy_is_found_behind_nearer_windows(spark):
+    """Words of the item in another order are nearer than its copy, whose window has other known words too."""
+    rng = random.Random(5)
+    items = [(i, [f"q{i}x{k}" for k in range(30)]) for i in range(3)]
+    shuffled = items[0][1][:]
+    rng.shuffle(shuffled)
+    filler = [f"f{k}" for k in range(150)]
+    docs = [(i, " ".join([*shuffled, *filler[: 100 + i], *items[1][1][:9], *items[0][1], *items[2][1][:9]])) for i in range(24)]
+    docs += [(100 + i, " ".join([*shuffled, *filler])) for i in range(3)]
+    docs += [(200 + i, " ".join(filler)) for i in range(60)]
+    assert found(spark, docs, [(i, " ".join(t)) for i, t in items]) == {(i, 0) for i in range(24)}
