@@ -4,8 +4,10 @@
 2. Benchmark items are cut to passages of ``WINDOW`` words at most; a randomised singular value
    decomposition of their TF-IDF matrix, whose products are summed over partitions, gives a latent
    space of ``RANK`` dimensions.
-3. Windows of the documents' words, half overlapping, whose energy (sum of squared weights) lies enough in
-   the benchmark's words are projected; passages at a latent cosine of ``COSINE`` are candidates.
+3. All windows of the documents' words, half overlapping, that have a word of the benchmark are projected;
+   passages at a latent cosine of ``COSINE`` are candidates. Weights fall where many documents hold an item, so
+   the windows with a run of ``ANSWER_WORDS`` words that ends an item, or that few other items share with one of
+   its passages, are candidates at any cosine: no exact copy depends on weights.
 4. The longest common subsequence of the item's words and the words around a window decides: a
    share of ``SURE`` of the item, or of ``LIKELY`` when the item's answer, its last words, is there too.
    Candidates of an item are taken nearest first, until one is confirmed or all have failed.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty, ready, sum_blocks
+from parallax.llm.common import MIX_A, null_to_empty, ready, sum_blocks
 
 BUCKETS = 1 << 16
 RANK = 128
@@ -33,11 +35,10 @@ OVERSAMPLE = 16
 WINDOW = 48
 SHORT_WINDOW = 12
 COSINE = 0.45
-#: Least share of a window's energy in the benchmark's words.
-ENERGY = 0.15
 #: Documents that are taken to exist beside the input, so that words of a few documents are not common.
 PRIOR = 20
-#: Words with a lower idf, in more than about three of five documents, have no part in latent vectors.
+#: Words with a lower idf, in more than about three of five documents, have no part in latent vectors,
+#: but in those of passages and windows that have no other words.
 COMMON = 1.0
 #: Words are searched in runs of about so many.
 CHUNK = 1 << 18
@@ -89,6 +90,33 @@ def passages(hashes: np.ndarray) -> list[np.ndarray]:
     return np.array_split(hashes, max(1, -(-len(hashes) // WINDOW))) if len(hashes) else []
 
 
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(size):
+        out = out * MIX_A + hashes[j : j + n]
+    return out
+
+
+def telling_runs(items: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size, the hashes of runs, sorted, and their items: each item's last run, and of each passage the one that the fewest items share."""
+    sizes = [min(ANSWER_WORDS, *map(len, passages(h))) for h in items]
+    out = {}
+    for size in sorted(set(sizes)):
+        own = [i for i, s in enumerate(sizes) if s == size]
+        seen, shared = np.unique(np.concatenate([np.unique(run_hashes(items[i], size)) for i in own]), return_counts=True)
+        found = set()
+        for i in own:
+            found.add((int(run_hashes(items[i], size)[-1]), i))
+            for part in passages(items[i]):
+                runs = run_hashes(part, size)
+                found.add((int(runs[np.argmin(shared[np.searchsorted(seen, runs)])]), i))
+        pairs = sorted(found)
+        out[size] = (np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
+    return out
+
+
 def weighed(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, n = np.unique(buckets(hashes), return_counts=True)
     return at, (1 + np.log(n)) * idf[at]
@@ -108,6 +136,24 @@ class Latent:
     short: np.ndarray
     items: list[tuple[int, np.ndarray]]
     masks: dict[int, dict[int, int]] = field(default_factory=dict)
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
+
+    def __post_init__(self):
+        self.runs = telling_runs([h for _, h in self.items])
+
+    def said(self, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, items) of the items' telling runs; ``text`` has the text of each word."""
+        where, which = [], []
+        for size, (runs, item) in self.runs.items():
+            h = run_hashes(hashes, size)
+            flags = np.zeros(SLOTS, bool)
+            flags[slots(runs)] = True
+            at = np.flatnonzero(flags[slots(h)] & (text[: len(h)] == text[len(text) - len(h) :]))
+            lo, hi = (np.searchsorted(runs, h[at], side=x) for x in ("left", "right"))
+            n = hi - lo
+            where.append(np.repeat(at, n))
+            which.append(item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def search(self, texts: list[str]) -> list[list[tuple[int, float, float, bool]]]:
         """(item_id, cosine, shared part of the item, whether its answer is there) of the items in each text."""
@@ -125,9 +171,6 @@ class Latent:
 
     def first(self, hashes: np.ndarray, at: int, windows: list[tuple[float, int, int]]):
         """The item as confirmed around the nearest window (cosine, start, end) that does so; None after all failed."""
-        windows = sorted(windows, key=lambda w: (-w[0], w[1]))
-        if (x := self.confirmed(hashes, at, *windows[0])) or len(windows) == 1:
-            return x
         n = len(self.items[at][1])
         runs: list[tuple[int, int]] = []
         for _, start, end in sorted(windows, key=lambda w: w[1]):  # what a run of windows does not hold, none of them holds
@@ -135,8 +178,8 @@ class Latent:
                 runs[-1] = (runs[-1][0], max(runs[-1][1], end))
             else:
                 runs.append((start, end))
-        runs = [(start, end) for start, end in runs if self.common(at, hashes[max(0, start - n) : end + n]) >= LIKELY * n]
-        for w in windows[1:]:
+        runs = [(start, end) for start, end in runs if self.common(at, hashes[max(0, start - n) : end + n], LIKELY * n) >= LIKELY * n]
+        for w in sorted(windows, key=lambda w: (-w[0], w[1])) if runs else ():
             if any(start <= w[1] < end for start, end in runs) and (x := self.confirmed(hashes, at, *w)):
                 return x
         return None
@@ -151,43 +194,70 @@ class Latent:
         return (item_id, cosine, shared, there) if shared >= SURE or there else None
 
     def near(self, hashed: list[np.ndarray], size: int, wanted: np.ndarray, near: list[dict]) -> None:
-        """All windows over the cosine, for each item of each text."""
+        """All windows over the cosine or with a telling run, for each item of each text."""
         n = np.array([len(h) for h in hashed])
         hashes, offsets, step = np.concatenate(hashed), np.concatenate([[0], np.cumsum(n)[:-1]]), size // 2
         at = buckets(hashes)
         weight = self.idf[at]
-        ours = self.known[slots(hashes)] & (weight >= COMMON)
-        energy, own = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (weight**2, np.where(ours, weight**2, 0)))
+        known = self.known[slots(hashes)]
+        rare = known & (weight >= COMMON)
         windows = np.where(n > 0, np.maximum(0, -(-(n - size) // step)) + 1, 0)
         text = np.repeat(np.arange(len(n)), windows)
         k = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = np.minimum(k * step, np.maximum(0, n[text] - size))
         a, b = offsets[text] + starts, offsets[text] + np.minimum(starts + size, n[text])
-        likely = np.flatnonzero(own[b] - own[a] >= np.maximum(1e-9, ENERGY * (energy[b] - energy[a])))
-        if not len(likely):
-            return
-        rows, of = self.row[at], np.concatenate([[0], np.cumsum(ours)])
-        kept = np.flatnonzero(ours)
-        block = max(64, (1 << 20) // max(1, len(self.passages)))
-        for i in range(0, len(likely), block):
-            w = likely[i : i + block]
-            lo, hi = of[a[w]], of[b[w]]  # at least one word of each window is kept
-            counts = hi - lo
-            order = np.argsort(-counts, kind="stable")
-            w, lo, counts = w[order], lo[order], counts[order]
-            z = np.zeros((len(w), self.basis.shape[1]), np.float32)
-            for j in range(int(counts[0])):  # the j-th word of all windows that have so many
-                more = int(np.searchsorted(-counts, -j, side="left"))
-                at_j = kept[lo[:more] + j]
-                z[:more] += self.basis[rows[at_j]] * weight[at_j, None]
-            z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
-            cosines = z @ self.passages.T
-            for x, p in zip(*np.nonzero((cosines >= COSINE) & wanted), strict=True):
-                d, item, c = int(text[w[x]]), int(self.item[p]), float(cosines[x, p])
-                near[d].setdefault(item, []).append((c, int(starts[w[x]]), int(b[w[x]] - offsets[d])))
-
-    def common(self, at: int, region: np.ndarray) -> int:
-        """Length of the longest common subsequence, a bit for each word of the item."""
+        columns = np.flatnonzero(wanted)
+        latent, owner = self.passages[columns], self.item[columns]
+        place, said = self.said(hashes, np.repeat(np.arange(len(n)), n))
+        mine = np.isin(said, owner)
+        place, said = place[mine], said[mine]
+        inside = np.repeat(np.arange(len(n)), n)[place]
+        first = np.cumsum(windows) - windows
+        held = first[inside] + np.minimum((place - offsets[inside]) // step, windows[inside] - 1)
+        pairs = np.unique(np.stack([held, said]), axis=1)  # windows and items with a telling run
+        rows, ends = self.row[at], np.cumsum(n)
+        of_rare, of_known = (np.concatenate([[0], np.cumsum(x)]) for x in (rare, known))
+        some = of_rare[b] > of_rare[a]
+        block = max(64, (1 << 20) // max(1, len(columns)))
+        for of, ours, these in ((of_rare, rare, np.flatnonzero(some)), (of_known, known, np.flatnonzero(~some & (of_known[b] > of_known[a])))):
+            kept = np.flatnonzero(ours)
+            for i in range(0, len(these), block):
+                w = these[i : i + block]
+                told = pairs[:, (pairs[0] >= w[0]) & (pairs[0] <= w[-1])]
+                second = a[w] + step < b[w]
+                halves, half = np.unique(np.concatenate([a[w], a[w[second]] + step]), return_inverse=True)
+                lo, hi = of[halves], of[np.minimum(halves + step, ends[np.searchsorted(ends, halves, side="right")])]
+                sums = self.summed(kept, lo, hi, rows, weight)
+                z = sums[half[: len(w)]]
+                z[second] += sums[half[len(w) :]]
+                z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
+                cosines = z @ latent.T
+                taken = cosines >= COSINE
+                row_of = dict(zip(w.tolist(), range(len(w)), strict=True))
+                for x, item in told.T.tolist():
+                    if x in row_of:
+                        own = np.flatnonzero(owner == item)
+                        taken[row_of[x], own[np.argmax(cosines[row_of[x], own])]] = True
+                for x, p in zip(*np.nonzero(taken), strict=True):
+                    d, item, c = int(text[w[x]]), int(owner[p]), float(cosines[x, p])
+                    near[d].setdefault(item, []).append((c, int(starts[w[x]]), int(b[w[x]] - offsets[d])))
+
+    def summed(self, kept: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of the weighed rows of the basis, for each range of ``kept`` words."""
+        counts = hi - lo
+        order = np.argsort(-counts, kind="stable")
+        lo, counts = lo[order], counts[order]
+        z = np.zeros((len(lo), self.basis.shape[1]), np.float32)
+        for j in range(int(counts[0])):  # the j-th word of all ranges that have so many
+            more = int(np.searchsorted(-counts, -j, side="left"))
+            at_j = kept[lo[:more] + j]
+            z[:more] += self.basis[rows[at_j]] * weight[at_j, None]
+        out = np.empty_like(z)
+        out[order] = z
+        return out
+
+    def common(self, at: int, region: np.ndarray, least: float = 0) -> int:
+        """Length of the longest common subsequence, a bit for each word of the item; 0 if too few words are the item's for ``least``."""
         if at not in self.masks:
             mask: dict[int, int] = {}
             for i, w in enumerate(self.items[at][1].tolist()):
@@ -196,11 +266,12 @@ class Latent:
         mask, n = self.masks[at], len(self.items[at][1])
         full = (1 << n) - 1
         v = full
-        for w in region.tolist():
-            m = mask.get(w, 0)
-            if m:
-                u = v & m
-                v = (v + u | v - u) & full
+        said = [mask[w] for w in region.tolist() if w in mask]
+        if len(said) < least:
+            return 0
+        for m in said:
+            u = v & m
+            v = (v + u | v - u) & full
         return n - v.bit_count()
 
 

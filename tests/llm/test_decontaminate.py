@@ -110,3 +110,19 @@ def test_copy_is_found_behind_nearer_windows(spark):
     docs += [(100 + i, " ".join([*shuffled, *filler])) for i in range(3)]
     docs += [(200 + i, " ".join(filler)) for i in range(60)]
     assert found(spark, docs, [(i, " ".join(t)) for i, t in items]) == {(i, 0) for i in range(24)}
+
+
+def test_copies_that_many_documents_hold(spark):
+    """A third, then most of the documents hold one item; words of other items, which are rarer, stand around it."""
+    rng = random.Random(6)
+    items = [(0, [f"c{k}" for k in range(16)])] + [(i, [f"r{i}x{k}" for k in range(40)]) for i in range(1, 40)]
+    others = [w for _, t in items[1:] for w in t]
+    for share in (3, 1):
+        docs, planted = [], set()
+        for i in range(90):
+            body = [rng.choice(others) for _ in range(120)]
+            if i % share == 0:
+                body[50:50] = items[0][1]
+                planted.add((i, 0))
+            docs.append((i, " ".join(body)))
+        assert found(spark, docs, [(i, " ".join(t)) for i, t in items]) == planted
