@@ -28,7 +28,7 @@ BASE = ("email", "ip", "card", "phone")
 
 CONTACT = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])"
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])"
 EXTRA = ("contact", "ssn", "secret")
 KINDS = BASE + EXTRA
 

@@ -76,6 +76,15 @@ def test_classifier_adds_secrets_and_leaves_words(spark):
         assert got[40 + i][1] == ""
 
 
+def test_long_secrets_are_found(spark):
+    key = "c4e721b4f812088970e66a6345cee0a9" * 40
+    texts = [f'the token = "{i:03x}{key[: 60 + 25 * i]}" here' for i in range(40)]
+    got = spans_of(spark, texts)
+    for i in range(40):
+        at = texts[i].index('"') + 1
+        assert got[i][1] == f"secret:{at}:{texts[i].rindex(chr(34))}"
+
+
 def test_votes_make_reliabilities():
     import numpy as np
 
