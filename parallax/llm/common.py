@@ -33,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Where no cluster names a folder, as in tests.
+#: Where a session of one machine, as in tests, names no folder.
 LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster must set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def fresh(df: DataFrame, name: str) -> str:
