@@ -10,16 +10,19 @@ more are linked, and linked documents, directly or through others, form a compon
    at least one of 6 trees but for 6e-8 of the cases, and any depth but for about 2e-6.
 3. Nodes of at most ``LEAF`` documents are compared exhaustively, by size and sketch (a linked pair fails
    that with a chance under 1e-8). Only a spanning forest of what may be linked goes on: candidates.
-   Larger nodes compare all with one pivot, and branch again as long as they hold several candidate
-   clusters. Where one cluster has half of such a node, and beyond ``DEPTH``, all of the node joins one
-   cluster instead: that is only more to compare, so nothing is lost.
+   Larger nodes compare all with one pivot. What then is outside the pivot's candidate cluster is compared with
+   all of the node, block by block, where it is at most ``OUTSIDERS`` documents; where it is more, the node
+   branches again. Beyond ``DEPTH``, all of the node joins one cluster: that is only more to compare.
 4. Links lie within candidate clusters. Each cluster of at most ``CELL`` documents is one cell, to which
    whole texts are sent once, and where all full sets are compared exactly. A larger cluster is dealt
-   to cells by hash, each with the same few pivots; then everything outside the cluster's largest component
-   is compared with all of the cluster, block by block. Cells give spanning forests of links.
-
-No step makes all pairs of a group as rows, gathers a group of unbounded size in a task, or brings
-documents, links or components to the driver.
+   to cells by hash, each with the same few pivots. Everything outside the cluster's largest component then
+   meets all of the cluster again, block by block, by sketches of ``LONG_BITS`` bits; only where these
+   allow a link do whole texts meet. Cells give spanning forests of links.
+
+Joins on nodes and clusters, whose rows may be a third of all, have one row a key on the right: it is broadcast
+where it was counted to be at most ``BROADCAST_ROWS`` rows, and else repeated for ``SALTS`` salts. No step makes
+all pairs of a group as rows, gathers a group of unbounded size in a task, or brings documents, links or
+components to the driver.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.llm.common import forget, fresh, mix64, ready, stored
+from parallax.llm.common import forget, mix64, null_to_empty, ready, stored
 
 WORDS = 5
 SIMILAR = 75
@@ -43,23 +47,33 @@ COORDINATES = 64
 BITS = 512
 LEAF = 256
 DEPTH = 4
+OUTSIDERS = 4096
 CELL = 256
-BLOCK = 128
 PIVOTS = 32
-#: Sketch bits that agree: 448 of 512 expected at 75 percent; six standard deviations less.
+#: Documents on either side of a block of sketches, and of a block of texts within it.
+BLOCK, SUBBLOCK = 1024, 128
+#: Sketch bits that agree: 448 of 512 and 1792 of 2048 expected at 75 percent; six standard deviations less.
 LEAST_BITS = 403
+LONG_BITS, LEAST_LONG = 2048, 1702
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 LONGS = ", ".join(f"{c} long" for c in SKETCH)
 #: As many edges are joined in one task (a few MB); more by stars.
 LOCAL_EDGES = 500_000
-#: Slots of the filter that keeps texts without candidates from being shuffled; bounds its size.
-FILTER_SLOTS = 1 << 22
+#: Rows of nodes or clusters that are broadcast, of at most 100 bytes each.
+BROADCAST_ROWS = 50_000
+SALTS = 32
+#: Most slots of the filter that keeps texts without candidates from being shuffled; bounds its size.
+FILTER_SLOTS = 1 << 25
 
 RNG = np.random.default_rng(20240229)
 FACTORS = RNG.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-HASH_MUL = (RNG.integers(0, 2**31, BITS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-HASH_XOR = RNG.integers(0, 2**32 - 1, BITS, np.uint32)[:, None]
-HASH_OWN = np.arange(BITS, dtype=np.uint64) << np.uint64(32)
+
+
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (RNG.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1))[:, None], RNG.integers(0, 2**32 - 1, n, np.uint32)[:, None], np.arange(n, dtype=np.uint64) << np.uint64(32)
+
+
+HASHES, LONG_HASHES = permutations(BITS), permutations(LONG_BITS)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -76,65 +90,67 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix64(sums))
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    lows = np.full(BITS, np.uint32(2**32 - 1))
+def minhashes(hashes: np.ndarray, by: tuple[np.ndarray, np.ndarray, np.ndarray] = HASHES) -> np.ndarray:
+    multiply, flip, own = by
+    lows = np.full(len(own), np.uint32(2**32 - 1))
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 512):
-        part = short[at : at + 512] ^ HASH_XOR
-        part *= HASH_MUL
+        part = short[at : at + 512] ^ flip
+        part *= multiply
         np.minimum(lows, part.min(axis=1), out=lows)
-    return mix64(lows.astype(np.uint64) + HASH_OWN)
+    return mix64(lows.astype(np.uint64) + own)
+
+
+def top_bits(lows: np.ndarray) -> np.ndarray:
+    return np.packbits((lows >> np.uint64(63)).astype(np.uint8))
 
 
 def signature(hashes: np.ndarray) -> tuple:
     """Two longs that name the set, longs of sketch bits, and 32 bits of each branching coordinate."""
     lows = minhashes(hashes)
-    bits = np.packbits((lows >> np.uint64(63)).astype(np.uint8)).view(np.int64)
     name = np.array([hashes.sum(dtype=np.uint64), mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
-    return *name.tolist(), *bits.tolist(), (lows[:COORDINATES] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return *name.tolist(), *top_bits(lows).view(np.int64).tolist(), (lows[:COORDINATES] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                hashes = shingles(text if isinstance(text, str) else None)
-                rows.append((doc_id, len(hashes), *signature(hashes)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "a", "b", *SKETCH, "sig"])
+    """(doc_id, n, a, b, sketch, sig) of (doc_id, text); ids go through untouched, null ones too."""
+    names = ["n", "a", "b", *SKETCH, "sig"]
 
-    return docs.mapInPandas(run, f"doc_id long, n long, a long, b long, {LONGS}, sig binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(hashes), *signature(hashes)) for t in batch.column(1) for hashes in [shingles(t.as_py())]]
+            columns = [pa.array(c, pa.binary() if name == "sig" else pa.int64()) for name, c in zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, a long, b long, {LONGS}, sig binary")
 
 
 # Branching
 
 
-def children(rows: DataFrame, first: bool) -> DataFrame:
-    """(node, rep, n, sketch) one level down of (rep, n, sketch, sig) and, but for the first level, their node."""
+def coordinate(at: Column) -> Column:
+    return F.substr(F.col("sig"), at * 4 + 1, F.lit(4))
+
+
+def first_paths(reps: DataFrame) -> DataFrame:
+    """(node, rep, n, sketch): the nodes of the first level of all trees."""
+    nodes = [F.xxhash64(F.lit(at // BRANCHES), F.lit(at), coordinate(F.lit(at))) for at in range(TREES * BRANCHES)]
+    return reps.select(F.explode(F.array(*nodes)).alias("node"), "rep", "n", *SKETCH)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), COORDINATES).astype(np.uint64)
-            each = np.arange(len(pdf))
-            for tree in range(TREES if first else 1):
-                above = np.full(len(pdf), np.uint64(tree + 1)) if first else pdf["node"].to_numpy(np.int64).view(np.uint64)
-                for branch in range(BRANCHES):
-                    if first:
-                        chosen = np.full(len(pdf), tree * BRANCHES + branch)
-                    else:
-                        chosen = ((mix64(above + np.uint64(7)) + np.uint64(branch * 37)) % np.uint64(COORDINATES)).astype(np.int64)
-                    node = mix64(mix64(above * np.uint64(0x9E3779B97F4A7C15) + chosen.astype(np.uint64)) + sig[each, chosen])
-                    yield pdf[["rep", "n", *SKETCH]].assign(node=node.view(np.int64))
 
-    return rows.mapInPandas(run, f"node long, rep long, n long, {LONGS}")
+def next_paths(members: DataFrame) -> DataFrame:
+    """One level down of (node, rep, n, sketch, sig); a node's hash chooses its coordinates."""
+    chosen = [F.pmod(F.xxhash64(F.lit(7), "node") + branch * 37, F.lit(COORDINATES)).cast("int") for branch in range(BRANCHES)]
+    nodes = [F.xxhash64("node", at, coordinate(at)) for at in chosen]
+    return members.select(F.explode(F.array(*nodes)).alias("node"), "rep", "n", *SKETCH)
 
 
-def in_nodes(frontier: DataFrame) -> DataFrame:
-    """Rows of nodes of two or more, with the node's size and pivot."""
-    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    return stored(frontier.join(sizes, "node"), "nodes")
+def keyed(rows: DataFrame, table: DataFrame, n: int, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` (with rep) and ``table``, of ``n`` rows, one a key; a key's rows are never one task's alone."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def may_link(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -180,9 +196,8 @@ def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) of candidate forests: small nodes exhaustively, large ones by their pivot."""
-    spark = nodes.sparkSession
+def small_nodes(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) of candidate forests of the nodes of (node, rep, n, sketch), compared exhaustively."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -211,37 +226,99 @@ def candidates(nodes: DataFrame) -> DataFrame:
             found += forest(ids[s], may_link(n[s], bits[s]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    small = nodes.filter(F.col("size") <= LEAF).select("node", "rep", "n", *SKETCH)
-    dealt = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
+    seen = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    dealt = rows.select("node", "rep", "n", *SKETCH, seen.alias("_seen")).filter("_seen > 1").drop("_seen")
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def pivot_edges(large: DataFrame, reps: DataFrame) -> DataFrame:
-    pivots = large.select("node", F.col("pivot").alias("rep")).distinct().join(reps.select("rep", "n", *SKETCH), "rep")
-    pivots = pivots.select("node", F.col("rep").alias("pivot"), F.col("n").alias("pn"), *[F.col(c).alias(f"p{c}") for c in SKETCH])
+def pivot_edges(members: DataFrame, pivots: DataFrame, n: int) -> DataFrame:
     differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in SKETCH])
     fits = (BITS - differ >= LEAST_BITS) & (100 * F.least("n", "pn") >= SIMILAR * F.greatest("n", "pn"))
-    return large.drop("pivot").join(pivots, "node").filter(fits & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    return keyed(members, pivots, n, "node").filter(fits & (F.col("rep") != F.col("p"))).select(F.col("rep").alias("u"), F.col("p").alias("v"))
+
+
+def outsider_edges(members: DataFrame) -> DataFrame:
+    """Candidate forests of (node, rep, n, sketch, root, outside, size): outsiders against all, in blocks of a node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in groups(batches, "cell"):
+            pdf = pdf.sort_values("outside", ascending=False, kind="stable")
+            ids, n, root = (pdf[c].to_numpy(np.int64) for c in ("rep", "n", "root"))
+            bits = pdf[SKETCH].to_numpy(np.int64).view(np.uint64)
+            label = np.unique(root, return_inverse=True)[1]
+            found = []
+            for at in range(int(pdf["outside"].sum())):
+                other = np.flatnonzero((label != label[at]) & (100 * np.minimum(n, n[at]) >= SIMILAR * np.maximum(n, n[at])))
+                agree = BITS - np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                near = other[agree >= LEAST_BITS]
+                if not len(near):
+                    continue
+                for new in np.unique(label[near]):
+                    found.append((ids[at], ids[near[label[near] == new][0]]))
+                label[np.isin(label, label[near])] = label[at]
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    to = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(spread("rep", 5, blocks)))
+    dealt = members.withColumn("block", F.explode(to)).select(F.xxhash64("node", "block").alias("cell"), "rep", "n", *SKETCH, "root", "outside")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "u long, v long")
+
+
+def candidates(reps: DataFrame) -> list[DataFrame]:
+    """Stored edges of candidate forests, from all levels of all trees."""
+    edges: list[DataFrame] = []
+    frontier = first_paths(reps)
+    for depth in range(DEPTH):
+        is_pivot = F.xxhash64("node", "rep")
+        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(is_pivot).alias("pivot"))
+        large = stored(sizes.filter(F.col("size") > LEAF), "nodes")
+        n = large.count()
+        if not n:
+            edges.append(stored(small_nodes(frontier), "candidates"))
+            break
+        members = stored(keyed(frontier, large, n, "node"), "members")
+        firsts = members.filter(is_pivot == F.col("pivot"))
+        pivots = firsts.select("node", F.col("rep").alias("p"), F.col("n").alias("pn"), *[F.col(c).alias(f"p{c}") for c in SKETCH])
+        edges.append(stored(small_nodes(keyed(frontier, large, n, "node", "left_anti")).union(pivot_edges(members, pivots, n)), "candidates"))
+
+        roots = components(edges).withColumnRenamed("id", "rep")
+        labelled = stored(members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "members")
+        mains = labelled.filter(is_pivot == F.col("pivot")).select("node", F.col("rep").alias("p"), F.col("root").alias("main"))
+        marked = keyed(labelled, mains, n, "node").withColumn("outside", F.col("root") != F.col("main")).drop("main", "pivot")
+        outside = marked.filter("outside").groupBy("node").agg(F.count(F.lit(1)).alias("outsiders"))
+        mixed = stored(outside, "mixed")
+        counts = mixed.agg(F.count_if(F.col("outsiders") <= OUTSIDERS).alias("few"), F.count_if(F.col("outsiders") > OUTSIDERS).alias("many")).first()
+        if counts["few"]:
+            edges.append(stored(outsider_edges(keyed(marked, mixed.filter(F.col("outsiders") <= OUTSIDERS), counts["few"], "node")), "candidates"))
+        if not counts["many"]:
+            break
+        rest = keyed(marked, mixed.filter(F.col("outsiders") > OUTSIDERS), counts["many"], "node")
+        if depth == DEPTH - 1:
+            edges.append(stored(rest.select(F.col("rep").alias("u"), F.col("p").alias("v")), "candidates"))
+            break
+        frontier = next_paths(stored(rest.select("node", "rep").join(reps.select("rep", "n", *SKETCH, "sig"), "rep"), "frontier"))
+    return edges
 
 
 # Components
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of each edge's component, for all ids but the roots.
+def components(edges: list[DataFrame]) -> DataFrame:
+    """(id, root), stored: the smallest id of each edge's component, for all ids of the stored ``edges``.
 
-    At most ``LOCAL_EDGES`` distinct edges are joined in one task. More alternate large and small stars:
-    each vertex passes its least neighbour to its larger neighbours, then to its smaller ones, until
+    At most ``LOCAL_EDGES`` edges are joined in one task. More alternate large and small stars: each
+    vertex passes its least neighbour to its larger neighbours, then to its smaller ones, until
     nothing changes.
     """
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
+    every = union(edges)
+    if every.count() <= LOCAL_EDGES:
+        return stored(every.coalesce(1).mapInPandas(joined, "id long, root long"), "components")
+    now = stored(every.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     seen = mark(now)
-    if seen[0] <= LOCAL_EDGES:
-        return stored(now.coalesce(1).mapInPandas(joined, "id long, root long"), "components")
     while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -254,7 +331,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         if then == seen:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    stars = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return stored(stars.union(stars.select("root", "root").distinct()), "components")
 
 
 def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,7 +349,7 @@ def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(u), root(v)
             if a != b:
                 above[max(a, b)] = min(a, b)
-    found = [(x, r) for x in [*above] if (r := root(x)) != x]
+    found = [(x, root(x)) for x in above.keys() | set(above.values())]
     yield pd.DataFrame(found, columns=["id", "root"], dtype="int64")
 
 
@@ -312,7 +390,6 @@ def links(sets: list[np.ndarray], asked: np.ndarray | None = None) -> np.ndarray
 
 def compared(cells: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (u, v) of the links in ``cells`` (cell, rep, asked), where whole texts of ``docs`` meet."""
-    spark = cells.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in groups(batches, "cell"):
@@ -321,48 +398,100 @@ def compared(cells: DataFrame, docs: DataFrame) -> DataFrame:
                 linked = links([shingles(t) for t in pdf["text"]], None if asked.all() else asked)
                 yield pd.DataFrame(forest(pdf["rep"].to_numpy(np.int64), linked), columns=["u", "v"], dtype="int64")
 
-    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_SLOTS))
-    masks = cells.select(slot.alias("slot")).distinct().select((F.col("slot") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("slot", slot).withColumn("word", (F.col("slot") / 64).cast("int"))
-    texts = texts.join(F.broadcast(masks), "word").filter("(shiftright(mask, cast(slot % 64 as int)) & 1) = 1").select("rep", "text")
+    texts = sieved(docs.select(F.col("doc_id").alias("rep"), "text"), cells)
     met = cells.join(texts, "rep").select("cell", "rep", "asked", "text")
-    dealt = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(run, "u long, v long")
+    return met.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "u long, v long")
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, hit: bool = True) -> DataFrame:
+    """``rows`` whose ``rep`` may be in the stored ``wanted`` (or, if not ``hit``, surely is not there).
+
+    By a broadcast filter with 16 slots a wanted row, ``FILTER_SLOTS`` at most; more wanted rows let more through.
+    """
+    slots = min(FILTER_SLOTS, 1 << (16 * wanted.count() + 1024).bit_length())
+    slot = F.pmod(F.xxhash64(F.lit(17), "rep"), F.lit(slots))
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    masks = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    met = rows.withColumn("_word", word).join(F.broadcast(masks), "_word", "left")
+    found = F.coalesce(F.col("_mask"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    return met.filter(found if hit else ~found).select(*rows.columns)
 
 
 def spread(key: str, seed: int, over):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), over)
 
 
+def long_sketches(rows: DataFrame) -> DataFrame:
+    """``rows`` (cluster, rep, root, asked, rows, columns, text) with n and bits instead of text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(t) for t in null_to_empty(pdf["text"])]
+            yield pdf.drop(columns="text").assign(n=[len(s) for s in sets], bits=[top_bits(minhashes(s, LONG_HASHES)).tobytes() for s in sets])
+
+    return rows.mapInPandas(run, "cluster long, rep long, root long, asked boolean, rows long, columns long, n long, bits binary")
+
+
+def allowed(blocks: DataFrame) -> DataFrame:
+    """Cells (cell, rep, asked) of texts: what long sketches allow in (block, rep, root, asked, n, bits)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in groups(batches, "block"):
+            key = np.uint64(np.int64(pdf["block"].iloc[0]).view(np.uint64))
+            sides = []
+            for asked in (True, False):
+                side = pdf[pdf["asked"] == asked]
+                bits = np.frombuffer(b"".join(side["bits"]), np.uint64).reshape(len(side), LONG_BITS // 64)
+                sides.append((*(side[c].to_numpy(np.int64) for c in ("rep", "root", "n")), bits))
+            (ids, root, n, bits), (ids2, root2, n2, bits2) = sides
+            for i in range(0, len(ids), SUBBLOCK):
+                a = slice(i, i + SUBBLOCK)
+                for j in range(0, len(ids2), SUBBLOCK):
+                    b = slice(j, j + SUBBLOCK)
+                    agree = LONG_BITS - np.bitwise_count(bits[a, None, :] ^ bits2[None, b, :]).sum(axis=2, dtype=np.int64)
+                    may = (agree >= LEAST_LONG) & (root[a, None] != root2[None, b]) & (100 * np.minimum.outer(n[a], n2[b]) >= SIMILAR * np.maximum.outer(n[a], n2[b]))
+                    if may.any():
+                        cell = mix64(np.array([key + np.uint64(i // SUBBLOCK * 65536 + j // SUBBLOCK + 1)])).view(np.int64)[0]
+                        one, two = ids[a][may.any(axis=1)], ids2[b][may.any(axis=0)]
+                        yield pd.DataFrame({"cell": cell, "rep": np.concatenate([one, two]), "asked": np.arange(len(one) + len(two)) < len(one)})
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(run, "cell long, rep long, asked boolean")
+
+
 def exact_links(clusters: DataFrame, docs: DataFrame) -> list[DataFrame]:
-    """Stored edges of all links inside ``clusters`` (rep, cluster)."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    placed = stored(clusters.join(sizes, "cluster"), "clusters")
-    small = placed.filter(F.col("size") <= CELL).select(F.xxhash64("cluster").alias("cell"), "rep", F.lit(True).alias("asked"))
-    large = placed.filter(F.col("size") > CELL)
+    """Stored edges of all links inside the stored ``clusters`` (rep, cluster)."""
+    big = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CELL), "clusters")
+    n = big.count()
+    small = keyed(clusters, big, n, "cluster", "left_anti").select(F.xxhash64("cluster").alias("cell"), "rep", F.lit(True).alias("asked"))
+    if not n:
+        return [stored(compared(stored(small, "cells"), docs), "links")]
+    large = keyed(clusters, big, n, "cluster")
     blocks = F.ceil(F.col("size") / (CELL - 2 * PIVOTS)).cast("long")
     own = spread("rep", 1, blocks)
     to = F.when(spread("rep", 2, F.col("size")) < PIVOTS, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))
-    dealt = large.select(F.col("cluster"), "rep", F.explode(to).alias("block"))
+    dealt = large.select("cluster", "rep", F.explode(to).alias("block"))
     dealt = dealt.select(F.xxhash64("cluster", "block").alias("cell"), "rep", F.lit(True).alias("asked"))
     found = [stored(compared(stored(small.union(dealt), "cells"), docs), "links")]
-    if large.isEmpty():
-        return found
-    roots = components(found[0])
-    labelled = large.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    labelled = stored(labelled, "labelled")
+
+    roots = components(found).withColumnRenamed("id", "rep")
+    labelled = stored(large.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled")
     counts = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top")).select("cluster", F.col("top.root").alias("main"), F.col("top.k").alias("k"))
-    rest = labelled.join(main, "cluster").filter("k < size").withColumn("asked", F.col("root") != F.col("main"))
-    rows, columns = F.ceil((F.col("size") - F.col("k")) / BLOCK).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long")
+    mains = stored(counts.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top")).select("cluster", F.col("top.root").alias("main"), F.col("top.k").alias("k")), "mains")
+    rest = keyed(labelled, mains, n, "cluster").filter("k < size").withColumn("asked", F.col("root") != F.col("main"))
+    rest = stored(rest.select("cluster", "rep", "root", "asked", F.ceil((F.col("size") - F.col("k")) / BLOCK).cast("long").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("long").alias("columns")), "rest")
+    if rest.isEmpty():
+        return found
+    texts = sieved(docs.select(F.col("doc_id").alias("rep"), "text"), rest)
+    sketched = stored(long_sketches(rest.join(texts, "rep").select("cluster", "rep", "root", "asked", "rows", "columns", "text")), "sketches")
 
     def to_all(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    asking = rest.filter("asked").select("cluster", "rep", "asked", spread("rep", 3, rows).alias("i"), to_all(columns).alias("j"))
-    asked = rest.select("cluster", "rep", F.lit(False).alias("asked"), to_all(rows).alias("i"), spread("rep", 4, columns).alias("j"))
-    cells = asking.union(asked).groupBy(F.xxhash64("cluster", "i", "j").alias("cell"), "rep").agg(F.max("asked").alias("asked"))
-    found.append(stored(compared(stored(cells, "cells"), docs), "links"))
+    keep = ("cluster", "rep", "root", "n", "bits")
+    asking = sketched.filter("asked").select(*keep, F.lit(True).alias("asked"), spread("rep", 3, F.col("rows")).alias("i"), to_all(F.col("columns")).alias("j"))
+    others = sketched.select(*keep, F.lit(False).alias("asked"), to_all(F.col("rows")).alias("i"), spread("rep", 4, F.col("columns")).alias("j"))
+    dealt = asking.union(others).select(F.xxhash64("cluster", "i", "j").alias("block"), "rep", "root", "asked", "n", "bits")
+    found.append(stored(compared(stored(allowed(dealt), "cells"), docs), "links"))
     return found
 
 
@@ -375,43 +504,22 @@ def assign(docs: DataFrame) -> DataFrame:
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.filter(F.col("doc_id").isNotNull())
-    every = stored(signed(known), "signatures")
+    every = stored(signed(docs), "signatures")
+    known = every.filter("doc_id IS NOT NULL AND n > 0")
     firsts = ("n", *SKETCH, "sig")
-    reps = stored(every.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in firsts]), "reps")
-
-    edges: list[DataFrame] = []
-    frontier = children(reps, True)
-    for depth in range(DEPTH):
-        nodes = in_nodes(frontier)
-        large = nodes.filter(F.col("size") > LEAF)
-        edges.append(stored(candidates(nodes).union(pivot_edges(large, reps)), "candidates"))
-        if large.isEmpty():
-            break
-        clusters = components(union(edges)).withColumnRenamed("id", "rep")
-        held = large.join(clusters, "rep", "left").groupBy("node", F.coalesce("root", "rep").alias("root")).agg(F.count(F.lit(1)).alias("k"))
-        held = held.groupBy("node").agg(F.max("k").alias("most"), F.sum("k").alias("all")).filter("most < all")
-        mixed = stored(large.join(held, "node"), "mixed")
-        whole = F.lit(True) if depth == DEPTH - 1 else F.col("most") * 2 >= F.col("all")
-        edges.append(mixed.filter(whole).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-        again = mixed.filter(~whole)
-        if again.isEmpty():
-            break
-        frontier = children(again.select("node", "rep").join(reps.select("rep", "n", *SKETCH, "sig"), "rep"), False)
-    clusters = components(union(edges)).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
-    clusters = stored(clusters.union(clusters.select("cluster", "cluster").distinct()), "clusters")
+    reps = stored(known.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), *[F.first(c).alias(c) for c in firsts]), "reps")
+    clusters = components(candidates(reps)).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
 
     # rows of one doc_id are one vertex: its sets are tied by their ids
-    owners = every.filter("n > 0").join(reps.select("a", "b", "rep"), ["a", "b"]).select("doc_id", "rep")
-    low = owners.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
-    tied = owners.join(low, "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    roots = components(union([*exact_links(clusters, known), tied])).withColumnRenamed("id", "rep")
+    owners = known.join(reps.filter("last != rep").select("a", "b", "rep"), ["a", "b"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    low = owners.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u != v")
+    tied = stored(owners.join(low.select("doc_id", F.col("u").alias("low")), "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v")), "tied")
+    roots = components([*exact_links(clusters, docs.filter("doc_id IS NOT NULL")), tied]).withColumnRenamed("id", "rep")
     named = reps.select("a", "b", "rep").join(roots, "rep", "left").select("a", "b", F.coalesce("root", "rep").alias("root"))
     out = every.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
-    root = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    unnamed = signed(docs.filter(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(0).cast("long")))
-    return out.union(unnamed.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long"), F.lit(True)))
+    root = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -424,11 +532,17 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    All columns stay. Of rows of one kept doc_id the first by text stays; rows with a null doc_id all stay.
+    All columns stay. Rows of one doc_id are one document: of a kept one all rows stay but repeated texts, of
+    which the first by the hash of its other columns stays. Rows with a null doc_id all stay. Null and empty texts
+    are nobody's copies; an empty table stays empty.
     """
-    key, row = fresh(docs, "_kept"), fresh(docs, "_row")
-    kept = assign(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = joined.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1).drop(row)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    assigned = stored(assign(docs).filter("doc_id IS NOT NULL"), "assigned")
+    some = assigned.groupBy("doc_id").agg(F.min("kept").alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1")
+    some = stored(some.select(F.col("doc_id").alias("rep"), "stays"), "copies")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    known = rows.filter("rep IS NOT NULL")
+    met = sieved(known, some).join(some, "rep", "left").filter("coalesce(stays, true)")
+    first = Window.partitionBy("copy").orderBy(F.xxhash64("row"))  # a key of its own: copies are thinned before they are dealt
+    met = met.withColumn("copy", F.struct("rep", F.sha2(F.col("row.text").cast("string"), 256))).withColumn("at", F.row_number().over(first)).filter("at = 1")
+    whole = sieved(known, some, hit=False).union(met.select("rep", "row")).union(rows.filter("rep IS NULL"))
+    return whole.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -67,6 +67,9 @@ def test_large_nodes_and_clusters(spark, monkeypatch, depth):
     monkeypatch.setattr(mh, "LEAF", 8)
     monkeypatch.setattr(mh, "CELL", 16)
     monkeypatch.setattr(mh, "BLOCK", 8)
+    monkeypatch.setattr(mh, "SUBBLOCK", 4)
+    monkeypatch.setattr(mh, "OUTSIDERS", 12 if depth == 1 else 40)
+    monkeypatch.setattr(mh, "BROADCAST_ROWS", 0 if depth == 1 else 10)
     monkeypatch.setattr(mh, "PIVOTS", 4)
     monkeypatch.setattr(mh, "DEPTH", depth)
     monkeypatch.setattr(mh, "LOCAL_EDGES", 0 if depth == 1 else 10_000)
@@ -88,6 +91,18 @@ def test_rows_of_one_id_tie_their_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in got(spark, rows)} == brute(rows) == {3: 3, 4: 3, 5: 3, 7: 3}
 
 
+def test_deduplicated_loses_no_text_of_a_kept_document(spark):
+    rows = [(1, "one two three four five six", 0), (1, "other words of the same id", 1), (1, "other words of the same id", 2), (2, "One two three four five six", 3), (3, "other words of the same id", 4), (2**63 - 1, "x", 5), (2**53 + 1, "y", 6), (None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep int")
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in mh.deduplicated(docs).collect())
+    assert out == [(0, "x"), (1, "one two three four five six"), (1, "other words of the same id"), (2**53 + 1, "y")]
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "a b"), (2**53, "c d"), (2**63 - 1, "a b"), (None, "a b")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in mh.assign(docs).collect()} == {(2**53 + 1, 2**53 + 1), (2**53, 2**53), (2**63 - 1, 2**53 + 1), (None, None)}
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, None, "z"), (None, "a b c", "u"), (4, "d", "k"), (4, "d", "l")], "doc_id long, text string, lang string")
     assert sorted(((r["doc_id"], r["lang"]) for r in mh.deduplicated(docs).drop("text").collect() if r["lang"] not in "kl"), key=str) == [(1, "x"), (3, "z"), (None, "u")]
@@ -111,4 +126,4 @@ def test_links_are_exact(m):
 def test_components_of_a_long_path(spark, monkeypatch, local):
     monkeypatch.setattr(mh, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "u long, v long")
-    assert {(r["id"], r["root"]) for r in mh.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 99)}
+    assert {(r["id"], r["root"]) for r in mh.components([edges]).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
