@@ -15,12 +15,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import ready
-
+from parallax.llm.common import ArrowBatches, arrow_batch, ready
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: What starts or ends turns in this and other templates.
@@ -96,20 +96,25 @@ MAPPINGS = {schema_fingerprint(layout.paths()): layout for layout in LAYOUTS} |
 }
 
 
+TURNS = pa.schema([("record_id", pa.int64()), ("own", pa.int64()), ("at", pa.int64()), ("position", pa.int32()), ("layout", pa.string()), ("role", pa.string()), ("text", pa.string())])
+
+
 def canonical(records: DataFrame, mappings: dict[str, Layout] | None = None) -> DataFrame:
-    """Turns (record_id long, at, position, layout, role, text) of ``records`` (record_id, at, body: JSON).
+    """Turns (record_id long, own, at, position, layout, role, text) of ``records`` (record_id, at, body: JSON).
 
     A record without a mapping, null or malformed, gives one row with null layout, role and text, so
     that nothing is lost unseen; the caller sets them apart. Null values count as absent texts ("").
+    ``own`` numbers the records without an id, null for others: each is a conversation of its own.
     """
     known = MAPPINGS if mappings is None else mappings
     ready(records.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: ArrowBatches) -> ArrowBatches:
         seen: dict[tuple, Layout | None] = {}
-        for pdf in batches:
+        unnamed = TaskContext.get().partitionId() << 40
+        for batch in batches:
             rows = []
-            for record_id, at, body in zip(pdf["record_id"], pdf["at"], pdf["body"], strict=True):
+            for record_id, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     record = json.loads(body)
                 except (TypeError, ValueError):
@@ -121,12 +126,13 @@ def canonical(records: DataFrame, mappings: dict[str, Layout] | None = None) ->
                         seen[paths] = known.get(schema_fingerprint(paths))
                     layout = seen[paths] if paths in seen else known.get(schema_fingerprint(paths))
                 turns = layout.read(record) if layout else [(None, None)]
-                rows += [(record_id, at, i, layout.name if layout else None, role, text) for i, (role, text) in enumerate(turns)]
-            out = pd.DataFrame(rows, columns=["record_id", "at", "position", "layout", "role", "text"])
-            yield out.astype({"record_id": "Int64", "at": "Int64"})
+                unnamed += 1
+                own = unnamed if record_id is None else None
+                rows += [(record_id, own, at, i, layout.name if layout else None, role, text) for i, (role, text) in enumerate(turns)]
+            yield arrow_batch(rows, TURNS)
 
-    return records.select(F.col("record_id").cast("long"), F.col("at").cast("long"), F.col("body").cast("string")).mapInPandas(
-        run, "record_id long, at long, position int, layout string, role string, text string"
+    return records.select(F.col("record_id").cast("long"), F.col("at").cast("long"), F.col("body").cast("string")).mapInArrow(
+        run, "record_id long, own long, at long, position int, layout string, role string, text string"
     )
 
 
@@ -154,56 +160,85 @@ def read_back(text: str) -> Iterator[tuple[str, str, int, int]]:
         raise ValueError(f"not a formatted conversation at {at}")
 
 
+#: A formatted conversation is cut, between turns, to parts of about so many characters.
+PART_CHARS = 1 << 20
+PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int32())))])
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Conversations (conv_id, formatted, loss_spans) of ``turns`` (record_id, at, position, role, text).
+    """Parts (conv_id, part, formatted, loss_spans) of the conversations of ``turns`` (record_id, at, position, role, text).
 
-    Turns go by ``at``, position, role and text, nulls first; null roles and texts are empty. Rows are
-    streamed in order, so a task holds one conversation at a time. Repeated rows are turns of their
-    own; a null record_id is a conversation too. loss_spans: [start, end) of assistant texts.
+    Turns go by ``at``, position, role and text, nulls first; null roles and texts are empty. Repeated rows are turns of
+    their own. A conversation is one part, 0, unless it is longer than ``PART_CHARS``; parts of a conversation follow
+    each other. Rows are streamed in order, so a task holds one part at a time, however long conversations are.
+    Rows with a null record_id are conversations by their ``own`` number, or all one without such a column.
+    loss_spans: [start, end) of assistant texts in the part.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, done = None, None, []
-
-        def row():
-            text = formatted(held)
-            spans = [[a, b] for role, _, a, b in read_back(text) if role == "assistant"]
-            return (now, text, spans)
-
-        for pdf in batches:
-            for conv_id, role, text in zip(pdf["record_id"], pdf["role"], pdf["text"], strict=True):
-                conv_id = None if conv_id is None or conv_id != conv_id else int(conv_id)
-                if held is not None and conv_id != now:
-                    done.append(row())
-                    held = None
-                if held is None:
-                    now, held = conv_id, []
-                held.append((role or "", text or ""))
-            yield frame(done)
+    def run(batches: ArrowBatches) -> ArrowBatches:
+        now, part, said, held, done = None, 0, [], 0, []
+
+        def cut():
+            nonlocal part, said, held
+            text = "".join(said)
+            done.append((now[0], part, text, [[a, b] for role, _, a, b in read_back(text) if role == "assistant"]))
+            part, said, held = part + 1, [], 0
+
+        for batch in batches:
+            for conv_id, own, role, text in zip(*(batch.column(c).to_pylist() for c in ("record_id", "own", "role", "text")), strict=True):
+                if now != (conv_id, own):
+                    if said:
+                        cut()
+                    now, part = (conv_id, own), 0
+                elif held >= PART_CHARS:
+                    cut()
+                said.append(formatted([(role or "", text or "")]))
+                held += len(said[-1])
+            yield arrow_batch(done, PARTS)
             done = []
-        if held is not None:
-            yield frame([row()])
+        if said:
+            cut()
+        yield arrow_batch(done, PARTS)
+
+    order = ["record_id", "own", "at", "position", "role", "text"]
+    if "own" not in turns.columns:
+        turns = turns.withColumn("own", F.lit(None).cast("long"))
+    dealt = turns.select(*order).repartition("record_id", "own").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "conv_id long, part int, formatted string, loss_spans array<array<int>>")
 
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["conv_id", "formatted", "loss_spans"]).astype({"conv_id": "Int64"})
 
-    order = ["record_id", "at", "position", "role", "text"]
-    dealt = turns.select(*order).repartition("record_id").sortWithinPartitions(*order)
-    return dealt.mapInPandas(run, "conv_id long, formatted string, loss_spans array<array<int>>")
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from them and their loss spans."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    """What the formatted conversations hold, read back from their parts, which come as ``format_chats`` gives them."""
+
+    def run(batches: ArrowBatches) -> ArrowBatches:
+        state: list | None = None
+        done: list[tuple] = []
+
+        def finish():
+            if state:
+                conv_id, n_turns, whole, n_loss, loss, chars = state
+                done.append((conv_id, n_turns, whole.hexdigest(), n_loss, loss.hexdigest(), chars))
+
+        for batch in batches:
+            for conv_id, part, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part == 0:
+                    finish()
+                    state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said, _, _ in read_back(text):
+                    state[1] += 1
+                    state[2].update(f"{role}\n{said}\n".encode())
+                for a, b in spans:
+                    said = unescape(text[a:b])
+                    state[3] += len(said)
+                    state[4].update(said.encode())
+                state[5] += len(text)
+            yield arrow_batch(done, DIGESTS)
+            done = []
+        finish()
+        yield arrow_batch(done, DIGESTS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for conv_id, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], strict=True):
-                turns = [(role, said) for role, said, _, _ in read_back(text)]
-                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
-                loss = "".join(unescape(text[a:b]) for a, b in spans)
-                rows.append((conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-
-    return chats.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = chats.select("conv_id", "part", "formatted", "loss_spans")
+    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

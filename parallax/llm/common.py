@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,12 @@ def null_to_empty(texts: pd.Series) -> list[str]:
     return ["" if t is None or t != t else t for t in texts]
 
 
+def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as an Arrow batch; unlike pandas, which makes doubles of long columns with nulls, it keeps every id."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def sum_blocks(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
     """Sum rows (block int, body binary of float32) by block, streamed, and bring the sums to the driver.
 
@@ -118,3 +125,4 @@ def hashed_share(key: str, share: float, seed: int):
 
 Batches = Iterator[pd.DataFrame]
 BatchFunction = Callable[[Batches], Batches]
+ArrowBatches = Iterator[pa.RecordBatch]

@@ -14,18 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty, ready
+from parallax.llm.common import ArrowBatches, arrow_batch, ready
 
 BINS = 128
 SHIFT = np.uint64(57)
 NONE = np.uint64(2**64 - 1)
-#: Rows of a range of doc_id in ``with_next``, and the most ranges.
+#: Rows of a range in ``in_ranges``, keys that are drawn for each, and the most ranges: at three times 10^10
+#: rows a range then has 28,000 rows, the bounds have 16 MB and the drawn keys 64 MB.
 RANGE_ROWS = 2000
-MAX_RANGES = 4096
+DRAWN = 4
+MAX_RANGES = 1 << 20
 LOWEST = -(2**63)
 
 
@@ -86,37 +89,43 @@ def fingerprints(text: str, following: str) -> tuple[str, str, str]:
     return kept + changed, shown(a), shown(b)
 
 
+KEY = np.dtype([("order", np.int64), ("hash", np.int64)])
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt to ranges of doc_id, each sorted downwards and followed by the first row
-    of the next range (``_ahead``), the last range by the first row of all.
+    """``docs`` (doc_id, text) dealt to ranges of (doc_id downwards, hash of text), each sorted and followed by the
+    first row of the next range (``_ahead``), the last range by the first row of all.
 
-    Ranges hold about ``RANGE_ROWS`` rows, or all rows divided by ``MAX_RANGES``; their bounds are the
-    only thing that goes to the driver. Null ids come last; rows of one id go by text.
+    Bounds are keys of rows, drawn from all of them, so the first row of a range is known by its key. Only rows equal in
+    id and text share a key. Null ids count as the lowest.
     """
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("_key", F.coalesce("doc_id", F.lit(LOWEST)))
-    n = keyed.count()
+    keyed = keyed.withColumn("_order", F.bitwise_not(F.coalesce("doc_id", F.lit(LOWEST))))  # ascends where ids descend
+    ahead = F.xxhash64("text")
+    lowest, n = keyed.agg(F.min("_order"), F.count(F.lit(1))).first()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    at = [i / ranges for i in range(1, ranges)]
-    bounds = keyed.agg(F.percentile_approx("_key", at, 20_000).alias("at")).first()["at"] if at and n else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    first = keyed.filter(F.col("_order") == F.lit(lowest)).agg(F.min(ahead)).first()[0] if n else 0
+    drawn = keyed.sample(min(1.0, DRAWN * ranges / max(1, n)), seed=23).select("_order", ahead.alias("_hash")).toPandas() if ranges > 1 else pd.DataFrame({"_order": [], "_hash": []})
+    keys = np.sort(np.rec.fromarrays([drawn["_order"].to_numpy(np.int64), drawn["_hash"].to_numpy(np.int64)], dtype=KEY))
+    bounds = np.unique(np.concatenate([np.array([(lowest or 0, first)], KEY), keys[DRAWN::DRAWN]]))
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def places(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for order, hashed in batches:
+            rows = np.rec.fromarrays([order.to_numpy(np.int64), hashed.to_numpy(np.int64)], dtype=KEY)
+            own = np.searchsorted(shared.value, rows, side="right") - 1
+            before = np.where(shared.value[own] == rows, (own - 1) % len(shared.value), -1)
+            yield pd.DataFrame({"own": own.astype(np.int32), "before": before.astype(np.int32)})
 
-    def range_of(keys: np.ndarray) -> np.ndarray:
-        return len(bounds) - np.searchsorted(bounds, keys)
+    place = F.pandas_udf(places, "own int, before int")
+    wide = keyed.withColumn("_hash", ahead).withColumn("_place", place("_order", "_hash"))
+    to = F.when(F.col("_place.before") >= 0, F.array("_place.own", "_place.before")).otherwise(F.array("_place.own"))
+    spread = wide.select("doc_id", "text", "_order", "_hash", F.posexplode(to).alias("_ahead", "_range"))
+    return spread.repartition("_range").sortWithinPartitions("_range", "_ahead", "_order", "_hash", "text")
 
-    def dealt(keys: pd.Series) -> pd.Series:
-        return pd.Series(range_of(keys.to_numpy(np.int64)).astype(np.int32))
 
-    own = F.pandas_udf(dealt, "int")
-    heads = {r["_range"]: r["head"] for r in keyed.select("_key").withColumn("_range", own("_key")).groupBy("_range").agg(F.max("_key").alias("head")).collect()}
-    order = sorted(heads)
-    before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
-    lead_to = F.create_map(*[F.lit(x) for k, r in before.items() for x in (int(k), r)]) if before else F.create_map(F.lit(0), F.lit(0))
-    wide = keyed.withColumn("_range", own("_key")).withColumn("_to", F.array_compact(F.array("_range", F.try_element_at(lead_to, F.col("_key")))))
-    ready(spark)
-    spread = wide.select("doc_id", "text", "_key", F.posexplode("_to").alias("_ahead", "_range"))
-    return spread.repartition("_range").sortWithinPartitions(F.col("_range"), F.col("_ahead"), F.col("_key").desc(), F.col("text"))
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -124,32 +133,33 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     and its likeness to that text and to the next document, by descending doc_id (after the last: the first).
 
     Null texts count as empty; an empty text is like an empty one (1) and unlike any other (0). A
-    single row is its own next. Null ids come last, repeated ids go by text; an empty table gives no rows.
+    single row is its own next. Null ids count as the lowest, repeated ids go by the hash (xxhash64) of their
+    texts; a run of rows equal in id and text is parsed once. An empty table gives no rows.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = prev = waiting = None
+    def run(batches: ArrowBatches) -> ArrowBatches:
+        now = prev = waiting = parsed = None
         ended = False
-        for pdf in batches:
+        for batch in batches:
             rows: list[tuple] = []
-            for rng, ahead, doc_id, text in zip(pdf["_range"], pdf["_ahead"], pdf["doc_id"], null_to_empty(pdf["text"]), strict=True):
+            ids = zip(*(batch.column(c).to_pylist() for c in ("_range", "_ahead", "doc_id")), strict=True)
+            for (rng, ahead, doc_id), text in zip(ids, batch.column("text"), strict=True):
+                text = text.as_py()
                 if rng != now:
                     now, prev, waiting, ended = rng, None, None, False
                 if ended:
                     continue
                 if prev is not None:
-                    changed, own, other = fingerprints(prev[1], text)
+                    if parsed is None or parsed[0] != (prev[1], text):
+                        parsed = ((prev[1], text), fingerprints(prev[1], text))
+                    changed, own, other = parsed[1]
                     if waiting:
                         rows.append((*waiting, likeness(waiting[3], own)))
                     waiting = (prev[0], len(prev[1]), hashlib.sha256(changed.encode()).hexdigest(), own, other, likeness(own, other))
                 if ahead:
                     rows.append((*waiting, likeness(waiting[3], fingerprint(text))))
                     ended = True
-                prev = (None if doc_id is None or doc_id != doc_id else int(doc_id), text)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                prev = (doc_id, text)
+            yield arrow_batch(rows, RESULT)
 
-    return in_ranges(docs).select("_range", "_ahead", "doc_id", "text").mapInPandas(run, schema)
+    return in_ranges(docs).select("_range", "_ahead", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,33 +1,35 @@
 """Packing tokenized documents into fixed-size training sequences by harmonic classes.
 
-A length l belongs to class k = capacity // l (its reciprocal capacity); a bin of the class holds
-k pieces. Documents may be cut, so every document is first cut to full sequences, then to halves,
-quarters, ... of the capacity down to ``SMALLEST_HALF``, whose bins fill without a gap, and a rest
-below that. Rests of equal length share bins of a fixed count, with less than one piece of padding.
-Each worker (task) keeps its own open bins, so that nothing is shuffled and any task can be run
-again alone. What a task leaves in open bins, a bounded number of tokens, is joined and cut at the
-capacity and, at the very end, at powers of two, which need no padding.
+A document of length l is in class k = capacity // l (its reciprocal capacity); a bin of the class takes
+k documents, whole. What its documents leave free waits for filling: documents longer than the capacity,
+which must be cut anyway, first fill the bins that wait, then make full sequences, and their rest goes to its
+class. Where more than ``WAITING`` bins wait, the next document fills them too, the bin with the largest
+space that it can fill first, so that one whose length equals a space stays whole.
+
+Each worker (task) keeps its own bins, so that nothing is shuffled and any task can be run again alone. What
+a task leaves in open and waiting bins, a bounded number of tokens, is joined and cut at the capacity and,
+at the very end, at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect, insort
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import null_to_empty, ready
+from parallax.llm.common import ArrowBatches, arrow_batch, ready
 
 CAPACITY = 2048
-SMALLEST_HALF = 128
+#: Bins of a worker that wait for filling; at the capacity of 2048, 64 of them hold under 1 MB.
+WAITING = 64
 END_ID = 1
-SPECIAL = "<|endoftext|>"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:
@@ -40,9 +42,9 @@ def default_tokenizer() -> str:
 def encoder(path: str):
     """The vocabulary of a byte-level ``tokenizers`` file: texts -> lists of ids.
 
-    The merges of such a file are in the order of its ids, so its ids are also ranks, by which the
-    tiktoken library finds the same ids several times faster. Texts with a special token's string
-    go through ``tokenizers`` itself, as does everything if a trial text gives different ids.
+    Where the merges of such a file are in the order of their ids and its split is ``PATTERN``, its ids are
+    ranks, by which the tiktoken library finds the same ids several times faster; texts with a special
+    token's string go through ``tokenizers`` itself. Other files go through ``tokenizers`` altogether.
     """
     import json
 
@@ -58,16 +60,10 @@ def encoder(path: str):
     def by_tokenizers(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
-    shown = byte_alphabet()
-    try:
-        ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        trial = "It's  a 12,5% trial\n\n of Übermäßig élan 你好 \U0001f600\t don't_stop!!  "
-        same = fast.encode_ordinary(trial) == by_tokenizers([trial])[0]
-    except (KeyError, ValueError):
-        same = False
-    if not same:
+    if not ranked(spec):
         return by_tokenizers
+    shown = byte_alphabet()
+    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [by_tokenizers([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
@@ -75,6 +71,16 @@ def encoder(path: str):
     return encode
 
 
+def ranked(spec: dict) -> bool:
+    """Whether a ``tokenizers`` file is plain byte-level BPE whose merges are in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return all(x < y for x, y in zip([-1, *ids], ids, strict=False))
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable characters by which byte-level vocabularies write the 256 bytes."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,34 +88,39 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces: full ones, halves of the capacity, a rest."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    half = capacity // 2
-    while half >= min(SMALLEST_HALF, capacity // 2) and half >= 1:
-        if n - at >= half:
-            yield at, half
-            at += half
-        half //= 2
-    if at < n:
-        yield at, n - at
-
-
 class Packer:
-    """The open bins of one worker. ``out`` has the finished rows."""
+    """The bins of one worker, as lists of pieces (doc_id, start, ids, tokens of the document). ``out`` has the finished rows."""
 
     def __init__(self, first_sequence: int, capacity: int = CAPACITY):
-        self.capacity, self.next, self.open, self.out = capacity, first_sequence, {}, []
+        self.capacity, self.next, self.out = capacity, first_sequence, []
+        self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple[int, list[tuple]]] = []  # (free, pieces), by what is free
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        for start, length in cuts(len(ids), self.capacity):
-            pieces = self.open.setdefault(length, [])
-            pieces.append((doc_id, start, ids[start : start + length], len(ids)))
-            if len(pieces) == self.capacity // length:
-                self.emit(self.open.pop(length))
+        total, start = len(ids), 0
+        while self.waiting and (total - start > self.capacity or len(self.waiting) > WAITING and total > start):
+            left = total - start
+            at = max(0, bisect(self.waiting, left, key=lambda w: w[0]) - 1)  # the largest space that it fills, or else the smallest
+            free, pieces = self.waiting.pop(at)
+            take = min(free, left)
+            pieces.append((doc_id, start, ids[start : start + take], total))
+            start += take
+            self.wait(free - take, pieces)
+        while total - start >= self.capacity:
+            self.emit([(doc_id, start, ids[start : start + self.capacity], total)])
+            start += self.capacity
+        if start < total:
+            k = self.capacity // (total - start)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((doc_id, start, ids[start:], total))
+            if len(pieces) == k:
+                self.wait(self.capacity - sum(len(p[2]) for p in pieces), self.open.pop(k))
+
+    def wait(self, free: int, pieces: list[tuple]) -> None:
+        if free:
+            insort(self.waiting, (free, pieces), key=lambda w: w[0])
+        else:
+            self.emit(pieces)
 
     def emit(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -119,9 +130,9 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
-        """Join what the open bins hold and cut it to sequences that need no padding."""
-        left = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        self.open = {}
+        """Join what the bins hold and cut it to sequences that need no padding."""
+        left = [p for pieces in [*(w[1] for w in self.waiting), *(self.open[k] for k in sorted(self.open))] for p in pieces]
+        self.open, self.waiting = {}, []
         total = sum(len(p[2]) for p in left)
         room = self.target(total)
         filled: list[tuple] = []
@@ -150,22 +161,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     path = tokenizer or default_tokenizer()
     ready(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(c, pa.int64()) for c in COLUMNS])
+
+    def run(batches: ArrowBatches) -> ArrowBatches:
         encode = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
 
-        def rows() -> pd.DataFrame:
+        def done() -> pa.RecordBatch:
             rows, packer.out = packer.out, []
-            pdf = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            return pdf
-
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], null_to_empty(pdf["text"]), strict=True):
-                ids = np.array([*encode([text])[0], END_ID], "<u4")
-                packer.add(None if doc_id is None or doc_id != doc_id else int(doc_id), ids)
-            yield rows()
+            return arrow_batch(rows, schema)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(doc_id, np.array([*encode([text.as_py() or ""])[0], END_ID], "<u4"))
+            yield done()
         packer.finish()
-        yield rows()
+        yield done()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))

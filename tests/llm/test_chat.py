@@ -42,6 +42,32 @@ def test_malformed_records_are_kept(spark):
     assert [r["layout"] for r in chat.canonical(records).collect()] == [None] * 3
 
 
+def test_ids_beyond_doubles_beside_a_null(spark):
+    ids = [2**53 + 1, 2**53, 2**63 - 1, -(2**63), None]
+    records = spark.createDataFrame([(i, 0, json.dumps({"role": "user", "text": str(i)})) for i in ids], "record_id long, at long, body string").coalesce(1)
+    got = chat.digests(chat.format_chats(chat.canonical(records))).collect()
+    assert {(r["conv_id"], r["turns_sha256"]) for r in got} == {(i, hashlib.sha256(f"user\n{i}\n".encode()).hexdigest()) for i in ids}
+
+
+def test_records_without_an_id_are_conversations_of_their_own(spark):
+    body = json.dumps({"prompt": "p", "completion": "c"})
+    got = chat.digests(chat.format_chats(chat.canonical(spark.createDataFrame([(None, 0, body)] * 5, "record_id long, at long, body string")))).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(None, 2)] * 5
+
+
+def test_a_long_conversation_is_cut_between_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 100)
+    said = [("user" if i % 2 == 0 else "assistant", f"<|turn|> {i} " * (i % 7)) for i in range(200)]
+    turns = spark.createDataFrame([(4, i, 0, r, t) for i, (r, t) in enumerate(said)] + [(5, 0, 0, "user", "x")], "record_id long, at long, position int, role string, text string")
+    parts = sorted((r["part"], r["formatted"]) for r in chat.format_chats(turns).filter("conv_id = 4").collect())
+    assert len(parts) > 20 and [p for p, _ in parts] == list(range(len(parts)))
+    assert "".join(t for _, t in parts) == chat.formatted(said)
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(turns)).collect()}
+    assert set(got) == {4, 5} and got[4]["n_turns"] == 200 and got[4]["formatted_chars"] == len(chat.formatted(said))
+    assert got[4]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    assert got[4]["loss_sha256"] == hashlib.sha256("".join(t for r, t in said if r == "assistant").encode()).hexdigest()
+
+
 def test_conversations(spark):
     rows = [(2, 1, "assistant", "b</s>"), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, None, None, None), (7, 0, "assistant", "x" * 300_000), (7, 1, "assistant", "")]
     turns = spark.createDataFrame([(c, t, 0, r, x, "clash") for c, t, r, x in rows], "record_id long, at long, position int, role string, text string, formatted string")

@@ -1,17 +1,23 @@
 import hashlib
 
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
 from parallax.llm import fingerprint as fp
 
 
+def spark_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def brute(rows):
     """By the definition: sort, take the next, parse everything anew."""
-    rows = sorted(((i is None, 0 if i is None else -i, t or "", i) for i, t in rows))
+    rows = sorted(((2**63 if i is None else -i, spark_hash(t or ""), i, t or "") for i, t in rows), key=lambda r: r[:2])
     out = []
-    for k, (_, _, text, i) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][2]
+    for k, (_, _, i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][3]
         changed = fp.edited(text, following)
         a, b, c = fp.fingerprint(text), fp.fingerprint(changed), fp.fingerprint(following)
         out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, fp.likeness(a, b), fp.likeness(a, c)))
@@ -32,6 +38,15 @@ def test_many_ranges(spark, monkeypatch):
     check(spark, [(i, f"text {i} " * (i % 5)) for i in range(-40, 160)])
 
 
+def test_hot_ids_are_split_by_text_and_equal_rows_stay(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 10)
+    rows = [(7, f"text {i} " * 3) for i in range(150)] + [(None, f"no id {i}") for i in range(80)] + [(3, "the same")] * 60 + [(2**53 + 1, "a"), (2**53, "b"), (2**63 - 1, "c"), (-(2**63) + 1, "d")]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in fp.in_ranges(docs).groupBy("_range").count().collect()]
+    assert len(sizes) > 15 and sorted(sizes)[-2] < 80
+
+
 def test_edge_cases(spark):
     check(spark, [(1, None), (2, ""), (None, "no id"), (3, "long " * 50_000), (4, "é\U0001f600ü"), (4, "é\U0001f600ü"), (4, "again")])
     check(spark, [(5, "alone")])

@@ -4,20 +4,43 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parallax.llm.packing import CAPACITY, Packer, cuts, default_tokenizer, encoder, pack
+from parallax.llm.packing import CAPACITY, WAITING, Packer, default_tokenizer, encoder, pack
 
 
 def padded(n):
     return n if n & (n - 1) == 0 else CAPACITY
 
 
-@pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 1000, 2047, 2048, 2049, 50_000])
-def test_cuts_cover_each_id_once(n):
-    at = 0
-    for start, length in cuts(n):
-        assert start == at and 0 < length <= CAPACITY
-        at += length
-    assert at == n
+def test_bins_hold_as_many_as_their_class_and_whole_documents():
+    packer = Packer(0)
+    lengths = [700, 600, 1500, 683, 1000, 1024, 400]  # classes 2, 3, 1, 2, 2, 2, 5
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n, dtype="<u4"))
+    assert {k: [len(p[2]) for p in v] for k, v in packer.open.items()} == {3: [600], 5: [400]}
+    assert sorted([len(p[2]) for p in pieces] for _, pieces in packer.waiting) == [[700, 683], [1000, 1024], [1500]]
+    packer.add(9, np.arange(2100, dtype="<u4"))  # too long for a bin: fills the largest space first
+    assert [(r[0], r[1], r[2]) for r in packer.out] == [(0, 0, 700), (3, 0, 683), (9, 0, 665)]
+    assert [len(p[2]) for p in packer.waiting[-1][1]] == [1435]  # what then fits is whole again
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_each_id_is_in_one_piece_and_memory_is_bounded(seed):
+    rng = np.random.default_rng(seed)
+    packer, lengths = Packer(0), [*rng.integers(1, 3000, 400), 200_000, *rng.integers(1, 60, 400)]
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n, dtype="<u4"))
+        assert len(packer.waiting) <= WAITING + 1
+    packer.finish()
+    pieces = {}
+    for doc, start, length, *_ in packer.out:
+        pieces.setdefault(doc, []).append((start, length))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+    assert sum(map(len, pieces.values())) <= sum(lengths) / CAPACITY + 1.5 * len(lengths)
 
 
 def test_encoder_equals_tokenizers():
@@ -43,6 +66,15 @@ def test_sequences_have_little_padding():
     assert sum(map(padded, used.values())) <= 1.02 * lengths.sum()
 
 
+def test_ids_beyond_doubles_and_a_very_long_text(spark):
+    long = "".join(f"word{i % 977} " for i in range(250_000)) + "z" * 200_000
+    docs = spark.createDataFrame([(2**53 + 1, "a"), (2**53, "b"), (2**63 - 1, long), (None, "c")], "doc_id long, text string").coalesce(1)
+    rows = pack(docs).collect()
+    assert {r["doc_id"] for r in rows} == {2**53 + 1, 2**53, 2**63 - 1, None}
+    n = len(encoder(default_tokenizer())([long])[0]) + 1
+    assert sum(r["length"] for r in rows if r["doc_id"] == 2**63 - 1) == n and all(r["doc_tokens"] == n for r in rows if r["doc_id"] == 2**63 - 1)
+
+
 def test_round_trip_of_pieces(spark):
     docs = spark.createDataFrame(
         [(1, "one two three " * 900, "x"), (2, None, "y"), (3, "", "z"), (None, "no id", None), (4, "same", None), (4, "same", None)],
