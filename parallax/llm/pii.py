@@ -42,23 +42,84 @@ LABELERS = 6
 #: Three values of each vote, three kinds, three shares of digits, three lengths.
 MAX_PATTERNS = 3**LABELERS * 3 * 3 * 3
 LEFT, RIGHT = 24, 8
-PLACED = "array<struct<start:int,end:int,said:string>>"
+PLACED = "array<struct<start:int,end:int,said:string,left:string,right:string>>"
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+CANDIDATE = f"struct<start:int,ord:int,end:int,kind:string,{','.join(f'v{i}:int' for i in range(LABELERS))},f0:int,f1:int>"
 
 
-def located(text: Column, pattern: str, maybe: Column) -> Column:
-    """Matches as (start, end, said), in code points; only looked for where ``maybe`` holds."""
-    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(said))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACED).alias("found"))
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once; within a lambda, an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, step) -> Column:
+    """The running sums, maxima or the like of an array of ints, each with its own value in it.
+
+    By blocks of about the root of its length, as an array that grows one by one is copied each time.
+    """
+    none = F.array().cast("array<int>")
+
+    def sweep(block: Column) -> Column:
+        start = F.struct(zero.alias("now"), none.alias("seen"))
+
+        def add(acc: Column, x: Column) -> Column:
+            return F.struct(step(acc["now"], x).alias("now"), F.concat(acc["seen"], F.array(step(acc["now"], x))).alias("seen"))
+
+        return F.aggregate(block, start, add, lambda acc: acc["seen"])
+
+    def by_blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: sweep(F.slice(v, i * width + 1, width)))
+
+    def whole(blocks: Column) -> Column:
+        before = F.concat(F.array(zero), sweep(F.transform(F.slice(blocks, F.lit(1), F.size(blocks) - 1), lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, before, lambda b, so_far: F.transform(b, lambda x: step(so_far, x))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(by_blocks(v), whole)).otherwise(none))
+
+
+def sums(lengths: Column) -> Column:
+    return running(lengths, F.lit(0), lambda x, y: x + y)
+
+
+def highest(values: Column) -> Column:
+    return running(values, F.lit(-1), lambda x, y: F.greatest(x, y))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["s"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["s"].alias("said")))).alias("found"))
 
-    pairs = F.arrays_zip(before.alias("b"), said.alias("s"))
-    return F.when(maybe, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(PLACED))
+def lowest(values: Column) -> Column:
+    return running(values, F.lit(2**31 - 1), lambda x, y: F.least(x, y))
+
+
+def located(text: Column, pattern: str, maybe: Column) -> Column:
+    """Matches as (start, end, said, left, right), in code points; only looked for where ``maybe`` holds.
+
+    left and right: up to ``LEFT`` and ``RIGHT`` characters around, but not beyond the matches next to a match.
+    """
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"), F.split(text, pattern, -1).alias("between"))
+
+    def placed(z: Column) -> Column:
+        said, between, n = z["said"], z["between"], F.size(z["said"])
+        nothing = F.array(F.lit(""))
+        line = F.arrays_zip(
+            said.alias("said"),
+            sums(F.zip_with(F.slice(between, F.lit(1), n), said, lambda b, s: F.length(b) + F.length(s))).alias("end"),
+            F.concat(nothing, F.slice(between, F.lit(1), n - 1)).alias("farther"),
+            F.concat(nothing, F.slice(said, F.lit(1), n - 1)).alias("before"),
+            F.slice(between, F.lit(1), n).alias("near"),
+            F.slice(between, F.lit(2), n).alias("after"),
+            F.concat(F.slice(said, F.lit(2), n), nothing).alias("following"),
+        )
+        return F.transform(
+            line,
+            lambda x: F.struct(
+                (x["end"] - F.length(x["said"])).alias("start"), x["end"].alias("end"), x["said"].alias("said"),
+                F.right(F.concat(F.right(x["farther"], F.lit(LEFT)), x["before"], x["near"]), F.lit(LEFT)).alias("left"),
+                F.left(F.concat(x["after"], x["following"]), F.lit(RIGHT)).alias("right"),
+            ),
+        )
+
+    none = F.array().cast(PLACED)
+    return F.when(maybe, bound(found, lambda z: F.when(F.size(z["said"]) > 0, placed(z)).otherwise(none))).otherwise(none)
 
 
 def digits(said: Column) -> Column:
@@ -112,17 +173,32 @@ def proposals(text: Column, base: Column) -> Column:
     }
 
     def all_voted(spans: Column, kind: str) -> Column:
-        return F.transform(spans, lambda s: voted(text, s, kind))
+        return F.transform(spans, lambda s: voted(s, kind))
+
+    return outside(F.concat(*[all_voted(spans, kind) for kind, spans in found.items()]), base)
+
 
-    parts = [all_voted(spans, kind) for kind, spans in found.items()]
-    free = F.filter(F.concat(*parts), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.array_sort(free)
+def outside(candidates: Column, base: Column) -> Column:
+    """The ``candidates``, sorted, that overlap none of the ``base`` spans: in order of starts, a base span that overlaps
+    one ends beyond its start if it is before it, and starts before its end if it is after it."""
 
+    def free(z: Column) -> Column:
+        own = F.transform(z["c"], lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("mine"), F.lit(0).alias("end"), c.alias("c")))
+        fixed = F.transform(z["b"], lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("mine"), b["end"].alias("end"), F.lit(None).cast(CANDIDATE).alias("c")))
+        return bound(F.array_sort(F.concat(own, fixed)), lambda line: F.transform(kept(line), lambda x: x["line"]["c"]))
 
-def voted(text: Column, s: Column, kind: str) -> Column:
-    said = s["said"]
-    left = F.lower(F.substring(text, F.greatest(s["start"] - LEFT, F.lit(0)) + 1, F.least(s["start"], F.lit(LEFT))))
-    right = F.substring(text, s["end"] + 1, F.lit(RIGHT))
+    def kept(line: Column) -> Column:
+        ended = highest(F.transform(line, lambda x: x["end"]))
+        starts = F.reverse(lowest(F.reverse(F.transform(line, lambda x: F.when(x["mine"] == 0, x["start"]).otherwise(2**31 - 1)))))
+        joined = F.arrays_zip(line.alias("line"), ended.alias("ended"), starts.alias("next"))
+        return F.filter(joined, lambda x: (x["line"]["mine"] == 1) & (x["ended"] <= x["line"]["start"]) & (x["next"] >= x["line"]["c"]["end"]))
+
+    both = F.struct(candidates.cast(f"array<{CANDIDATE}>").alias("c"), base.alias("b"))
+    return bound(both, lambda z: F.when((F.size(z["b"]) == 0) | (F.size(z["c"]) == 0), F.array_sort(z["c"])).otherwise(free(z)))
+
+
+def voted(s: Column, kind: str) -> Column:
+    said, left, right = s["said"], F.lower(s["left"]), s["right"]
     size, n_digits = F.length(said), F.length(digits(said))
     variety = F.size(F.array_distinct(F.split(said, "")))
     changes = F.size(F.split(said, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"))
@@ -239,13 +315,21 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span, or run of overlapping spans, replaced by its (first) kind in brackets."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """``text`` with every span, or run of overlapping spans, replaced by its (first) kind in brackets.
+
+    Pieces are cut from an array of the text's characters, as a string is read from its start for every piece.
+    """
+
+    def cut(z: Column) -> Column:
+        joined = F.arrays_zip(z["spans"].alias("s"), F.concat(F.array(F.lit(0)), z["ended"]).alias("at"))
+        runs = F.filter(joined, lambda x: x["s"]["start"] >= x["at"])
+        return F.concat(F.array_join(F.transform(runs, lambda x: piece(z, x)), ""), rest(z))
+
+    def piece(z: Column, x: Column) -> Column:
+        return F.concat(F.array_join(F.slice(z["chars"], x["at"] + 1, x["s"]["start"] - x["at"]), ""), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(fresh, more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def rest(z: Column) -> Column:
+        return F.array_join(F.slice(z["chars"], F.element_at(z["ended"], -1) + 1, F.size(z["chars"])), "")
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    whole = F.struct(spans.alias("spans"), highest(F.transform(spans, lambda s: s["end"])).alias("ended"), F.split(text, "").alias("chars"))
+    return F.when(F.size(spans) > 0, bound(whole, cut)).otherwise(text)

@@ -1,4 +1,6 @@
+import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -105,6 +107,49 @@ def test_clashing_names(spark):
     assert got["_text"] == "t" and got["pii_spans"][0]["kind"] == "email"
 
 
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, _, end, kind in sorted(spans):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["a@b.cd", "1.2.3.4", " ", "x", "+4111111111111", "415-555-2671", " key=", "c4e721b4f812088970e66a6345cee", "123-45-6789", "é\U0001f600", "4111111111111111"]), max_size=40).map("".join), min_size=60, max_size=60))
+def test_redaction_and_overlaps_of_random_texts(spark, texts):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = pii.find(docs, [5.0] + [0.0] * 19).withColumn("out", pii.redacted(F.col("text"), F.col("pii_spans"))).collect()
+    for r in got:
+        spans = [tuple(s) for s in r["pii_spans"]]
+        base = {tuple(s) for s in r["pii_base"]}
+        assert base <= set(spans) and spans == sorted(spans)
+        assert all(a >= d or c >= b for a, _, b, _ in set(spans) - base for c, _, d, _ in base)
+        assert r["out"] == plain_redaction(r["text"], spans)
+        assert listed_plain(base) == brute(r["text"])
+        every = {(m.start(), m.end(), k) for k, p in (("contact", pii.CONTACT), ("ssn", pii.SSN), ("secret", pii.SECRET)) for m in re.finditer(p, r["text"])}
+        free = {(a, b, k) for a, b, k in every if all(a >= d or c >= b for c, _, d, _ in base)}
+        assert {(a, b, k) for a, _, b, k in set(spans) - base} == free
+
+
+def listed_plain(spans):
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+
+
+def test_dense_long_text_takes_linear_time(spark):
+    one = "a@b.cd 1.2.3.4 +4111111111111, 415-555-2671 é "
+    times = {}
+    for n in (1000, 10_000):
+        text = one * n  # 40,000 spans in half a million characters
+        docs = spark.createDataFrame([(text,)], "text string")
+        began = time.time()
+        r = pii.find(docs, [5.0] + [0.0] * 19).select(F.size("pii_spans").alias("n"), F.md5(pii.redacted(F.col("text"), F.col("pii_spans"))).alias("out")).first()
+        times[n] = time.time() - began
+        assert r["n"] == 4 * n and r["out"] == hashlib.md5(("[EMAIL] [IP] [PHONE], [CONTACT] é " * n).encode()).hexdigest()
+    assert times[10_000] < 30
+
+
 def test_long_text_and_empty_table(spark):
     long = "word 12 " * 100_000 + "x@y.zz"
     assert spans_of(spark, [long])[0][0] == f"email:{len(long) - 6}:{len(long)}"
