@@ -1,33 +1,88 @@
 """License scans, in SQL expressions alone.
 
-Segments (lines and sentences) of files are compared with license templates by the cosine of sparse
-TF-IDF vectors. Frequencies of the templates' words are counted over all files; any other word
-weighs as much as one that no file has. Only segments with an anchor, a word without which no
-template reaches ``COSINE``, are compared. A file whose license segment is at least ``FILE_SHARE`` of
-its text is a license file and speaks for its directory; files without a license of their own inherit from
-the nearest ancestor directory that has one, found by joins on paths of directories, not of files.
+Units of files, namely lines, sentences, paragraphs (which joins wrapped lines) and whole texts, are compared with
+license templates by the cosine of sparse TF-IDF vectors. Document frequencies of all words are counted over all files;
+words in a share of ``RARE`` of the files or fewer weigh alike, so scores do not depend on how many files there are. Only
+units with an anchor, a word without which no template reaches ``COSINE``, are compared.
+
+A file speaks for its directory if its whole text, or a unit of at least ``FILE_SHARE`` of it, is a license, or if it has
+one and is named as license files are. Files without a license of their own inherit from the nearest ancestor directory
+that has one, found by joins on paths of directories, not of files.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import ready, stored
+
 COSINE = 0.6
 FILE_SHARE = 0.5
+RARE = 0.001
+#: Words and their weights that are broadcast; a larger table is joined by shuffle. Words over ``RARE`` are at most the
+#: mean number of distinct words of a file divided by it.
+BROADCAST_WORDS = 200_000
+LICENSE_FILE = r"(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
+UNITS = "array<struct<kind:int,said:string>>"
+LINE, PARAGRAPH, WHOLE = range(3)
 
 #: How files say under which license they are.
+MIT_TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
+be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE."""
+ISC_TERMS = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", MIT_TERMS),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        APACHE_NOTICE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        GNU_NOTICE.format("General Public"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", GNU_NOTICE.format("Lesser General Public"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", GNU_NOTICE.format("Affero General Public"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", BSD_START + BSD_NAMES + BSD_END),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", BSD_START + BSD_END),
+    "ISC": ("Released under the ISC License.", ISC_TERMS),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -42,32 +97,34 @@ def template_words(text: str) -> list[str]:
 
 
 def idf_of(seen: int, n: int) -> float:
-    return math.log((1 + n) / (1 + seen)) + 0.1
+    return min(math.log((1 + n) / (1 + seen)), -math.log(RARE)) + 0.1
 
 
 class Scanner:
-    """Templates weighed by frequencies over all files, and the expressions made of them."""
+    """Templates weighed by frequencies over all files, the words they need, and the weights of all words."""
 
     def __init__(self, files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         vocabulary = sorted({w for texts in templates.values() for t in texts for w in template_words(t)})
-        own = F.array_intersect(split_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
-        seen = files.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        counts = {r["w"]: r["n"] for r in seen.collect()}  # a row for each word of the templates
-        self.n = counts.get("", 0)
+        self.n = files.count()
+        seen = files.select(F.explode(split_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        known = F.col("w").isin(vocabulary)
+        self.seen = stored(seen.filter(known | (F.col("n") > RARE * self.n)), "words")
+        counts = {r["w"]: r["n"] for r in self.seen.filter(known).collect()}  # a row for each word of the templates
         self.idf = {w: idf_of(counts.get(w, 0), self.n) for w in vocabulary}
-        self.unknown = idf_of(0, self.n)
-        self.vectors: list[tuple[str, dict[str, float]]] = []
+        self.names: list[str] = []
+        self.vectors: list[dict[str, float]] = []
         for name, texts in templates.items():
             for t in texts:
                 weights = {w: template_words(t).count(w) * self.idf[w] for w in template_words(t)}
                 size = math.sqrt(sum(x * x for x in weights.values()))
-                self.vectors.append((name, {w: x / size for w, x in weights.items()}))
+                self.names.append(name)
+                self.vectors.append({w: x / size for w, x in weights.items()})
         self.anchors = self.needed()
 
     def needed(self) -> list[str]:
         """Words without which what is left of each template is under the cosine."""
         chosen: set[str] = set()
-        for _, vector in self.vectors:
+        for vector in self.vectors:
             left = sum(x * x for w, x in vector.items() if w not in chosen)
             for w in sorted(vector, key=lambda w: (-self.idf[w], w)):
                 if left < (COSINE * 0.999) ** 2:
@@ -77,35 +134,38 @@ class Scanner:
                     left -= vector[w] ** 2
         return sorted(chosen)
 
-    def best(self, text: Column) -> Column:
-        """The best match (score, license, share of the text) of a text's segments, null under the cosine."""
-        anchor = F.lit(rf"(?<![a-z0-9])({'|'.join(self.anchors)})(?![a-z0-9])")
-        segments = F.filter(F.split(text, r"[\r\n]+|(?<=[.!?])\s+"), lambda s: F.rlike(F.lower(s), anchor))
-        scored = F.flatten(F.transform(segments, lambda s: self.matches(s, F.length(text))))
-        found = F.array_max(F.filter(scored, lambda m: m["score"] >= COSINE))
-        return F.when(F.rlike(F.lower(text), anchor), found)
-
-    def matches(self, segment: Column, size: Column) -> Column:
-        """Every template's (score, order, license, share) for a segment."""
-        said = F.filter(F.split(F.lower(segment), "[^a-z0-9]+"), lambda w: w != "")
-        idf = literal_map(self.idf)
-        weighed = F.transform(F.array_distinct(said), lambda w: F.struct(w.alias("w"), (F.size(F.filter(said, lambda x: x == w)) * F.coalesce(F.try_element_at(idf, w), F.lit(self.unknown))).alias("x")))
-        norm = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda acc, p: acc + p["x"] * p["x"]))
-        out = []
-        for i, (name, vector) in enumerate(self.vectors):
-            wanted = literal_map(vector)
-            dot = F.aggregate(weighed, F.lit(0.0), lambda acc, p: acc + p["x"] * F.coalesce(F.try_element_at(wanted, p["w"]), F.lit(0.0)))  # noqa: B023
-            score = F.round(F.when(norm > 0, dot / norm).otherwise(0.0), 6)
-            out.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license"), (F.length(segment) / size).alias("share")))
-        return F.array(*out)
-
-
-def literal_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    def units(self, text: Column) -> Column:
+        """The units of a text that have an anchor; null if it has none itself."""
+        anchors = F.array(*map(F.lit, self.anchors))
+
+        def of(kind: int, said: Column) -> Column:
+            return F.transform(said, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("said")))
+
+        lines = F.split(text, r"[\r\n]+|(?<=[.!?])\s+")
+        paragraphs = F.filter(F.split(text, r"[\r\n][^A-Za-z0-9\r\n]*+(?:\r\n|\n|\r)[\r\n]*"), lambda s: F.rlike(s, F.lit(r"[\r\n]")))
+        parts = F.filter(F.concat(of(LINE, lines), of(PARAGRAPH, paragraphs)), lambda u: F.arrays_overlap(split_words(u["said"]), anchors))
+        return F.when(F.arrays_overlap(split_words(text), anchors), F.concat(parts, of(WHOLE, F.array(text))).cast(UNITS))
+
+    def scores(self, units: DataFrame) -> DataFrame:
+        """(row, unit, score, order, license) of the best template for each unit of (row, unit, said), if at the cosine."""
+        spark = units.sparkSession
+        words = units.select("row", "unit", F.explode(F.split(F.lower("said"), "[^a-z0-9]+")).alias("w")).filter("w != ''").groupBy("row", "unit", "w").agg(F.count(F.lit(1)).alias("tf"))
+        rare = F.lit(-math.log(RARE))
+        idf = self.seen.select("w", (F.least(F.log((1 + F.lit(self.n)) / (1 + F.col("n"))), rare) + 0.1).alias("idf"))
+        if idf.count() <= BROADCAST_WORDS:
+            idf = F.broadcast(idf)
+        weights = json.dumps([{"w": w, "weights": [v.get(w, 0.0) for v in self.vectors]} for w in self.idf])
+        of_templates = spark.range(1).select(F.explode(F.from_json(F.lit(weights), "array<struct<w:string,weights:array<double>>>")).alias("t")).select("t.*")
+        x = F.col("tf") * F.coalesce("idf", idf_of(0, 1 / RARE**2) * F.lit(1.0))
+        weighed = words.join(idf, "w", "left").join(F.broadcast(of_templates), "w", "left").select("row", "unit", "weights", x.alias("x"))
+        dots = [F.sum(F.col("x") * F.coalesce(F.get("weights", F.lit(i)), F.lit(0.0))).alias(f"d{i}") for i in range(len(self.vectors))]
+        sums = weighed.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
+        each = F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, name in enumerate(self.names)])
+        return sums.select("row", "unit", F.array_max(each).alias("m")).filter(F.col("m.score") >= COSINE).select("row", "unit", "m.*")
 
 
 def split_words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), "")
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -115,11 +175,19 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     empty, null paths lie in the root directory. Of several license files in one directory the highest
     score, then the first license by name, then the first path speaks for it. Repeated rows stay.
     """
+    ready(files.sparkSession)
     files = files.select("file_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanner = Scanner(files, templates)
-    rows = files.select("file_id", "path", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1).alias("dir"), scanner.best(F.col("text")).alias("m"))
-
-    speaks = rows.filter(F.col("m.share") >= FILE_SHARE).groupBy("dir").agg(F.min(F.struct(-F.col("m.score"), F.col("m.license").alias("license"), "path")).alias("top"))
+    found = files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1).alias("dir"), F.length("text").alias("size"), scanner.units(F.col("text")).alias("units"))
+    found = stored(found, "files")  # numbers of rows, once stored, stay
+    units = found.filter("units IS NOT NULL").select("row", "size", "path", F.posexplode("units").alias("unit", "u")).select("row", "size", "path", "unit", "u.kind", "u.said")
+    scored = scanner.scores(units.select("row", "unit", "said")).join(units.select("row", "unit", "kind", "size", "path", F.length("said").alias("length")), ["row", "unit"])
+    m = F.struct("score", "order", "license")
+    aloud = (F.col("kind") == WHOLE) | (F.col("length") >= FILE_SHARE * F.col("size")) | F.rlike(F.lower("path"), F.lit(LICENSE_FILE))
+    best = scored.groupBy("row").agg(F.max(m).alias("m"), F.max(F.when(aloud, m)).alias("file"))
+    rows = stored(found.drop("units", "size").join(best, "row", "left"), "licenses")
+
+    speaks = rows.filter("file IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("file.score")).alias("s"), F.col("file.license").alias("license"), "path")).alias("top"))
     speaks = speaks.select(F.col("dir").alias("above"), F.col("top.license").alias("inherited"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
@@ -135,4 +203,3 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
         F.when(own, "own").when(F.col("from").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~own, F.col("from.above")).alias("directory"),
     )
-

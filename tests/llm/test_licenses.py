@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -14,42 +15,50 @@ FILES = [
     (6, "q/x.txt", "License?"),
     (7, "q/x.txt", None),
     (8, None, ""),
-    (9, "a/b/long.txt", "word and more words " * 20_000 + "\nLicensed under CC BY-NC 4.0."),
-    (9, "a/b/long.txt", "word and more words " * 20_000 + "\nLicensed under CC BY-NC 4.0."),
+    (9, "a/b/long.txt", "word and more words " * 2000 + "\nLicensed under CC BY-NC 4.0."),
+    (9, "a/b/long.txt", "word and more words " * 2000 + "\nLicensed under CC BY-NC 4.0."),
     (10, "z/y.txt", "ALL RIGHTS RESERVED!! released UNDER the mit license"),
     (None, "a/b/c/none.txt", "plain"),
 ]
 
 
+def units_of(text):
+    lines = re.split(r"[\r\n]+|(?<=[.!?])\s+", text)
+    paragraphs = [p for p in re.split(r"[\r\n][^A-Za-z0-9\r\n]*(?:\r\n|\n|\r)[\r\n]*", text) if re.search(r"[\r\n]", p)]
+    return [(s, False) for s in lines + paragraphs] + [(text, True)]
+
+
 def brute(files):
-    """All segments against all templates, ancestors walked one by one."""
+    """All units against all templates, ancestors walked one by one."""
     words = lambda s: re.findall("[a-z0-9]+", s.lower())
     n = len(files)
     seen = {}
     for _, _, t in files:
         for w in set(words(t or "")):
             seen[w] = seen.get(w, 0) + 1
-    vocabulary = {w for ts in lic.TEMPLATES.values() for t in ts for w in words(t)}
-    idf = lambda w: math.log((1 + n) / (1 + (seen.get(w, 0) if w in vocabulary else 0))) + 0.1
+    idf = lambda w: min(math.log((1 + n) / (1 + seen.get(w, 0))), math.log(1000)) + 0.1
 
     def vector(text):
         v = {w: words(text).count(w) * idf(w) for w in set(words(text))}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
+    templates = [(name, *vector(t)) for name, ts in lic.TEMPLATES.items() for t in ts]
     own, speaks = [], {}
     for i, path, text in files:
-        best = None
-        for s in re.split(r"[\r\n]+|(?<=[.!?])\s+", text or ""):
+        best = aloud = None
+        named = re.search(r"(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$", (path or "").lower())
+        for s, whole in units_of(text or ""):
             v, size = vector(s)
-            for k, (name, t) in enumerate((name, t) for name, ts in lic.TEMPLATES.items() for t in ts):
-                u, other = vector(t)
-                score = round(sum(x * u.get(w, 0) for w, x in v.items()) / (size * other), 6) if size else 0
-                if score >= lic.COSINE and (best is None or (score, -k) > best[:2]):
-                    best = (score, -k, name, len(s) / len(text))
+            scores = [(round(sum(x * u.get(w, 0) for w, x in v.items()) / (size * other), 6) if size else 0, -k, name) for k, (name, u, other) in enumerate(templates)]
+            top = max(scores)
+            if top[0] >= lic.COSINE:
+                best = max(best or top, top)
+                if whole or named or len(s) >= lic.FILE_SHARE * len(text):
+                    aloud = max(aloud or top, top)
         own.append(best)
         directory = (path or "").rpartition("/")[0]
-        if best and best[3] >= lic.FILE_SHARE:
-            speaks[directory] = min(speaks.get(directory, (9,)), (-best[0], best[2], path or ""))
+        if aloud:
+            speaks[directory] = min(speaks.get(directory, (9,)), (-aloud[0], aloud[2], path or ""))
     out = []
     for (i, path, _), best in zip(files, own, strict=True):
         if best:
@@ -78,11 +87,47 @@ def test_many_plain_files(spark):
     assert rows(spark, files) == brute(files)
 
 
+def wrapped(text, width=78, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+PLAIN = "int main(void) { return 0; }  // the sum of parts of a list of words"
+TREE = [
+    (1, "p/LICENSE", "MIT License\n\nCopyright (c) 2024 Some One\n\n" + wrapped(lic.MIT_TERMS)),
+    (2, "p/src/a.c", PLAIN),
+    (3, "q/readme.md", "Copyright 2020 A. Person\n\n" + wrapped(lic.BSD_START) + "\n\n" + wrapped(lic.BSD_NAMES) + "\n\n" + wrapped(lic.BSD_END)),
+    (4, "q/b.c", PLAIN),
+    (5, "g/COPYING", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + "Everyone may copy these terms as they are written down here. " * 300),
+    (6, "g/x/y/c.c", PLAIN),
+    (7, "h/d.py", wrapped(lic.APACHE_NOTICE, 70, "# ") + "\n#\n\n" + "\n".join(f"value_{i} = compute({i})" for i in range(300))),
+    (8, "h/e.py", PLAIN),
+    (9, "i/f.js", "/*\n" + wrapped(lic.GNU_NOTICE.format("Lesser General Public"), 70, " * ") + "\n *\n * Other words.\n */\n" + "var a = 1;\n" * 400),
+]
+
+
+def test_whole_license_files_and_headers(spark):
+    got = rows(spark, TREE)
+    assert got == brute(TREE)
+    assert [r[2:] for r in got] == [
+        ("MIT", "own", None), ("MIT", "inherited", "p"), ("BSD-3-Clause", "own", None), ("BSD-3-Clause", "inherited", "q"), ("GPL-3.0", "own", None),
+        ("GPL-3.0", "inherited", "g"), ("Apache-2.0", "own", None), (None, "none", None), ("LGPL-3.0", "own", None),
+    ]
+
+
+def test_scores_do_not_fall_with_the_number_of_files(spark):
+    """Words beside a statement weigh no more in a larger table."""
+    said = "Unless noted otherwise this page is licensed under CC BY 4.0."
+    for n in (500, 3000):
+        files = spark.range(n).selectExpr("id AS file_id", "concat('f/', id) AS path", f"CASE WHEN id % 100 = 0 THEN '{said}' WHEN id % 3 = 0 THEN 'this page is noted' ELSE concat('unless otherwise w', id) END AS text")
+        scores = {r["score"] for r in lic.scan(files).filter("license = 'CC-BY-4.0' AND origin = 'own'").collect()}
+        assert len(scores) == 1 and min(scores) > 0.6
+
+
 def test_empty_table(spark):
     assert lic.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
 def test_anchors_leave_nothing_out(spark):
     scanner = lic.Scanner(spark.createDataFrame(FILES, "file_id long, path string, text string").withColumn("text", F.coalesce("text", F.lit(""))))
-    for _, vector in scanner.vectors:
+    for vector in scanner.vectors:
         assert sum(x * x for w, x in vector.items() if w not in scanner.anchors) < lic.COSINE**2
