@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import MIX_A, null_to_empty, ready, sum_blocks
+from parallax.llm.common import MIX_A, fresh, null_to_empty, ready, stored, sum_blocks
 
 BUCKETS = 1 << 16
 RANK = 128
@@ -46,7 +46,7 @@ SURE, LIKELY = 0.7, 0.5
 ANSWER_WORDS = 6
 #: Slots of the table of items' words, by which words are told apart that share a bucket.
 SLOTS = 1 << 22
-#: Items searched at a time; a larger benchmark is searched in blocks.
+#: Items that a worker holds, about 45 MB; a larger benchmark is searched in blocks, a pass over the documents for each.
 BLOCK_ITEMS = 20_000
 BLOCK = 1024
 SIGNS = string.punctuation.encode()
@@ -363,13 +363,22 @@ def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = ready(docs.sparkSession)
     docs = docs.drop("leaks")
     idf = inverse_frequencies(docs)
-    n = benchmark.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
-    found: list[Column] = []
-    for i in range(blocks):
-        own = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        found.append(searched(spark.sparkContext.broadcast(latent_space(own, idf))))
-    return docs.withColumn("leaks", F.concat(*found).cast(LEAKS))
+    blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
+    if blocks == 1:
+        return docs.withColumn("leaks", searched(spark.sparkContext.broadcast(latent_space(benchmark, idf))).cast(LEAKS))
+    key = fresh(docs, "_key")  # leaks depend on texts alone
+    named = docs.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    found: list[DataFrame] = []
+    for i in range(blocks):  # a pass for each block: workers hold one
+        block = spark.sparkContext.broadcast(latent_space(benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i), idf))
+        leaks = named.select(key, searched(block).cast(LEAKS).alias("leaks")).filter(F.size("leaks") > 0)
+        found.append(stored(leaks.groupBy(key).agg(F.first("leaks").alias("leaks")), "leaks"))
+        block.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    joined = every.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return named.join(joined, key, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).drop(key)
 
 
 def searched(block) -> Column:

@@ -33,6 +33,8 @@ MAX_ROWS = 8000
 THRESHOLD = 0.7
 #: Bucket vectors travel in blocks of so many.
 BLOCK = 256
+#: Most tasks of the counting pass: each emits 8.5 MB at most, so all emit 560 GB at most, whatever the input.
+PARTIALS = 1 << 16
 #: Words are counted in runs of about so many, so memory stays bounded.
 CHUNK = 1 << 21
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -119,13 +121,15 @@ def word_vectors(docs: DataFrame) -> WordVectors:
             add(np.concatenate(held))
         if n_docs:
             full = np.concatenate([sums.reshape(BUCKETS, WIDTH), seen], axis=1).astype(np.float32).reshape(BUCKETS // BLOCK, -1)
-            yield pd.DataFrame({"block": [*range(BUCKETS // BLOCK), BUCKETS // BLOCK], "body": [*(x.tobytes() for x in full), np.array([n_docs], np.float32).tobytes()]})
+            used = np.flatnonzero(seen.reshape(BUCKETS // BLOCK, -1).any(axis=1)).tolist()
+            yield pd.DataFrame({"block": [*used, BUCKETS // BLOCK], "body": [*(full[i].tobytes() for i in used), np.array([n_docs], np.float32).tobytes()]})
 
-    partials = docs.select(F.col("text").cast("string")).mapInPandas(count, "block int, body binary")
+    partials = docs.select(F.col("text").cast("string")).coalesce(PARTIALS).mapInPandas(count, "block int, body binary")
     blocks = sum_blocks(partials, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if not blocks:
         return WordVectors(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros(BUCKETS, np.float32))
-    full = np.concatenate([blocks[i] for i in range(BUCKETS // BLOCK)]).reshape(BUCKETS, WIDTH + 1)
+    unused = np.zeros(BLOCK * (WIDTH + 1), np.float32)
+    full = np.concatenate([blocks.get(i, unused) for i in range(BUCKETS // BLOCK)]).reshape(BUCKETS, WIDTH + 1)
     vectors = full[:, :WIDTH].copy()
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
     idf = np.log((1 + blocks[BUCKETS // BLOCK][0]) / (1 + full[:, WIDTH]))

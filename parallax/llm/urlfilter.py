@@ -5,21 +5,27 @@ fits must have. How often tokens of the rules occur is counted over all urls; ea
 index under its rarest token. The tokens of a url fetch candidate rules from the index, and only
 those run their expressions. Host rules (host and subdomains, path prefix) win over patterns, the
 longest first.
+
+Up to ``LITERAL_RULES`` rules the index is a literal of the plan and nothing is shuffled. More rules are a table that the
+tokens of the distinct urls are joined with: broadcast up to ``BROADCAST_RULES`` rows, else repeated for ``SALTS`` salts.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import fresh
+from parallax.llm.common import fresh, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The index is a literal in the plan, so the number of rules is bounded.
-MAX_RULES = 5000
+LITERAL_RULES = 200
+BROADCAST_RULES = 50_000
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,8 @@ def host_rule(name: str, block: bool) -> Rule:
     """``com/en/``: host com and its subdomains, paths that start with /en/."""
     host, slash, path = name.partition("/")
     whole = re.findall(r"[A-Za-z0-9]+", host) + re.findall(r"[A-Za-z0-9]+(?=[^A-Za-z0-9])", slash + path)
-    return Rule(name, f"^(?:[^/]*\\.)?{java_quote(host)}{java_quote(slash + path)}", tuple(whole), block, 1)
+    end = "" if slash else r"(?=/|\z)"
+    return Rule(name, f"^(?:[^/]*\\.)?{java_quote(host)}{java_quote(slash + path)}{end}", tuple(whole), block, 1)
 
 
 def word_rule(*words: str) -> Rule:
@@ -46,6 +53,30 @@ def word_rule(*words: str) -> Rule:
     return Rule("-".join(words), f"(?<![A-Za-z0-9]){joined}(?![A-Za-z0-9])", words, True, 0)
 
 
+def rules_of(lines: Iterable[str]) -> tuple[Rule, ...]:
+    """Rules of a list: ``block com/en/``, ``allow example.com`` (host, path), ``block word spam farm`` (whole words in a row).
+
+    Empty lines and what follows a # after a space or at a line's start are left out; anything else raises an error.
+    """
+    found = []
+    for line in lines:
+        parts = re.sub(r"(^|\s)#.*", "", line).split()
+        if not parts:
+            continue
+        if parts[0] not in ("allow", "block") or len(parts) < 2 or (parts[1] == "word") != (len(parts) > 2):
+            raise ValueError(f"not a rule: {line!r}")
+        if parts[1] == "word":
+            found.append(replace(word_rule(*(re.escape(w) for w in parts[2:])), name="-".join(parts[2:]), tokens=tuple(w for w in parts[2:] if w.isalnum() and w.isascii()), block=parts[0] == "block"))
+        else:
+            found.append(host_rule(parts[1], parts[0] == "block"))
+    return tuple(found)
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of a file that Spark can read."""
+    return rules_of(r["value"] for r in spark.read.text(path).collect())
+
+
 def java_quote(s: str) -> str:
     return re.sub(r"([^A-Za-z0-9])", r"\\\1", s)
 
@@ -81,20 +112,24 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS) -> DataF
     fits. Repeated rows and other columns stay; columns of the new names are replaced. Of host
     rules of one length the first by name wins. Where no rule has a whole token, a rule is tried on every url.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     host, path = host_and_path(F.col("url").cast("string"))
     new = ("host", "path", "rule", "verdict")
     split = pages.drop(*new).withColumns({"host": host, "path": path})
     site = F.concat("host", "path")
     at, won = fresh(split, "_site"), fresh(split, "_won")
+    if len(rules) > LITERAL_RULES:
+        best = by_tables(split.select(site.alias("site")).distinct(), rules).withColumnsRenamed({"site": at, "won": won})
+        return verdicts(split.withColumn(at, site).join(best, at, "left"), at, won).select(*split.columns, "rule", "verdict")
     index = indexed(split.select(tokens_of(site).alias("tokens")), rules)
     fetched = F.flatten(F.transform(F.concat(tokens_of(site), F.array(F.lit(""))), lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<int>"))))
     kind = "array<struct<id:int,rank:int,size:int,name:string,pattern:string,block:boolean>>"
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(r.rank).alias("rank"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.block).alias("block")) for i, r in enumerate(rules)]).cast(kind)
     fitting = F.filter(F.transform(fetched, lambda i: F.get(known, i)), lambda r: F.rlike(F.col(at), r["pattern"]))
     best = F.array_sort(fitting, lambda a, b: F.coalesce(F.nullif(b["rank"] - a["rank"], F.lit(0)), F.nullif(b["size"] - a["size"], F.lit(0)), a["id"] - b["id"]))
-    judged = split.withColumn(at, site).withColumn(won, F.get(best, F.lit(0)))
+    return verdicts(split.withColumn(at, site).withColumn(won, F.get(best, F.lit(0))), at, won)
+
+
+def verdicts(judged: DataFrame, at: str, won: str) -> DataFrame:
     return judged.withColumns(
         {
             "rule": F.when(F.col(f"{won}.rank") == 1, F.col(f"{won}.name")),
@@ -114,3 +149,28 @@ def indexed(urls: DataFrame, rules: tuple[Rule, ...]) -> Column:
     for i, r in enumerate(rules):
         by.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
     return F.create_map(*[x for t, at in by.items() for x in (F.lit(t), F.array(*map(F.lit, at)))]) if by else F.create_map(F.lit(""), F.array().cast("array<int>"))
+
+
+def by_tables(sites: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(site, won) of the distinct ``sites`` that a rule fits."""
+    spark = sites.sparkSession
+    kind = "array<struct<id:int,rank:int,size:int,name:string,pattern:string,block:boolean,tokens:array<string>>>"
+    parts = [json.dumps([{"id": i, "rank": r.rank, "size": len(r.name), "name": r.name, "pattern": r.pattern, "block": r.block, "tokens": r.tokens} for i, r in enumerate(rules[a : a + 1000], a)]) for a in range(0, len(rules), 1000)]
+    known = stored(spark.range(1).select(F.explode(F.array(*map(F.lit, parts))).alias("part")).select(F.inline(F.from_json("part", kind))), "rules")
+    wanted = known.select(F.explode("tokens").alias("token")).distinct()
+    said = sites.select("site", F.explode(F.concat(tokens_of(F.col("site")), F.array(F.lit("")))).alias("token"))
+    counts = met(said, wanted, len(rules)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    each = known.select("id", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = each.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least")).select("id", "least.token")
+    index = stored(known.join(rarest, "id", "left").withColumn("token", F.coalesce("token", F.lit(""))).drop("tokens"), "index")
+    fitting = met(said, index, len(rules)).filter(F.rlike("site", F.col("pattern")))
+    order = F.struct("rank", "size", (-F.col("id")).alias("id"), "name", "block")
+    return fitting.groupBy("site").agg(F.max(order).alias("won"))
+
+
+def met(said: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """(site, token) joined with a table by token; sites of a common token are never one task's alone."""
+    if n <= BROADCAST_RULES:
+        return said.join(F.broadcast(table), "token")
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return said.withColumn("_salt", F.pmod(F.xxhash64("site"), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"]).drop("_salt")

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from parallax.llm import urlfilter as uf
 
 URLS = [
@@ -32,6 +34,33 @@ def test_against_brute_force(spark):
     assert got == {i: brute(u) for i, u in enumerate(URLS + URLS)}
 
 
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_long_lists_by_tables(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(uf, "BROADCAST_RULES", broadcast)
+    many = uf.RULES + uf.PATTERNS + tuple(uf.host_rule(f"never{i}.org/x", True) for i in range(300)) + (uf.Rule("digits", r"z+\d", (), True, 0),)
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS + ["http://q.com/zz9"])], "page_id long, url string, path string")
+    got = uf.judge(pages, many)
+    few = uf.judge(pages, uf.RULES + uf.PATTERNS + many[-1:])
+    assert got.columns == few.columns and sorted(map(str, got.collect())) == sorted(map(str, few.collect()))
+    assert uf.judge(pages.limit(0), many).count() == 0
+
+
+def test_host_rules_without_a_path_end_with_the_host(spark):
+    urls = ["http://example.com", "http://example.com/", "https://a.b.example.com/x?q", "http://example.com.evil.org/", "http://notexample.com/", "http://example.com#x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in uf.judge(pages, (uf.host_rule("example.com", True),)).orderBy("page_id").collect()]
+    assert got == ["block", "block", "block", "allow", "allow", "block"]
+
+
+def test_rules_of_a_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# a list\nblock com/en/\nallow example.com # not this one\n\nblock word spam farm\n")
+    rules = uf.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert rules == (uf.host_rule("com/en/", True), uf.host_rule("example.com", False), uf.word_rule("spam", "farm"))
+    for bad in ("deny x", "block", "block word", "block a b"):
+        with pytest.raises(ValueError):
+            uf.rules_of([bad])
+
+
 def test_empty_table_and_rules_without_tokens(spark):
     pages = spark.createDataFrame([(1, "http://q.com/zz9"), (2, "http://q.com/")], "page_id long, url string")
     rule = uf.Rule("digits", r"z+\d", (), True, 0)
