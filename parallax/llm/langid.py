@@ -9,8 +9,8 @@ the score; texts whose score is under a bound, taken from the lowest scores of t
 rejected.
 
 Training sees at most about ``MAX_ROWS`` labelled rows (each language gets an equal share of them,
-chosen by a hash of doc_id) and at most ``SNIPPET`` subwords from each of three snippets of a row.
-Everything else covers whole texts of all rows.
+chosen by a hash of doc_id): the whole text of each, and two short runs of it, as texts may be short.
+Everything covers whole texts; long ones go by pieces of positions whose sums are added.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import fresh, null_to_empty, ready
+from parallax.llm.common import ArrowBatches, arrow_batch, fresh, null_to_empty, ready
 
 BUCKETS = 1 << 15
 WIDTH = 16
 MAX_ROWS = 4000
-SNIPPET = 512
+#: Subwords of the short runs.
+RUNS = (24, 120)
 UNKNOWN = "und"
 #: Texts are handled in pieces of about so many characters, so memory stays bounded.
 CHUNK = 1 << 18
@@ -40,33 +42,48 @@ REJECT_MOST = 0.5
 
 
 @lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    flags = np.zeros(0x110000, bool)
-    for c in range(0x110000):
-        flags[c] = unicodedata.category(chr(c))[0] == "L"
-    return flags
+def known_letters() -> np.ndarray:
+    """By code point: 1 for letters, 0 for others, -1 for what was not met yet."""
+    return np.full(0x110000, -1, np.int8)
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed subwords of several texts (0: none), the first position of each text, and whether it has a letter."""
+def letters(chars: np.ndarray) -> np.ndarray:
+    flags = known_letters()
+    found = flags[chars]
+    if (found < 0).any():
+        new = np.unique(chars[found < 0])
+        flags[new] = [unicodedata.category(chr(c))[0] == "L" for c in new.tolist()]
+        found = flags[chars]
+    return found == 1
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lowered characters of several texts, each between boundaries, and where each text begins."""
     lowered = [t.lower() for t in texts]
     chars = np.frombuffer("".join(f"\0{t}\0" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in lowered])[:-1]]).astype(np.int64)
-    is_letter = letters()[chars]
-    has = np.add.reduceat(is_letter.astype(np.int64), starts) > 0
-    c = np.where(is_letter, chars, 1).astype(np.uint32)
-    pad = np.concatenate([c, np.ones(3, np.uint32)])
-    inner = np.concatenate([is_letter, np.zeros(3, bool)])
-    n = len(c)
-    a, b, d, e = (pad[i : i + n] for i in range(4))
-    i1, i2 = inner[1 : n + 1], inner[2 : n + 2]
-    pair = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
-    triple = pair * np.uint32(0xC2B2AE3D) + d * np.uint32(0x27D4EB2F)
-    quad = triple * np.uint32(0x165667B1) + e * np.uint32(0x9E3779B1)
+    return chars, np.concatenate([[0], np.cumsum([len(t) + 2 for t in lowered])[:-1]]).astype(np.int64)
+
+
+def subwords(chars: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed subwords (0: none) that begin at each position from ``a`` up to ``b``, and whether there is a letter."""
+    part = np.concatenate([chars[a : b + 3], np.ones(max(0, b + 3 - len(chars)), np.uint32)])
+    is_letter = letters(part)
+    c = np.where(is_letter, part, 1).astype(np.uint32)
+    n = b - a
+    one, two, three, four = (c[i : i + n] for i in range(4))
+    i1, i2 = is_letter[1 : n + 1], is_letter[2 : n + 2]
+    pair = one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77)
+    triple = pair * np.uint32(0xC2B2AE3D) + three * np.uint32(0x27D4EB2F)
+    quad = triple * np.uint32(0x165667B1) + four * np.uint32(0x9E3779B1)
     hashed = np.empty((n, 3), np.int32)
-    for k, (h, real) in enumerate(((pair, is_letter | i1), (triple, i1), (quad, i1 & i2))):
+    for k, (h, real) in enumerate(((pair, is_letter[:n] | i1), (triple, i1), (quad, i1 & i2))):
         hashed[:, k] = np.where(real, ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)) % np.uint32(BUCKETS - 1) + np.uint32(1), 0)
-    return hashed, starts, has
+    return hashed, is_letter[:n]
+
+
+def pieces(chars: np.ndarray) -> Iterator[tuple[int, int]]:
+    for a in range(0, len(chars), CHUNK):
+        yield a, min(a + CHUNK, len(chars))
 
 
 @dataclass
@@ -80,12 +97,18 @@ class LanguageModel:
     reject_below: float
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hashed, starts, has = subwords(texts)
-        sums = np.zeros((len(texts), len(self.langs)))
-        for k in range(3):
-            sums += np.add.reduceat(self.table[hashed[:, k]], starts, axis=0)
-        counts = np.maximum(1, np.add.reduceat((hashed > 0).sum(axis=1), starts))
-        z = (sums / counts[:, None] + self.bias) / self.temperature
+        chars, starts = code_points(texts)
+        sums, counts, has = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for a, b in pieces(chars):
+            hashed, is_letter = subwords(chars, a, b)
+            first, last = np.searchsorted(starts, [a, b - 1], side="right") - 1
+            cuts = np.concatenate([[0], starts[first + 1 : last + 1] - a])
+            own = slice(first, last + 1)
+            for k in range(3):
+                sums[own] += np.add.reduceat(self.table[hashed[:, k]], cuts, axis=0)
+            counts[own] += np.add.reduceat((hashed > 0).sum(axis=1), cuts)
+            has[own] |= np.add.reduceat(is_letter.astype(np.int64), cuts) > 0
+        z = (sums / np.maximum(1, counts)[:, None] + self.bias) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True), has
 
@@ -117,8 +140,14 @@ def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
         yield part
 
 
-def labelled_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, list[int]]]:
-    """(lang, hashed subwords) of snippets of at most about ``max_rows`` rows of (doc_id, text, lang), nulls left out."""
+Sample = list[tuple[str, np.ndarray, np.ndarray]]
+
+
+def labelled_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> Sample:
+    """(lang, subwords, their shares) of at most about ``max_rows`` rows of (doc_id, text, lang), nulls left out.
+
+    Each row gives three: two short runs of it and its whole text.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -127,43 +156,55 @@ def labelled_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, each / n)])
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
-    def snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def counted(batches: ArrowBatches) -> ArrowBatches:
+        for batch in batches:
             rows = []
-            for doc_id, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
-                rng = np.random.default_rng(abs(int(doc_id)) if doc_id == doc_id and doc_id is not None else 0)
-                hashed = np.concatenate([subwords(part)[0].ravel() for part in chunks([text])])
-                hashed = hashed[hashed > 0]
-                for size in (24, 120, SNIPPET):
-                    if len(hashed):
-                        at = int(rng.integers(0, max(1, len(hashed) - size + 1)))
-                        part = hashed[at : at + size] if size < SNIPPET else rng.choice(hashed, min(size, len(hashed)), replace=False)
-                        rows.append((doc_id, lang, part.tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "ids"])
-
-    rows = chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(snippets, "doc_id long, lang string, ids array<int>").collect()
-    return [(r["lang"], r["ids"]) for r in sorted(rows, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["lang"], len(r["ids"]), r["ids"]))]
-
-
-def fit(sample: list[tuple[str, list[int]]], epochs: int = 4, rate: float = 4.0, seed: int = 5) -> LanguageModel:
-    """Train on (lang, subword ids); every fifth row (three snippets) calibrates instead."""
-    langs = sorted({lang for lang, _ in sample})
+            for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rng = np.random.default_rng(key & 0xFFFFFFFF)
+                chars, _ = code_points([text])
+                whole = np.zeros(BUCKETS, np.int64)
+                for a, b in pieces(chars):
+                    whole += np.bincount(subwords(chars, a, b)[0].ravel(), minlength=BUCKETS)
+                whole[0] = 0
+                for i, size in enumerate(RUNS):  # about so many subwords: three begin at a position
+                    at = int(rng.integers(0, max(1, len(chars) - size // 3 + 1)))
+                    run = subwords(chars, at, min(len(chars), at + size // 3))[0].ravel()
+                    rows.append((key, i, lang, *shares(np.bincount(run[run > 0], minlength=1))))
+                rows.append((key, len(RUNS), lang, *shares(whole)))
+            yield arrow_batch([r for r in rows if r[3]], SAMPLED)
+
+    rows = chosen.select(F.xxhash64("doc_id", "text"), "lang", "text").mapInArrow(counted, "key long, run int, lang string, ids binary, n binary").collect()
+    rows.sort(key=lambda r: (r["key"], r["run"], r["lang"]))
+    return [(r["lang"], np.frombuffer(r["ids"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.float32)) for r in rows]
+
+
+SAMPLED = pa.schema([("key", pa.int64()), ("run", pa.int32()), ("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())])
+
+
+def shares(counts: np.ndarray) -> tuple[bytes, bytes]:
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.uint16).tobytes(), (counts[ids] / max(1, counts.sum())).astype(np.float32).tobytes()
+
+
+def fit(sample: Sample, epochs: int = 4, rate: float = 4.0, seed: int = 5) -> LanguageModel:
+    """Train on (lang, subwords, their shares); every fifth three of them calibrate instead."""
+    langs = sorted({lang for lang, _, _ in sample})
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     out = np.zeros((WIDTH, len(langs)))
     bias = np.zeros(len(langs))
-    rows = [(langs.index(lang), np.array(ids)) for lang, ids in sample]
+    rows = [(langs.index(lang), ids, n) for lang, ids, n in sample]
     kept = [i for i in range(len(rows)) if (i // 3) % 5 == 0] if len(rows) >= 60 else []
     train = np.array(sorted(set(range(len(rows))) - set(kept)))
     steps, done = max(1, epochs * len(train)), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            y, ids = rows[i]
+            y, ids, n = rows[i]
             lr = rate * (1 - done / steps)
             done += 1
-            mean = emb[ids].mean(axis=0)
+            mean = n @ emb[ids]
             z = mean @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -171,18 +212,18 @@ def fit(sample: list[tuple[str, list[int]]], epochs: int = 4, rate: float = 4.0,
             back = out @ p
             out -= lr * np.outer(mean, p)
             bias -= 0.1 * lr * p
-            np.subtract.at(emb, ids, lr * back / len(ids))
+            emb[ids] -= np.outer(n, lr * back)
     logits = emb @ out
     logits[0] = 0
     calibrate = kept or list(train)
-    z = np.array([logits[rows[i][1]].mean(axis=0) + bias for i in calibrate])
+    z = np.array([rows[i][2] @ logits[rows[i][1]] + bias for i in calibrate])
     y = np.array([rows[i][0] for i in calibrate])
 
     def loss(t: float) -> float:
         s = z / t
         return float(-(s[np.arange(len(y)), y] - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) - s.max(1)).mean())
 
-    temperature = min(np.geomspace(0.2, 20, 60), key=loss)
+    temperature = min(np.geomspace(1, 20, 40), key=loss)  # never surer than trained
     s = np.exp((z - z.max(1, keepdims=True)) / temperature)
     top = (s / s.sum(1, keepdims=True)).max(axis=1)
     return LanguageModel(langs, logits.astype(np.float32), bias, float(temperature), min(REJECT_MOST, float(np.quantile(top, REJECT_QUANTILE))))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from parallax.llm import langid
 
 WORDS = {"aa": "the and thing over hand", "bb": "der und nicht über schön", "cc": "él niño mañana sección corazón"}
@@ -32,14 +34,42 @@ def test_held_out_accuracy_and_calibration(spark):
     assert not any(r["lang_rejected"] for r in got if r["lang_score"] > 0.5)
 
 
-def test_batches_do_not_change_results():
-    sample = [(lang, langid.subwords([text])[0].ravel().tolist()) for _, text, lang in corpus(60)]
-    model = langid.fit([(lang, [i for i in ids if i]) for lang, ids in sample])
-    texts = [t for _, t, _ in corpus(40)] + ["", "x"]
+def sample_of(rows):
+    out = []
+    for _, text, lang in rows:
+        chars, _ = langid.code_points([text])
+        counts = np.bincount(langid.subwords(chars, 0, len(chars))[0].ravel(), minlength=langid.BUCKETS)
+        counts[0] = 0
+        ids, n = langid.shares(counts)
+        out.append((lang, np.frombuffer(ids, np.uint16).astype(np.int64), np.frombuffer(n, np.float32)))
+    return out
+
+
+def test_neither_batches_nor_pieces_change_results(monkeypatch):
+    model = langid.fit(sample_of(corpus(60)))
+    texts = [t for _, t, _ in corpus(40)] + ["", "x", "über \U00010330é " * 500]
     together = model.predict(texts)
     alone = [model.predict([t]) for t in texts]
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    cut = model.probabilities(texts)
+    monkeypatch.undo()
+    whole = model.probabilities(texts)
     assert together[0] == [a[0][0] for a in alone]
     assert all(abs(s - a[1][0]) < 1e-9 for s, a in zip(together[1], alone, strict=True))
+    assert np.allclose(cut[0], whole[0]) and (cut[1] == whole[1]).all()
+
+
+def test_whole_texts_are_learned_from(spark):
+    text = "the and thing " * 30_000 + "zebra"
+    got = max(langid.labelled_sample(spark.createDataFrame([(1, text, "aa")], "doc_id long, text string, lang string")), key=lambda s: len(s[1]))
+    counts = np.bincount(langid.subwords(langid.code_points([text])[0], 0, len(text) + 2)[0].ravel(), minlength=langid.BUCKETS)
+    counts[0] = 0
+    assert got[1].tolist() == np.flatnonzero(counts).tolist() and np.allclose(got[2], counts[got[1]] / counts.sum())
+
+
+def test_ties_go_to_the_first_language():
+    model = langid.LanguageModel(["aa", "bb"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    assert model.predict(["some text"])[0] == ["aa"] and model.predict(["some text"])[1].tolist() == [0.5]
 
 
 def test_clashing_names(spark):
