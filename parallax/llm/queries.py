@@ -126,4 +126,46 @@ SELECT page_id, host, path, rule, CASE
 FROM won
 """
 
-ORACLES: dict[str, str] = {"op6_urls": OP6_SQL}
+OP1_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+    FROM words
+), said AS (
+    SELECT doc_id, unnest(s) AS shingle FROM sets
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM said a JOIN said b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), reached(a, b) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), lowest AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN lowest USING (doc_id)
+"""
+
+OP2_SQL = r"""
+WITH said AS (
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT * FROM (VALUES (-1, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), escaped AS (
+    SELECT *, list_reduce(list_prepend(replace(role || chr(0) || text, chr(92), chr(92) || chr(92)),
+        ['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<start_of_turn>', '<end_of_turn>']),
+        lambda t, c: replace(t, c, c[1] || chr(92) || c[2:])) AS marked
+    FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(marked) - 1 + 24) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id, own
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_chat": OP2_SQL, "op6_urls": OP6_SQL}

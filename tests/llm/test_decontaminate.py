@@ -126,3 +126,26 @@ def test_copies_that_many_documents_hold(spark):
                 planted.add((i, 0))
             docs.append((i, " ".join(body)))
         assert found(spark, docs, [(i, " ".join(t)) for i, t in items]) == planted
+
+
+def test_recall_by_share_of_words_changed(spark):
+    """Paraphrases with up to three of ten words changed, and items with their halves swapped."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, rng.choices(vocabulary, k=rng.randint(20, 80))) for i in range(40)]
+    docs, kind = [], {}
+    for change in (0.1, 0.2, 0.25, 0.3, "swapped"):
+        for i, item in items:
+            said = item[len(item) // 2 :] + item[: len(item) // 2] if change == "swapped" else item[:]
+            if change != "swapped":
+                for at in rng.sample(range(len(said) - 6), int(change * len(said))):
+                    said[at] = rng.choice(vocabulary)
+            kind[len(docs)] = (change, i)
+            docs.append((len(docs), " ".join([*rng.choices(vocabulary, k=150), *said, *rng.choices(vocabulary, k=150)])))
+    clean = len(docs)
+    docs += [(clean + i, " ".join(rng.choices(vocabulary, k=400))) for i in range(200)]
+    got = found(spark, docs, [(i, " ".join(t)) for i, t in items])
+    assert got <= {(d, i) for d, (_, i) in kind.items()}
+    recall = {c: sum((d, i) in got for d, (k, i) in kind.items() if k == c) / len(items) for c in (0.1, 0.2, 0.25, 0.3, "swapped")}
+    print(recall)
+    assert min(recall.values()) >= 0.9

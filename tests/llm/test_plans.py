@@ -21,13 +21,3 @@ def test_native(spark, name):
 def test_no_shuffle_and_one_python_node(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "Exchange" not in text and text.count("ArrowEvalPython") + text.count("MapInPandas") == 1
-
-
-def test_urls_equal_their_sql(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{FOLDER}/pages.parquet'")
-    got = QUERIES["op6_urls"](spark, FOLDER)
-    wanted = con.sql(ORACLES["op6_urls"]).select(*got.columns).fetchall()
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted))
