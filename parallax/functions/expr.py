@@ -162,6 +162,7 @@ PRETTY = {
     "h_pct": "Hit rate allowed",
 }
 DISPLAY_ORDER = ("avg", "obp", "slg", "iso", "hr_pct", "k_pct", "bb_pct", "babip", "era", "h_pct")
+# Statistics of which less is better.
 LOWER_IS_BETTER = ("k_pct", "era", "h_pct")
 
 

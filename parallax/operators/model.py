@@ -6,7 +6,10 @@ partial aggregation; the small solve runs on the driver. The same holds for each
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,8 @@ from parallax.operators.timeline import LEAGUES
 MIN_PAIRS = 20
 AGE_CENTRE = 27.0
 TERMS = 4
-#: Up to so many clusters a draw resamples them exactly, with multiplicities made on the driver; beyond,
-#: each cluster's multiplicity is a Poisson number made from a hash where its rows are.
-EXACT_CLUSTERS = 20_000
+#: Letters of keys, or ordinals, that players are numbered by at a time.
+PREFIX, ORDINALS = 4, 1 << 16
 X = [f"x{i}" for i in range(TERMS)]
 UPPER = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
 FIT = "stat string, retention_slope double, intercept double, level_ratio double, age_coef double, direction_coef double, n_pairs long, n_players long, residual_sd double, r_squared double"
@@ -28,7 +30,8 @@ def design(pairs: DataFrame, stats: list[str], key: str = "player_register_id",
     """A row for each pair and statistic with both rates positive: (stat, key, o, x0..x3, y, w).
 
     x: 1, log of the first league's rate, (age - 27) / 10, whether forward; y: log of the second's; w: root of the
-    lesser playing time. Absent or null ages are 27, absent or null playing times weigh 1.
+    lesser playing time. Absent or null ages are 27, absent or null playing times weigh 1. ``order``: a column of ordinals by
+    which players are numbered for the bootstrap, by default they go by their keys; without keys it names the rows.
     """
     a, b = leagues
     have = pairs.columns
@@ -37,9 +40,11 @@ def design(pairs: DataFrame, stats: list[str], key: str = "player_register_id",
     least = F.coalesce(F.least(*times) if len(times) > 1 else times[0], F.lit(1.0)) if times else F.lit(1.0)
     stats = [s for s in stats if f"{a}_rel_{s}" in have and f"{b}_rel_{s}" in have]
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"{a}_rel_{s}").cast("double").alias("u"), F.col(f"{b}_rel_{s}").cast("double").alias("v")) for s in stats])) if stats else F.explode(F.array().cast("array<struct<stat:string,u:double,v:double>>"))
-    who = F.col(key) if key in have else F.monotonically_increasing_id().cast("string")
+    if key not in have and order is None:
+        raise ValueError(f"pairs have neither {key} nor an order")
+    who = F.col(key) if key in have else F.col(order).cast("string")
     rows = pairs.select(
-        who.alias("key"), (F.col(order) if order else F.monotonically_increasing_id()).alias("o"), age.alias("age"), F.sqrt(F.greatest(F.lit(1.0), least)).alias("w"),
+        who.alias("key"), (F.col(order).cast("long") if order else F.lit(-1).cast("long")).alias("o"), age.alias("age"), F.sqrt(F.greatest(F.lit(1.0), least)).alias("w"),
         F.when(F.col("direction") == f"{a}_to_{b}", 1.0).otherwise(0.0).alias("x3"), each.alias("s"),
     )
     rows = rows.filter((F.col("s.u") > 0) & (F.col("s.v") > 0) & ~F.isnan("s.u") & ~F.isnan("s.v"))
@@ -100,56 +105,55 @@ def predicted(rate: Column, age: Column, forward: Column | float = 1.0) -> Colum
 
 
 def codes(rows: DataFrame) -> DataFrame:
-    """(stat, key, code): players of each statistic numbered from 0 by first appearance."""
+    """(stat, key, code): players of each statistic numbered from 0 by their least order, then key.
+
+    Within buckets of orders or of the first letters of keys, whose sizes are then added up.
+    """
     first = rows.groupBy("stat", "key").agg(F.min("o").alias("o"))
-    return first.withColumn("code", F.row_number().over(Window.partitionBy("stat").orderBy("o", "key")) - 1).select("stat", "key", "code")
+    bucket = F.when(F.col("o") < 0, F.substring("key", 1, PREFIX)).otherwise(F.lpad(F.floor(F.col("o") / ORDINALS).cast("string"), 20, "0"))
+    placed = first.withColumn("bucket", bucket)
+    sizes = placed.groupBy("stat", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stat").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("stat", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("stat", "bucket").orderBy("o", "key")) - 1
+    return placed.withColumn("own", own).join(starts, ["stat", "bucket"]).select("stat", "key", (F.col("start") + F.col("own")).alias("code"))
 
 
 def multiplicities(spark: SparkSession, players: dict[str, int], draws: int, seed: int) -> DataFrame:
-    """(stat, draw, code, k): how often each draw of each statistic picks each player."""
-    picked: dict[int, list[tuple[int, int, float]]] = {}
-    for n in set(players.values()):
-        rng = np.random.default_rng(seed)
-        rows = []
-        for d in range(draws):
-            code, k = np.unique(rng.integers(0, n, size=n), return_counts=True)
-            rows += zip([d] * len(code), code.tolist(), k.astype(float).tolist(), strict=True)
-        picked[n] = rows
-    out = [(stat, *row) for stat, n in players.items() for row in picked[n]]
-    return spark.createDataFrame(out, "stat string, draw int, code int, k double")
-
-
-def poisson(u: Column) -> Column:
-    """A Poisson(1) number from a uniform one, by its cumulative chances."""
-    cumulative, chance, steps = 0.0, float(np.exp(-1)), []
-    for k in range(12):
-        cumulative += chance
-        steps.append((cumulative, float(k)))
-        chance /= k + 1
-    out = F.lit(12.0)
-    for bound, k in reversed(steps):
-        out = F.when(u < bound, k).otherwise(out)
-    return out
-
-
-def bootstrap(rows: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(stat, draw, code, k): how often each draw of each statistic picks each player.
+
+    Made where they are used: a task repeats the generator up to its draws, as the draws are one sequence of numbers.
+    """
+    sizes = sorted(set(players.values()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {int(d) for pdf in batches for d in pdf["id"]}
+        for n in sizes if own else ():
+            rng = np.random.default_rng(seed)
+            for d in range(max(own) + 1):
+                picked = rng.integers(0, n, size=n)
+                if d in own:
+                    code, k = np.unique(picked, return_counts=True)
+                    yield pd.DataFrame({"n": n, "draw": d, "code": code, "k": k.astype(float)})
+
+    drawn = spark.range(draws).mapInPandas(run, "n long, draw int, code long, k double")
+    stats = spark.createDataFrame([(stat, n) for stat, n in players.items()], "stat string, n long")
+    return drawn.join(F.broadcast(stats), "n").select("stat", "draw", "code", "k")  # a row for each statistic
+
+
+def bootstrap(rows: DataFrame, draws: int = 500, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
     """(stat, draw, at, b0..b3, sd): refits on players drawn with replacement; ``at`` numbers a statistic's draws.
 
-    Statistics with under 20 pairs are left out, and draws of 4 rows or less.
+    Statistics with under 20 pairs are left out, and draws of 4 rows or less. ``drawn``: other multiplicities
+    (stat, draw, code, k) than those of ``multiplicities``.
     """
     spark = rows.sparkSession
     sizes = rows.groupBy("stat").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS).collect()
-    exact = {r["stat"]: r["players"] for r in sizes if r["players"] <= EXACT_CLUSTERS}
-    large = [r["stat"] for r in sizes if r["players"] > EXACT_CLUSTERS]
-    found = []
-    if exact:
-        drawn = multiplicities(spark, exact, draws, seed)
-        coded = rows.join(codes(rows.filter(F.col("stat").isin(*exact))), ["stat", "key"])
-        found += coded.join(drawn, ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).collect()
-    if large:
-        each = rows.filter(F.col("stat").isin(*large)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        uniform = F.pmod(F.xxhash64(F.lit(seed), "draw", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        found += each.withColumn("k", poisson(uniform)).filter("k > 0").groupBy("stat", "draw").agg(*moments(F.col("k"))).collect()
+    players = {r["stat"]: r["players"] for r in sizes}
+    if drawn is None:
+        drawn = multiplicities(spark, players, draws, seed)
+    coded = rows.join(codes(rows.filter(F.col("stat").isin(*players))), ["stat", "key"])
+    found = coded.join(drawn, ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).collect()
     out, at = [], {}
     for r in sorted(found, key=lambda r: (r["stat"], r["draw"])):  # draws x statistics, whatever the input
         if r["n"] > TERMS:

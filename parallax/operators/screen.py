@@ -62,11 +62,16 @@ def screened(candidates: DataFrame, threshold: DataFrame, column: str = "score")
 
 
 def screen_counts(candidates: DataFrame, cohort: DataFrame, strictness: str = "balanced") -> DataFrame:
-    """One row: the bar, how many candidates it admits, and how many of the cohort it would have caught or missed."""
+    """One row: the bar, how many candidates it admits, and how many of the cohort it would have caught; ``missed`` names the others."""
     threshold = bar(cohort, strictness)
     now = screened(candidates, threshold).agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("of_total"))
     over = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
     then = cohort.crossJoin(F.broadcast(threshold)).agg(
-        F.count_if(over).alias("historical_caught"), F.count(F.lit(1)).alias("historical_total"), F.array_sort(F.collect_list(F.when(~over, F.col("player")))).alias("missed")
+        F.count_if(over).alias("historical_caught"), F.count(F.lit(1)).alias("historical_total"), F.count_if(~over).alias("historical_missed")
     )
     return threshold.select(F.bround("threshold", 3).alias("threshold")).crossJoin(now).crossJoin(then)
+
+
+def missed(cohort: DataFrame, strictness: str = "balanced") -> DataFrame:
+    """The rows of the cohort that the bar would have missed; a null score is one."""
+    return screened(cohort, bar(cohort, strictness)).filter(F.col("threshold").isNotNull() & ~F.col("admitted")).drop("admitted", "threshold")

@@ -25,10 +25,11 @@ def switches(timeline: DataFrame, key: str, time: str, label: str, ordinal: Colu
     return pairs.filter((F.col(f"before.{label}") != F.col(f"after.{label}")) & F.col("gap").between(0, most))
 
 
-def build_pairs(home: DataFrame, away: DataFrame, key: str = "player_register_id", max_gap: int = 2, leagues: tuple[str, str] = LEAGUES) -> DataFrame:
+def build_pairs(home: DataFrame, away: DataFrame, key: str = "player_register_id", max_gap: int = 2, leagues: tuple[str, str] = LEAGUES, order: str = "ordinal") -> DataFrame:
     """One row for each crossing between two season tables, with either side's relative rates.
 
-    Only rel_* columns of both tables come along; names are the first league's, else the other's.
+    Only rel_* columns of both tables come along; names are the first league's, else the other's. Of several rows of a
+    season the last by ``order`` counts (``tables.with_ordinal``), or by a hash of the row in a table without that column.
     """
     a, b = leagues
     rel = [c for c in home.columns if c.startswith("rel_") and c in away.columns]
@@ -36,7 +37,7 @@ def build_pairs(home: DataFrame, away: DataFrame, key: str = "player_register_id
 
     def slim(df: DataFrame, league: str) -> DataFrame:
         cols = [(F.col(c) if c in df.columns else F.lit(None).cast("string" if c in ("player", "name") else "double")).alias(c) for c in [*rel, *extra]]
-        return df.select(key, F.col("season").cast("int").alias("season"), F.lit(league).alias("league"), *cols, F.monotonically_increasing_id().alias("_o"))
+        return df.select(key, F.col("season").cast("int").alias("season"), F.lit(league).alias("league"), *cols, (F.col(order).cast("long") if order in df.columns else F.xxhash64(*df.columns)).alias("_o"))
 
     timeline = slim(home, a).unionByName(slim(away, b))
     found = switches(timeline, key, "season", "league", F.col("_o"), None, max_gap)

@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--register", nargs="*", default=[], help="CSV shards of the person register (crosswalk)")
     p.add_argument("--start", type=int, default=2000)
     p.add_argument("--end", type=int, default=2026)
-    p.add_argument("--side", choices=("batting", "pitching"), default="batting")
+    p.add_argument("--side", choices=("batting", "pitching"), default="pitching")
     p.add_argument("--boot", type=int, default=200)
     p.add_argument("--train-direction", choices=("both", "kbo_to_mlb", "mlb_to_kbo"), default="both")
     p.add_argument("--players", help="names, comma separated")
@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-pt", type=float, default=None)
     p.add_argument("--source", choices=("statsapi", "bref"), default="statsapi")
     p.add_argument("--report", help="where to write the Markdown report")
+    p.add_argument("--offline", action="store_true", help="read cached pages alone, as Spark always does here; pages are downloaded by sources.fetch")
+    p.add_argument("-v", "--verbose", action="store_true", help="Spark's own messages too")
     return p
 
 
@@ -67,7 +69,10 @@ def run(args: argparse.Namespace, store: pipelines.Store) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return run(args, pipelines.Store(local_session(), args.data))
+        spark = local_session()
+        if args.verbose:
+            spark.sparkContext.setLogLevel("INFO")
+        return run(args, pipelines.Store(spark, args.data))
     except tables.MissingInput as e:
         print(e, file=sys.stderr)
         return 2

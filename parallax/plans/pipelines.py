@@ -115,11 +115,11 @@ def relative(store: Store, side: str, min_playing_time: float | None = None, sou
     """Home and linked away seasons relative to their leagues. Away tables link by whichever key they have."""
     least = MIN_PLAYING_TIME[side] if min_playing_time is None else min_playing_time
     links = store.read("crosswalk", LINKS, True)
-    away = store.read(f"mlb_{side}{source}", AWAY, True)
+    away = tables.with_ordinal(store.read(f"mlb_{side}{source}", AWAY, True))
     by = [away.filter(F.col(k).isNotNull()).join(id_map(links, k), k) for k in ("key_mlbam", "key_bbref")]
     away = by[0].unionByName(by[1].filter("key_mlbam IS NULL"))
     out = []
-    for league, rows in (("kbo", store.read(f"kbo_{side}", HOME, True)), ("mlb", away)):
+    for league, rows in (("kbo", tables.with_ordinal(store.read(f"kbo_{side}", HOME, True))), ("mlb", away)):
         totals = store.read(f"{league}_league_totals{source if league == 'mlb' else ''}", TOTALS, True)
         out.append(rates.relative_rates(rows, rates.league_rates(totals, side), side, least))
     return out[0], out[1]

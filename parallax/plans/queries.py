@@ -304,21 +304,26 @@ def cohort(read: Read) -> DataFrame:
     return weighted_score(read).filter(F.col("l_suppkey") % 4 == 0)
 
 
-@query(f"SELECT round(quantile_cont(score, 0.0), 6) AS permissive, round(quantile_cont(score, 0.25), 6) AS balanced, round(quantile_cont(score, 0.5), 6) AS strict FROM ({COHORT})")
+@query(f"SELECT round(quantile_cont(score, 0.0), 6) AS permissive, round(quantile_cont(score, 0.25), 6) AS balanced, round(quantile_cont(score, 0.5), 6) AS strict FROM (SELECT round(score, 6) AS score FROM ({SCORES}))")
 def quantile_bar(read: Read) -> DataFrame:
-    own = cohort(read)
-    out = own.agg(F.percentile("score", F.array(*[F.lit(q) for q in screen.STRICTNESS.values()])).alias("q"))
+    out = weighted_score(read).agg(F.percentile("score", F.array(*[F.lit(q) for q in screen.STRICTNESS.values()])).alias("q"))
     return out.select(*[F.round(F.get("q", F.lit(i)), 6).alias(name) for i, name in enumerate(screen.STRICTNESS)])
 
 
 @query(f"""
 WITH h AS ({COHORT}), t AS (SELECT quantile_cont(score, 0.25) AS bar FROM h), c AS (SELECT l_suppkey, round(score, 6) AS score FROM ({SCORES}) WHERE l_suppkey % 4 <> 0)
-SELECT (SELECT count(*) FROM c, t WHERE score >= bar) AS admitted, (SELECT count(*) FROM c) AS of_total, (SELECT count(*) FROM h, t WHERE score >= bar) AS historical_caught, (SELECT count(*) FROM h) AS historical_total
+SELECT (SELECT count(*) FROM c, t WHERE score >= bar) AS admitted, (SELECT count(*) FROM c) AS of_total, (SELECT count(*) FROM h, t WHERE score >= bar) AS historical_caught, (SELECT count(*) FROM h) AS historical_total,
+    (SELECT count(*) FROM h, t WHERE score < bar) AS historical_missed
 """)
 def screen_counts(read: Read) -> DataFrame:
     scored = weighted_score(read)
     named = cohort(read).withColumn("player", F.col("l_suppkey").cast("string"))
-    return screen.screen_counts(scored.filter(F.col("l_suppkey") % 4 != 0), named).select("admitted", "of_total", "historical_caught", "historical_total")
+    return screen.screen_counts(scored.filter(F.col("l_suppkey") % 4 != 0), named).drop("threshold")
+
+
+@query(f"WITH h AS ({COHORT}) SELECT l_suppkey, score FROM h WHERE score < (SELECT quantile_cont(score, 0.25) FROM h)")
+def screen_missed(read: Read) -> DataFrame:
+    return screen.missed(cohort(read))
 
 
 @query(f"""
@@ -449,34 +454,75 @@ def audit_summary(read: Read) -> DataFrame:
 # Models
 
 
-def line_sql(x: str, y: str, w: str, by: str, source: str) -> str:
-    return f"""(SELECT {by}, n, slope, (wy - slope * wx) / w AS intercept, sqrt(greatest(syy - slope * sxy, 0) / greatest(n - 2, 1)) AS residual_sd, 1 - greatest(syy - slope * sxy, 0) / syy AS r_squared FROM (
-    SELECT *, sxy / sxx AS slope FROM (SELECT *, wxx - wx * wx / w AS sxx, wxy - wx * wy / w AS sxy, wyy - wy * wy / w AS syy FROM (
-        SELECT {by}, count(*) AS n, sum({w}) AS w, sum({w} * {x}) AS wx, sum({w} * {y}) AS wy, sum({w} * {x} * {x}) AS wxx, sum({w} * {x} * {y}) AS wxy, sum({w} * {y} * {y}) AS wyy FROM {source} GROUP BY {by}))))"""
+#: Crossings made of orders: a customer's average order before 1998 and after, relative to all, is a strikeout rate, his
+#: number of orders a walk rate. One region is the posted cohort.
+PAIRS = """(SELECT o_custkey::VARCHAR AS key, CASE WHEN o_custkey % 3 = 0 THEN 'mlb_to_kbo' ELSE 'kbo_to_mlb' END AS direction, CASE WHEN r_name = 'ASIA' THEN 'posted_from_kbo' ELSE 'import_returnee' END AS cohort,
+    (o_custkey % 17 + 18)::DOUBLE AS age, na, nb, xa / la AS k1, xb / lb AS k2, na / (SELECT count(*) / count(DISTINCT o_custkey) FROM orders WHERE year(o_orderdate) < 1998) AS b1, nb / (SELECT count(*) / count(DISTINCT o_custkey) FROM orders WHERE year(o_orderdate) >= 1998) AS b2
+    FROM (SELECT o_custkey, count(*) FILTER (year(o_orderdate) < 1998)::DOUBLE AS na, count(*) FILTER (year(o_orderdate) >= 1998)::DOUBLE AS nb, avg(o_totalprice) FILTER (year(o_orderdate) < 1998) AS xa, avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) AS xb FROM orders GROUP BY 1),
+        (SELECT avg(o_totalprice) FILTER (year(o_orderdate) < 1998) AS la, avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) AS lb FROM orders)
+    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE na > 0 AND nb > 0)"""
+DESIGN = f"""(SELECT stat, key, cohort, direction, age, u, v, 1.0 AS x0, ln(u) AS x1, (age - 27) / 10 AS x2, CASE WHEN direction = 'kbo_to_mlb' THEN 1.0 ELSE 0.0 END AS x3, ln(v) AS y, sqrt(greatest(1.0, least(na, nb))) AS w, 1.0 AS k
+    FROM (SELECT *, 'k_pct' AS stat, k1 AS u, k2 AS v FROM {PAIRS} UNION ALL SELECT *, 'bb_pct' AS stat, b1 AS u, b2 AS v FROM {PAIRS}))"""
+
 
+def fit_sql(source: str, by: str = "stat") -> str:
+    """Weighted least squares with four terms, by making each term orthogonal to those before: (by, n, players, b0..b3, sd, r2).
 
-FITS = line_sql("ln(l_quantity)", "ln(l_extendedprice)", "sqrt(l_quantity)", "l_returnflag", "lineitem")
+    ``source`` has x0..x3, y, weights w, and k, how often a row counts.
+    """
+    steps = [f"q0 AS (SELECT *, k * w AS kw, x0 AS z0, y AS e0 FROM {source})"]
+    for j in range(1, 4):
+        dots = ", ".join(f"sum(kw * x{j} * z{i}) / sum(kw * z{i} * z{i}) AS c{j}{i}" for i in range(j))
+        left = " - ".join([f"x{j}", *(f"c{j}{i} * z{i}" for i in range(j))])
+        steps.append(f"q{j} AS (SELECT q.*, {', '.join(f'c{j}{i}' for i in range(j))}, {left} AS z{j} FROM q{j - 1} q JOIN (SELECT {by}, {dots} FROM q{j - 1} GROUP BY {by}) USING ({by}))")
+    gs = ", ".join(f"sum(kw * y * z{i}) / sum(kw * z{i} * z{i}) AS g{i}" for i in range(4))
+    cs = ", ".join(f"any_value(c{j}{i}) AS c{j}{i}" for j in range(1, 4) for i in range(j))
+    steps.append(f"g AS (SELECT {by}, sum(k) AS n, count(DISTINCT key) AS players, {gs}, {cs} FROM q3 GROUP BY {by})")
+    steps.append(f"b AS (SELECT *, g0 - c10 * b1 - c20 * b2 - c30 * b3 AS b0 FROM (SELECT *, g1 - c21 * b2 - c31 * b3 AS b1 FROM (SELECT *, g2 - c32 * b3 AS b2 FROM (SELECT *, g3 AS b3 FROM g))))")
+    rest = "q.y - b0 - b1 * q.x1 - b2 * q.x2 - b3 * q.x3"
+    steps.append(f"r AS (SELECT {by}, sum(kw * ({rest}) ^ 2) AS rss, sum(kw * q.y * q.y) - sum(kw * q.y) ^ 2 / sum(kw) AS tss FROM q0 q JOIN b USING ({by}) GROUP BY {by})")
+    return f"(WITH {', '.join(steps)} SELECT {by}, n, players, b0, b1, b2, b3, sqrt(rss / greatest(n - 4, 1)) AS sd, 1 - rss / tss AS r2 FROM b JOIN r USING ({by}))"
 
 
-def line_fits(read: Read) -> DataFrame:
-    return model.weighted_line(read("lineitem"), F.log("l_quantity"), F.log("l_extendedprice"), F.sqrt("l_quantity"), ["l_returnflag"])
+FITS = fit_sql(DESIGN)
+TRAINED = fit_sql(f"(SELECT * FROM {DESIGN} WHERE cohort <> 'posted_from_kbo')")
+STATS = ["k_pct", "bb_pct"]
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-@query(f"SELECT l_returnflag, n, round(slope, 5) AS slope, round(intercept, 5) AS intercept, round(residual_sd, 5) AS residual_sd, round(r_squared, 5) AS r_squared FROM {FITS}")
+def crossings(read: Read) -> DataFrame:
+    early, price = F.year("o_orderdate") < 1998, F.col("o_totalprice")
+    orders = read("orders")
+    each = {"na": F.count_if(early).cast("double"), "nb": F.count_if(~early).cast("double"), "xa": F.avg(F.when(early, price)), "xb": F.avg(F.when(~early, price))}
+    own = orders.groupBy("o_custkey").agg(*[c.alias(n) for n, c in each.items()])
+    league = own.agg(F.avg(F.when(F.col("na") > 0, F.col("na"))).alias("ma"), F.avg(F.when(F.col("nb") > 0, F.col("nb"))).alias("mb"), (F.sum(F.col("xa") * F.col("na")) / F.sum(F.when(F.col("xa").isNotNull(), F.col("na")))).alias("la"), (F.sum(F.col("xb") * F.col("nb")) / F.sum(F.when(F.col("xb").isNotNull(), F.col("nb")))).alias("lb"))
+    where = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
+    people = read("customer").join(where, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_name", "r_name")
+    rows = own.filter("na > 0 AND nb > 0").join(people, "o_custkey").crossJoin(F.broadcast(league))  # one row
+    return rows.select(
+        F.col("o_custkey").cast("string").alias("player_register_id"), F.col("c_name").alias("player"), F.when(F.col("o_custkey") % 3 == 0, "mlb_to_kbo").otherwise("kbo_to_mlb").alias("direction"),
+        F.when(F.col("r_name") == "ASIA", "posted_from_kbo").otherwise("import_returnee").alias("cohort"), F.lit(1997).alias("kbo_season"), F.lit(1998).alias("mlb_season"),
+        (F.col("o_custkey") % 17 + 18).cast("double").alias("kbo_age"), F.col("na").alias("kbo_PA"), F.col("nb").alias("mlb_PA"),
+        (F.col("xa") / F.col("la")).alias("kbo_rel_k_pct"), (F.col("xb") / F.col("lb")).alias("mlb_rel_k_pct"), (F.col("na") / F.col("ma")).alias("kbo_rel_bb_pct"), (F.col("nb") / F.col("mb")).alias("mlb_rel_bb_pct"),
+    )
+
+
+@query(f"SELECT stat, round(b1, 5) AS retention_slope, round(b0, 5) AS intercept, round(exp(b0), 5) AS level_ratio, round(b2, 5) AS age_coef, round(b3, 5) AS direction_coef, n::BIGINT AS n_pairs, players AS n_players, round(sd, 5) AS residual_sd, round(r2, 5) AS r_squared FROM {FITS}")
 def wls_fit(read: Read) -> DataFrame:
-    return rounded(line_fits(read), 5, "slope", "intercept", "residual_sd", "r_squared")
+    fits = model.fit(model.design(crossings(read), STATS))
+    return rounded(fits, 5, *[c for c, kind in fits.dtypes if kind == "double"])
 
 
-@query(f"SELECT p_partkey, l_returnflag, round(exp(intercept + slope * ln(p_size)), 2) AS predicted FROM part CROSS JOIN {FITS} WHERE p_size > 0")
+@query(f"SELECT p_partkey, stat, round(exp(b0 + b1 * ln(p_size / 25.0) + b2 * (p_partkey % 20 - 7) / 10 + b3), 4) AS predicted FROM part CROSS JOIN {FITS} WHERE p_size > 0")
 def predict(read: Read) -> DataFrame:
     """Cases times fits, as an array of the few fits beside each case."""
-    fits = line_fits(read).agg(F.collect_list(F.struct("l_returnflag", "slope", "intercept")).alias("fits"))
-    cases = read("part").filter("p_size > 0").select("p_partkey", "p_size").crossJoin(F.broadcast(fits)).select("p_partkey", "p_size", F.explode("fits").alias("f"))
-    return cases.select("p_partkey", "f.l_returnflag", F.round(F.exp(F.col("f.intercept") + F.col("f.slope") * F.log("p_size")), 2).alias("predicted"))
+    fits = model.fit(model.design(crossings(read), STATS))
+    beside = fits.agg(F.collect_list(F.struct("stat", "intercept", "retention_slope", "age_coef", "direction_coef")).alias("fits"))
+    cases = read("part").filter("p_size > 0").select("p_partkey", "p_size").crossJoin(F.broadcast(beside)).select("p_partkey", "p_size", F.explode("fits").alias("f")).select("p_partkey", "p_size", "f.*")
+    return cases.select("p_partkey", "stat", F.round(model.predicted(F.col("p_size") / 25.0, F.col("p_partkey") % 20 + 20.0), 4).alias("predicted"))
 
 
 @query("""
@@ -488,54 +534,31 @@ def inversion_diagnostic(read: Read) -> DataFrame:
     return rounded(rounded(model.inversion(rows), 6, "r_squared", "slope_mlb_on_kbo", "slope_kbo_on_mlb", "slope_product_equals_r2"), 4, "naive_inverted_slope")
 
 
-CASES = """(SELECT o_custkey, c_mktsegment AS stat, r_name, n, x / (SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) < 1998) AS x, y / (SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) >= 1998) AS y FROM (
-    SELECT o_custkey, count(*) AS n, avg(CASE WHEN year(o_orderdate) < 1998 THEN o_totalprice END) AS x, avg(CASE WHEN year(o_orderdate) >= 1998 THEN o_totalprice END) AS y FROM orders GROUP BY 1)
-    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE x IS NOT NULL AND y IS NOT NULL)"""
-
-
 @query(f"""
-WITH cases AS {CASES}, fits AS {line_sql("ln(x)", "ln(y)", "sqrt(n)", "stat", "(SELECT * FROM cases WHERE r_name <> 'ASIA')")},
-p AS (SELECT c.stat, x, y, exp(intercept + slope * ln(x)) AS predicted, abs(ln(y) - (intercept + slope * ln(x))) <= 1.2816 * residual_sd AS inside FROM cases c JOIN fits USING (stat) WHERE r_name = 'ASIA')
-SELECT stat, count(*) AS n, round(avg(abs(predicted - y)), 3) AS mae_model, round(avg(abs(1 - y)), 3) AS mae_league_average, round(avg(abs(x - y)), 3) AS mae_carry_over,
-    avg(abs(predicted - y)) < avg(abs(1 - y)) AS beats_league_average, avg(abs(predicted - y)) < avg(abs(x - y)) AS beats_carry_over, round(avg(inside::INT), 3) AS interval_coverage FROM p GROUP BY 1
+WITH p AS (SELECT stat, u, v, round_even(u, 3) AS ur, round_even(v, 3) AS vr, round_even(exp(b0 + b1 * x1 + b2 * x2 + b3), 3) AS predicted FROM {DESIGN} d JOIN {TRAINED} f USING (stat) WHERE cohort = 'posted_from_kbo' AND direction = 'kbo_to_mlb')
+SELECT stat, count(*) AS n, round(avg(abs(predicted - vr)), 3) AS mae_model, round(avg(abs(1 - vr)), 3) AS mae_league_average, round(avg(abs(ur - vr)), 3) AS mae_carry_over,
+    avg(abs(predicted - vr)) < avg(abs(1 - vr)) AS beats_league_average, avg(abs(predicted - vr)) < avg(abs(ur - vr)) AS beats_carry_over FROM p GROUP BY 1
 """)
 def holdout_scorecard(read: Read) -> DataFrame:
-    """Customers' average order before 1998 against after, relative to all; one region is held out."""
-    early = F.year("o_orderdate") < 1998
-    price = F.col("o_totalprice")
-    orders = read("orders")
-    league = orders.agg(F.avg(F.when(early, price)).alias("lx"), F.avg(F.when(~early, price)).alias("ly"))
-    own = orders.groupBy("o_custkey").agg(n_rows().alias("n"), F.avg(F.when(early, price)).alias("x"), F.avg(F.when(~early, price)).alias("y")).dropna(subset=["x", "y"])
-    where = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
-    people = read("customer").join(where, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("stat"), "r_name")
-    cases = own.join(people, "o_custkey").crossJoin(F.broadcast(league)).withColumns({"x": F.col("x") / F.col("lx"), "y": F.col("y") / F.col("ly")})
-    fits = model.weighted_line(cases.filter("r_name != 'ASIA'"), F.log("x"), F.log("y"), F.sqrt("n"), ["stat"]).drop("n")
-    centre = F.col("intercept") + F.col("slope") * F.log("x")
-    inside = F.abs(F.log("y") - centre) <= 1.2816 * F.col("residual_sd")
-    held = cases.filter("r_name = 'ASIA'").join(fits, "stat")
-    return evaluate.scorecard(held.select("stat", F.exp(centre).alias("predicted"), F.col("y").alias("actual"), F.col("x").alias("kbo_relative"), inside.alias("in_interval")))
+    """Intervals need random draws, so their coverage has no SQL."""
+    cases = evaluate.holdout(crossings(read), "batting", stats=STATS, draws=10)
+    return evaluate.scorecard(cases).drop("interval_coverage")
 
 
-DRAWS = 40
+DRAWS = 12
+DRAWN = f"""(SELECT stat, draw, (draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players AS code, count(*)::DOUBLE AS k
+    FROM (SELECT stat, count(DISTINCT key) AS players FROM {DESIGN} GROUP BY 1), (SELECT unnest(generate_series(0, {DRAWS - 1}))::BIGINT AS draw), (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM customer)))::BIGINT AS slot) WHERE slot < players GROUP BY ALL)"""
+RESAMPLED = f"""(SELECT d.stat || ':' || m.draw AS which, d.stat, m.draw, d.key, x0, x1, x2, x3, y, w, m.k FROM (SELECT *, dense_rank() OVER (PARTITION BY stat ORDER BY key) - 1 AS code FROM {DESIGN}) d JOIN {DRAWN} m USING (stat, code))"""
 
 
-@query(f"""
-WITH c AS (SELECT l_suppkey AS code, count(*) AS n, sum(ln(l_quantity)) AS x, sum(ln(l_extendedprice)) AS y, sum(ln(l_quantity) ^ 2) AS xx, sum(ln(l_quantity) * ln(l_extendedprice)) AS xy FROM lineitem GROUP BY 1),
-m AS (SELECT draw, (draw * 1103515245 + slot * 12345 + draw * slot * 7919) % (SELECT count(*) FROM supplier) AS code, count(*) AS k FROM (SELECT unnest(generate_series(0, {DRAWS - 1}))::BIGINT AS draw), (SELECT s_suppkey AS slot FROM supplier) GROUP BY 1, 2),
-d AS (SELECT draw, (sum(k * xy) - sum(k * x) * sum(k * y) / sum(k * n)) / (sum(k * xx) - sum(k * x) ^ 2 / sum(k * n)) AS slope FROM m JOIN c USING (code) GROUP BY 1)
-SELECT count(*) AS n_draws, round(quantile_cont(slope, 0.1), 5) AS p10, round(quantile_cont(slope, 0.5), 5) AS p50, round(quantile_cont(slope, 0.9), 5) AS p90 FROM d
-""")
-def bootstrap_intervals(read: Read) -> DataFrame:
-    """Cluster bootstrap of a slope: suppliers are drawn by a congruence, their sums are weighed by multiplicity."""
-    x, y = F.log("l_quantity"), F.log("l_extendedprice")
-    sums = read("lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(n_rows().alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
-    suppliers = read("supplier")
-    size = suppliers.agg(n_rows().alias("size"))
-    slots = suppliers.select(F.col("s_suppkey").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))).alias("draw")).crossJoin(F.broadcast(size))
-    drawn = slots.groupBy("draw", F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % size").alias("code")).agg(n_rows().alias("k"))
-    fits = drawn.join(sums, "code").groupBy("draw").agg(F.expr("(sum(k * xy) - sum(k * x) * sum(k * y) / sum(k * n)) / (sum(k * xx) - pow(sum(k * x), 2) / sum(k * n))").alias("slope"))
-    q = F.percentile("slope", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return fits.agg(n_rows().alias("n_draws"), q.alias("q")).select("n_draws", *[F.round(F.get("q", F.lit(i)), 5).alias(c) for i, c in enumerate(("p10", "p50", "p90"))])
+@query(f"SELECT split_part(which, ':', 1) AS stat, split_part(which, ':', 2)::INT AS draw, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(b3, 5) AS b3, round(sd, 5) AS sd FROM {fit_sql(RESAMPLED, 'which')}")
+def bootstrap_refits(read: Read) -> DataFrame:
+    """Refits on players that a congruence draws with replacement, in place of random numbers."""
+    rows = model.design(crossings(read), STATS)
+    sizes = rows.groupBy("stat").agg(F.countDistinct("key").alias("players"))
+    slots = sizes.select("stat", "players", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1)).alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
+    drawn = slots.groupBy("stat", F.col("draw").cast("int").alias("draw"), F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+    return rounded(model.bootstrap(rows, DRAWS, drawn=drawn).drop("at"), 5, "b0", "b1", "b2", "b3", "sd")
 
 
 # Rules and labels
@@ -570,11 +593,10 @@ def trust_labels(read: Read) -> DataFrame:
 OUTS = "CASE WHEN f IN (0, 1, 2) THEN w * 3 + f ELSE round(ip * 3, 2) END"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, ip, {OUTS} AS outs, floor({OUTS} / 3) + ({OUTS} % 3) / 10 AS innings FROM (SELECT *, floor(ip) AS w, round((ip - floor(ip)) * 10) AS f FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 10 AS ip FROM lineitem WHERE (l_quantity % 10) <= 2))")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, ip, {OUTS} AS outs, floor({OUTS} / 3) + ({OUTS} % 3) / 10 AS innings FROM (SELECT *, floor(ip) AS w, round((ip - floor(ip)) * 10) AS f FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 10 AS ip FROM lineitem))")
 def innings_outs(read: Read) -> DataFrame:
     ip = F.col("l_quantity") / 10
-    rows = read("lineitem").filter(F.col("l_quantity") % 10 <= 2)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", ip.alias("ip"), expr.outs(ip, 2).alias("outs"), expr.innings(expr.outs(ip, 2)).alias("innings"))
+    return read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ip.alias("ip"), expr.outs(ip, 2).alias("outs"), expr.innings(expr.outs(ip, 2)).alias("innings"))
 
 
 @query("""
@@ -587,10 +609,61 @@ def sample_sizes(read: Read) -> DataFrame:
     return seasons.agg(F.countDistinct("l_suppkey").alias("players"), F.countDistinct(F.when(enough, F.col("l_suppkey"))).alias("qualified"), n_rows().alias("player_seasons"), F.count_if(enough).alias("qualified_seasons"))
 
 
+# Rates of both sides, of line items as season rows
+
+
+SEASONS = """(SELECT l_suppkey, year(l_shipdate) AS season, sum(l_quantity)::BIGINT AS PA, floor(sum(l_quantity) * 0.9)::BIGINT AS AB, count(*) AS H, count(*) FILTER (l_returnflag = 'R') AS SO, count(*) FILTER (l_returnflag = 'A') AS BB,
+    count(*) FILTER (l_linestatus = 'O' AND l_quantity > 40) AS HR, count(*) FILTER (l_linenumber > 5) AS HBP, count(*) FILTER (l_discount > 0.09) AS SF, sum(l_linenumber)::BIGINT AS TB, count(*) FILTER (l_tax > 0.05) AS ER FROM lineitem GROUP BY 1, 2)"""
+
+
+def ratio_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN ({num}) / ({den})::DOUBLE END"
+
+
+RATE_SQL = {
+    "batting": {
+        "k_pct": ratio_sql("SO", "PA"), "bb_pct": ratio_sql("BB", "PA"), "hr_pct": ratio_sql("HR", "PA"), "avg": ratio_sql("H", "AB"), "obp": ratio_sql("H + BB + HBP", "(AB + BB + HBP + SF)"),
+        "slg": ratio_sql("TB", "AB"), "iso": ratio_sql("TB", "AB") + " - " + ratio_sql("H", "AB"), "babip": ratio_sql("H - HR", "(AB - SO - HR + SF)"),
+    },
+    "pitching": {"k_pct": ratio_sql("SO", "PA"), "bb_pct": ratio_sql("BB", "PA"), "hr_pct": ratio_sql("HR", "PA"), "h_pct": ratio_sql("H", "PA"), "era": ratio_sql("ER * 27", "(PA // 3 * 3 + PA % 3)")},
+}
+SUMMED = "(SELECT season, " + ", ".join(f"sum({c}) AS {c}" for c in ("PA", "AB", "H", "SO", "BB", "HR", "HBP", "SF", "TB", "ER")) + f" FROM {SEASONS} GROUP BY 1)"
+
+
+def season_rows(read: Read) -> DataFrame:
+    when = {"SO": F.col("l_returnflag") == "R", "BB": F.col("l_returnflag") == "A", "HR": (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40), "HBP": F.col("l_linenumber") > 5, "SF": F.col("l_discount") > 0.09, "ER": F.col("l_tax") > 0.05}
+    sums = {"PA": long(F.sum("l_quantity")), "AB": long(F.floor(F.sum("l_quantity") * 0.9)), "H": n_rows(), "TB": F.sum("l_linenumber").cast("long"), **{c: F.count_if(x) for c, x in when.items()}}
+    rows = read("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("season")).agg(*[x.alias(c) for c, x in sums.items()])
+    return rows.withColumns({"batters_faced": F.col("PA"), "IP": expr.innings(F.col("PA").cast("double"))})
+
+
+def relative_sql(side: str) -> str:
+    own, league = (", ".join(f"{x} AS {p}{r}" for r, x in RATE_SQL[side].items()) for p in ("", "lg_"))
+    said = ", ".join(f"round({c}, 6) AS {c}" for r in RATE_SQL[side] for c in (r, f"lg_{r}")) + ", " + ", ".join(f"round(CASE WHEN lg_{r} > 0 THEN {r} / lg_{r} END, 6) AS rel_{r}" for r in RATE_SQL[side])
+    return f"SELECT l_suppkey, season, {said} FROM (SELECT l_suppkey, season, {own} FROM {SEASONS} WHERE PA >= 100) JOIN (SELECT season, {league} FROM {SUMMED}) USING (season)"
+
+
+def sided_rates(read: Read, side: str) -> DataFrame:
+    rows = season_rows(read)
+    out = rates.relative_rates(rows, rates.league_rates(rows.drop("l_suppkey"), side), side, 100)
+    names_of = [p + r for p in ("", "lg_", "rel_") for r in expr.RATE_SETS[side]]
+    return rounded(out, 6, *names_of).select("l_suppkey", F.col("season").cast("long").alias("season"), *names_of)
+
+
+@query(relative_sql("batting"))
+def batting_rates(read: Read) -> DataFrame:
+    return sided_rates(read, "batting")
+
+
+@query(relative_sql("pitching"))
+def pitching_rates(read: Read) -> DataFrame:
+    return sided_rates(read, "pitching")
+
+
 # Names, text, pages
 
 
-SURNAME_SQL = "CASE " + " ".join(f"WHEN t IN ({', '.join(repr(s) for s in spellings.split())}) THEN '{tag}'" for tag, spellings in names.SURNAMES.items()) + " END"
+SURNAME_SQL = "CASE " + " ".join(f"WHEN t IN ({', '.join(repr(s) for s in spellings)}) THEN '{tag}'" for tag, spellings in names.SURNAMES.items()) + " END"
 PARTS_SQL = "SELECT p_partkey, p_name, lower(split_part(p_name, ' ', 1)) AS a, lower(split_part(p_name, ' ', 2)) AS b FROM part"
 
 

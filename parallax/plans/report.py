@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 
 
-def table(rows: DataFrame, limit: int = 200) -> str:
-    """A Markdown table of the first rows."""
-    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    for r in rows.limit(limit).collect():
-        lines.append("| " + " | ".join("" if v is None else str(v) for v in r) + " |")
-    return "\n".join(lines)
+def table(rows: DataFrame, limit: int | None = None) -> str:
+    """A Markdown table of all rows, or of the first ones."""
+    return lines(rows.columns, (rows if limit is None else rows.limit(limit)).collect())
+
+
+def lines(columns: list[str], rows: list) -> str:
+    head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
 def audit(results: DataFrame, samples: dict[str, DataFrame] | None = None) -> str:
@@ -36,7 +40,8 @@ def audit(results: DataFrame, samples: dict[str, DataFrame] | None = None) -> st
 def validation(side: str, fits: DataFrame, scores: DataFrame, cases: DataFrame) -> str:
     """Fits, scorecard and each held-out player's predictions."""
     out = [f"# Validation: {side}", "", "## Fits", "", table(fits), "", "## Out of sample", "", table(scores), ""]
-    for (player,) in cases.select("player").distinct().orderBy("player").limit(200).collect():
-        own = cases.filter(cases["player"].eqNullSafe(player)).orderBy("stat")
-        out += [f"## {player}", "", table(own.select("stat", "kbo_relative", "predicted", "p10", "p90", "actual", "in_interval")), ""]
+    columns = ["stat", "kbo_relative", "predicted", "p10", "p90", "actual", "in_interval"]
+    held_out = cases.select("player", *columns).orderBy("player", "stat").collect()  # a row for each held-out player and statistic
+    for player, own in groupby(held_out, key=lambda r: r["player"]):
+        out += [f"## {player}", "", lines(columns, [r[1:] for r in own]), ""]
     return "\n".join(out)

@@ -56,7 +56,7 @@ def test_absent_age_is_27_and_absent_playing_time_weighs_one(spark):
 def test_bootstrap_equals_refits_on_resampled_rows(spark):
     df = pairs(spark, n=60).coalesce(1)
     rows = model.design(df, ["k_pct"], order=None).cache()
-    own = rows.orderBy("o").collect()
+    own = rows.orderBy("key").collect()
     x, y, w = np.array([[r[c] for c in model.X] for r in own]), np.array([r["y"] for r in own]), np.array([r["w"] for r in own])
     first = {k: i for i, k in enumerate(dict.fromkeys(r["key"] for r in own))}
     codes = np.array([first[r["key"]] for r in own])
@@ -70,11 +70,25 @@ def test_bootstrap_equals_refits_on_resampled_rows(spark):
         assert got["sd"] == pytest.approx(np.sqrt((w[at] * e * e).sum() / (len(at) - 4)), rel=1e-6)
 
 
-def test_many_clusters_use_hashed_multiplicities(spark, monkeypatch):
-    monkeypatch.setattr(model, "EXACT_CLUSTERS", 10)
-    drawn = model.bootstrap(model.design(pairs(spark), ["k_pct"]), 40)
-    r = drawn.agg(F.avg("b1").alias("m"), F.stddev("b1").alias("s"), F.count("b1").alias("n")).first()
-    assert r["n"] == 40 and abs(r["m"] - 0.6) < 0.06 and 0 < r["s"] < 0.1
+def test_players_are_numbered_by_key_in_every_partitioning(spark):
+    keys = [f"{a}{i:03d}" for a in ("x", "pla", "player", "") for i in range(120)]
+    rows = spark.createDataFrame([(s, k, -1) for s in ("k", "bb") for k in keys for _ in range(2)], "stat string, key string, o long")
+    wanted = {(s, k): i for s in ("k", "bb") for i, k in enumerate(sorted(keys))}
+    for df in (rows.coalesce(1), rows.repartition(5)):
+        assert {(r["stat"], r["key"]): r["code"] for r in model.codes(df).collect()} == wanted
+    ordered = spark.createDataFrame([("k", k, 70_000 * i) for i, k in enumerate(reversed(keys))], "stat string, key string, o long")
+    assert {r["key"]: r["code"] for r in model.codes(ordered).collect()} == {k: i for i, k in enumerate(reversed(keys))}
+
+
+def test_multiplicities_are_one_sequence_however_dealt(spark):
+    got = {(r["stat"], r["draw"], r["code"]): r["k"] for r in model.multiplicities(spark, {"a": 7, "b": 30, "c": 7}, 9, 3).collect()}
+    wanted = {}
+    for stat, n in (("a", 7), ("b", 30), ("c", 7)):
+        rng = np.random.default_rng(3)
+        for d in range(9):
+            code, k = np.unique(rng.integers(0, n, size=n), return_counts=True)
+            wanted |= {(stat, d, int(c)): float(x) for c, x in zip(code, k, strict=True)}
+    assert got == wanted
 
 
 def test_intervals(spark):
@@ -145,6 +159,8 @@ def test_screen_and_profile(spark):
     assert [tuple(r) for r in profile.collect()] == [("Star", "star", 2023, 1.333, 25.0)]
     now = spark.createDataFrame([("a", 1.4), ("b", 1.0), ("c", None)], "player string, score double")
     r = screen.screen_counts(now, profile.select("player", "score"), "no such setting").first()
-    assert (r["threshold"], r["admitted"], r["of_total"], r["historical_caught"], r["historical_total"], r["missed"]) == (1.333, 1, 3, 1, 1, [])
+    assert (r["threshold"], r["admitted"], r["of_total"], r["historical_caught"], r["historical_total"], r["historical_missed"]) == (1.333, 1, 3, 1, 1, 0)
+    cohort = spark.createDataFrame([("x", 1.0), ("y", 1.2), ("z", 1.4), ("n", None)], "player string, score double")
+    assert sorted(r["player"] for r in screen.missed(cohort).collect()) == ["n", "x"] and screen.missed(cohort.limit(0)).count() == 0
     r = screen.screen_counts(now, profile.select("player", "score").limit(0)).first()
     assert (r["threshold"], r["admitted"], r["historical_total"]) == (None, 3, 0)

@@ -98,8 +98,9 @@ def test_projections_and_command_line(store, capsys):
     name = store.read("kbo_batting", pipelines.HOME).filter("player_register_id = 'h2'").first()["player"]
     got = pipelines.projections(store, "batting", 2022, [name.upper()], draws=20)
     assert "h2" in {r["player_register_id"] for r in got.collect()} and store.exists("projections_batting_2022")
-    args = cli.parser().parse_args(["counts", "--data", store.folder])
+    args = cli.parser().parse_args(["counts", "--side", "batting", "--data", store.folder])
     assert cli.run(args, store) == 0 and "qualified" in capsys.readouterr().out
+    assert cli.parser().parse_args(["model", "--data", "x", "--offline", "-v"]).side == "pitching"
     assert cli.run(cli.parser().parse_args(["audit", "--data", store.folder, "--start", "2015", "--end", "2022"]), store) == 1
 
 

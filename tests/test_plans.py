@@ -8,7 +8,7 @@ from parallax.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that put a result of one row beside all rows.
-ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_intervals"}
+ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed"}
 
 
 def plan(df):
