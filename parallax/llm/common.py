@@ -79,6 +79,19 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a table, of at most 100 bytes each, that is broadcast to a join, and what its rows are repeated by beyond.
+BROADCAST_ROWS = 50_000
+SALTS = 32
+
+
+def keyed(rows: DataFrame, table: DataFrame, n: int, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, of ``n`` rows, on ``key``; rows of one key are dealt by ``by``, never one task's alone."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * MIX_A

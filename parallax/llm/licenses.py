@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import ready, stored
+from parallax.llm.common import keyed, ready, stored
 
 COSINE = 0.6
 FILE_SHARE = 0.5
@@ -193,7 +193,8 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
     dirs = rows.select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above").dropDuplicates(["dir", "above"])
     nearest = dirs.join(speaks, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "inherited")).alias("from"))
-    joined = rows.join(nearest, "dir", "left")
+    nearest = stored(nearest, "nearest")
+    joined = keyed(rows, nearest, nearest.count(), "dir", "row", "left")
     own = F.col("m").isNotNull()
     return joined.select(
         "file_id",

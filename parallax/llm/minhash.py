@@ -20,7 +20,7 @@ more are linked, and linked documents, directly or through others, form a compon
    allow a link do whole texts meet. Cells give spanning forests of links.
 
 Joins on nodes and clusters, whose rows may be a third of all, have one row a key on the right: it is broadcast
-where it was counted to be at most ``BROADCAST_ROWS`` rows, and else repeated for ``SALTS`` salts. No step makes
+where it was counted to be small, and else repeated for salts (``common.keyed``). No step makes
 all pairs of a group as rows, gathers a group of unbounded size in a task, or brings documents, links or
 components to the driver.
 """
@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallax.llm import common
 from parallax.llm.common import forget, mix64, null_to_empty, ready, stored
 
 WORDS = 5
@@ -59,9 +60,6 @@ SKETCH = [f"s{i}" for i in range(BITS // 64)]
 LONGS = ", ".join(f"{c} long" for c in SKETCH)
 #: As many edges are joined in one task (a few MB); more by stars.
 LOCAL_EDGES = 500_000
-#: Rows of nodes or clusters that are broadcast, of at most 100 bytes each.
-BROADCAST_ROWS = 50_000
-SALTS = 32
 #: Most slots of the filter that keeps texts without candidates from being shuffled; bounds its size.
 FILTER_SLOTS = 1 << 25
 
@@ -146,11 +144,7 @@ def next_paths(members: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame, table: DataFrame, n: int, key: str, how: str = "inner") -> DataFrame:
-    """Join ``rows`` (with rep) and ``table``, of ``n`` rows, one a key; a key's rows are never one task's alone."""
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), key, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    return common.keyed(rows, table, n, key, "rep", how)
 
 
 def may_link(n: np.ndarray, bits: np.ndarray) -> np.ndarray:

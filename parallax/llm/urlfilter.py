@@ -7,7 +7,7 @@ those run their expressions. Host rules (host and subdomains, path prefix) win o
 longest first.
 
 Up to ``LITERAL_RULES`` rules the index is a literal of the plan and nothing is shuffled. More rules are a table that the
-tokens of the distinct urls are joined with: broadcast up to ``BROADCAST_RULES`` rows, else repeated for ``SALTS`` salts.
+tokens of the distinct urls are joined with: broadcast where it is small, else repeated for salts (``common.keyed``).
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm.common import fresh, stored
+from parallax.llm.common import fresh, keyed, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LITERAL_RULES = 200
-BROADCAST_RULES = 50_000
-SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -159,18 +157,10 @@ def by_tables(sites: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     known = stored(spark.range(1).select(F.explode(F.array(*map(F.lit, parts))).alias("part")).select(F.inline(F.from_json("part", kind))), "rules")
     wanted = known.select(F.explode("tokens").alias("token")).distinct()
     said = sites.select("site", F.explode(F.concat(tokens_of(F.col("site")), F.array(F.lit("")))).alias("token"))
-    counts = met(said, wanted, len(rules)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = keyed(said, wanted, len(rules), "token", "site").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     each = known.select("id", F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = each.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least")).select("id", "least.token")
     index = stored(known.join(rarest, "id", "left").withColumn("token", F.coalesce("token", F.lit(""))).drop("tokens"), "index")
-    fitting = met(said, index, len(rules)).filter(F.rlike("site", F.col("pattern")))
+    fitting = keyed(said, index, len(rules), "token", "site").filter(F.rlike("site", F.col("pattern")))
     order = F.struct("rank", "size", (-F.col("id")).alias("id"), "name", "block")
     return fitting.groupBy("site").agg(F.max(order).alias("won"))
-
-
-def met(said: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """(site, token) joined with a table by token; sites of a common token are never one task's alone."""
-    if n <= BROADCAST_RULES:
-        return said.join(F.broadcast(table), "token")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return said.withColumn("_salt", F.pmod(F.xxhash64("site"), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"]).drop("_salt")

@@ -2,8 +2,10 @@ import math
 import re
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
+from parallax.llm import common
 from parallax.llm import licenses as lic
 
 FILES = [
@@ -105,7 +107,9 @@ TREE = [
 ]
 
 
-def test_whole_license_files_and_headers(spark):
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_whole_license_files_and_headers(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     got = rows(spark, TREE)
     assert got == brute(TREE)
     assert [r[2:] for r in got] == [

@@ -69,7 +69,7 @@ def test_large_nodes_and_clusters(spark, monkeypatch, depth):
     monkeypatch.setattr(mh, "BLOCK", 8)
     monkeypatch.setattr(mh, "SUBBLOCK", 4)
     monkeypatch.setattr(mh, "OUTSIDERS", 12 if depth == 1 else 40)
-    monkeypatch.setattr(mh, "BROADCAST_ROWS", 0 if depth == 1 else 10)
+    monkeypatch.setattr(mh.common, "BROADCAST_ROWS", 0 if depth == 1 else 10)
     monkeypatch.setattr(mh, "PIVOTS", 4)
     monkeypatch.setattr(mh, "DEPTH", depth)
     monkeypatch.setattr(mh, "LOCAL_EDGES", 0 if depth == 1 else 10_000)

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from parallax.llm import common
 from parallax.llm import urlfilter as uf
 
 URLS = [
@@ -36,7 +37,7 @@ def test_against_brute_force(spark):
 
 @pytest.mark.parametrize("broadcast", [0, 50_000])
 def test_long_lists_by_tables(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(uf, "BROADCAST_RULES", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     many = uf.RULES + uf.PATTERNS + tuple(uf.host_rule(f"never{i}.org/x", True) for i in range(300)) + (uf.Rule("digits", r"z+\d", (), True, 0),)
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS + ["http://q.com/zz9"])], "page_id long, url string, path string")
     got = uf.judge(pages, many)
