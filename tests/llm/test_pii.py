@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -154,3 +155,34 @@ def test_long_text_and_empty_table(spark):
     long = "word 12 " * 100_000 + "x@y.zz"
     assert spans_of(spark, [long])[0][0] == f"email:{len(long) - 6}:{len(long)}"
     assert pii.find(spark.createDataFrame([], "text string"), [0.0] * 20).count() == 0
+
+
+def test_added_kinds_on_held_out_plants(spark):
+    """Planted personal data against look-alikes; labelers and classifier see neither the truth nor the second half."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    planted = {
+        "contact": lambda: (f"call ({digits(3)}) {digits(3)}-{digits(4)}", 5),
+        "ssn": lambda: (f"ssn {rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", 4),
+        "secret": lambda: (f'api_key = "{key(rng.choice((32, 40, 64)))}"', 11),
+    }
+    decoys = [lambda: f"http://x.org/{word(12)}-{word(12)}-1/{word(9)}", lambda: f"order {digits(3)} {digits(3)} {digits(4)}", lambda: f"part 000-{digits(2)}-{digits(4)}", lambda: f"{word(26)}2"]
+    rows, truth = [], set()
+    for i in range(1200):
+        before = " ".join(word(rng.randint(2, 9)) for _ in range(rng.randint(3, 30))) + " "
+        kind = rng.choice([*planted, None, None])
+        said, at = planted[kind]() if kind else (rng.choice(decoys)(), 0)
+        rows.append((i, f"{before}{said} {word(5)}."))
+        if kind:
+            truth.add((i, kind, len(before) + at))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(docs.filter("doc_id >= 600"), pii.train(docs.filter("doc_id < 600"))).select("doc_id", F.explode("pii_spans").alias("s")).select("doc_id", "s.kind", "s.start").collect()
+    found, wanted = {tuple(r) for r in got if r["kind"] in pii.EXTRA}, {t for t in truth if t[0] >= 600}
+    for kind in pii.EXTRA:
+        f, w = ({t for t in x if t[1] == kind} for x in (found, wanted))
+        precision, recall = len(f & w) / max(1, len(f)), len(f & w) / len(w)
+        print(kind, "precision", precision, "recall", recall)
+        assert recall >= 0.95
+        assert precision >= 0.95 or kind == "contact"  # bare ten-digit numbers are taken too: see the README

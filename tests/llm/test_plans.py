@@ -20,4 +20,4 @@ def test_native(spark, name):
 @pytest.mark.parametrize("name", ["op3_language", "op9_quality", "op10_packing"])
 def test_no_shuffle_and_one_python_node(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
-    assert "Exchange" not in text and text.count("ArrowEvalPython") + text.count("MapInPandas") == 1
+    assert "Exchange" not in text and sum(text.count(node) for node in ("ArrowEvalPython", "MapInPandas", "MapInArrow")) == 1
