@@ -551,14 +551,17 @@ DRAWN = f"""(SELECT stat, draw, (draw * 1103515245 + slot * 12345 + draw * slot
 RESAMPLED = f"""(SELECT d.stat || ':' || m.draw AS which, d.stat, m.draw, d.key, x0, x1, x2, x3, y, w, m.k FROM (SELECT *, dense_rank() OVER (PARTITION BY stat ORDER BY key) - 1 AS code FROM {DESIGN}) d JOIN {DRAWN} m USING (stat, code))"""
 
 
+def draws_by_congruence(rows: DataFrame) -> DataFrame:
+    """Players that a congruence draws with replacement, in place of random numbers: (stat, draw, code, k)."""
+    sizes = rows.groupBy("stat").agg(F.countDistinct("key").alias("players"))
+    slots = sizes.select("stat", "players", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1)).alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
+    return slots.groupBy("stat", F.col("draw").cast("int").alias("draw"), F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+
+
 @query(f"SELECT split_part(which, ':', 1) AS stat, split_part(which, ':', 2)::INT AS draw, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(b3, 5) AS b3, round(sd, 5) AS sd FROM {fit_sql(RESAMPLED, 'which')}")
 def bootstrap_refits(read: Read) -> DataFrame:
-    """Refits on players that a congruence draws with replacement, in place of random numbers."""
     rows = model.design(crossings(read), STATS)
-    sizes = rows.groupBy("stat").agg(F.countDistinct("key").alias("players"))
-    slots = sizes.select("stat", "players", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1)).alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
-    drawn = slots.groupBy("stat", F.col("draw").cast("int").alias("draw"), F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("k"))
-    return rounded(model.bootstrap(rows, DRAWS, drawn=drawn).drop("at"), 5, "b0", "b1", "b2", "b3", "sd")
+    return rounded(model.bootstrap(rows, DRAWS, drawn=draws_by_congruence(rows)).drop("at"), 5, "b0", "b1", "b2", "b3", "sd")
 
 
 # Rules and labels

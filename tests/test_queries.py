@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from parallax.plans.queries import ORACLES, QUERIES
+from parallax.plans.source_queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
