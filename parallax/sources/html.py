@@ -149,9 +149,8 @@ def identified() -> Column:
 def with_signature(all_rows: DataFrame, signature: tuple[str, ...], page: str) -> DataFrame:
     """Rows of each page's first table that has all columns of ``signature``."""
     has = F.size(F.array_except(F.array(*map(F.lit, signature)), F.map_keys("cells"))) == 0
-    tables = all_rows.groupBy(page, "table_at").agg(F.max(has).alias("has")).filter("has")
-    first = tables.withColumn("_k", F.row_number().over(Window.partitionBy(page).orderBy("table_at"))).filter("_k = 1")
-    return all_rows.join(first.select(page, "table_at"), [page, "table_at"], "left_semi")
+    first = F.min(F.when(has, F.col("table_at"))).over(Window.partitionBy(page))  # pages are parsed once
+    return all_rows.filter(F.col(page).isNotNull()).withColumn("_first", first).filter("table_at = _first").drop("_first")
 
 
 def renamed_cells(names: dict[str, str]) -> Column:
