@@ -76,11 +76,15 @@ def solved(row) -> tuple[np.ndarray, float, float]:
     return beta, sd, (1 - residual / total if total > 1e-15 else float("nan"))
 
 
+def fit_sums(rows: DataFrame) -> DataFrame:
+    """A row for each statistic of a design with enough pairs: what ``solved`` needs, in one aggregation."""
+    return rows.groupBy("stat").agg(*moments(), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS)
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """Fits by statistic (the columns of ``FIT``) of a design; statistics with under 20 pairs are left out."""
-    sums = rows.groupBy("stat").agg(*moments(), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS)
     out = []
-    for r in sums.collect():  # a row for each statistic
+    for r in fit_sums(rows).collect():  # a row for each statistic
         b, sd, r2 = solved(r)
         out.append((r["stat"], float(b[1]), float(b[0]), float(np.exp(b[0])), float(b[2]), float(b[3]), int(r["n"]), r["players"], sd, None if np.isnan(r2) else float(r2)))
     return rows.sparkSession.createDataFrame(sorted(out), FIT)

@@ -4,11 +4,15 @@ import re
 
 import pytest
 
-from parallax.plans.queries import QUERIES
+from parallax.operators import model
+from parallax.plans.queries import STATS, crossings
+from parallax.plans.source_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that put a result of one row beside all rows.
-ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed"}
+ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed", "link_checks", "fit_summary", "prediction_intervals", "projection"}
+#: Queries that parse pages or make keys of names.
+PYTHON = {"strict_key", "loose_key", "surname_keys", "nationalities", "team_pages", "typed_players", "page_player_ids", "crawl_players", "crawl_roster", "crawl_totals", "player_pages", "page_failures", "page_totals"}
 
 
 def plan(df):
@@ -29,12 +33,17 @@ def test_no_product_of_tables(spark, name):
     assert "BroadcastNestedLoopJoin" not in text or name in ONE_ROW
 
 
-@pytest.mark.parametrize("name", ["relative_rates", "league_rates", "weighted_score", "wls_fit"])
+@pytest.mark.parametrize("name", ["relative_rates", "league_rates", "weighted_score"])
 def test_one_scan_with_partial_aggregation(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert text.count("lineitem.parquet") <= 2 and "partial_sum" in text
 
 
-def test_only_name_keys_run_python(spark):
+def test_fits_sum_with_partial_aggregation(spark):
+    text = plan(model.fit_sums(model.design(crossings(lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")), STATS)))
+    assert text.count("orders.parquet") <= 2 and "partial_sum" in text and "Python" not in text
+
+
+def test_only_names_and_pages_run_python(spark):
     for name, query in QUERIES.items():
-        assert ("Python" in plan(query(spark, FOLDER))) == (name in ("strict_key", "loose_key"))
+        assert ("Python" in plan(query(spark, FOLDER))) == (name in PYTHON), name
