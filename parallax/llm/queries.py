@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import chat, decontaminate, fingerprint, langid, licenses, minhash, pii, quality, urlfilter
+from parallax.llm import bpe, chat, decontaminate, divergence, fingerprint, langid, licenses, minhash, pii, quality, repair, urlfilter
 from parallax.llm.common import table
 from parallax.llm.packing import pack
 
@@ -93,6 +93,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, also those that lose all rows to the damage."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    audits, repaired = repair.repair(repair.damaged(turns))
+    found = audits.join(repair.digests(repaired).withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    every = turns.select(F.col("conv_id").alias("_id")).distinct().join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_chat": op2_chat,
@@ -104,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
+    "op12_repair": op12_repair,
+    "op13_bpe": op13_bpe,
 }
 
 OP6_SQL = r"""
@@ -168,4 +189,85 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id, own
 """
 
-ORACLES: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_chat": OP2_SQL, "op6_urls": OP6_SQL}
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), said AS MATERIALIZED (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS MATERIALIZED (
+    SELECT lang, term, CAST(count(*) AS HUGEINT) AS m FROM said GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), counts AS MATERIALIZED (
+    SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS MATERIALIZED (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), langs AS (
+    SELECT lang, sum(m) AS total, count(*) AS v FROM kept GROUP BY lang
+), shares AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p, 1 + (1000000000 * (k.m + 1)) // (l.total + l.v) AS q
+    FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+#: A layer is the least (cost, audit, repaired turns) of each state; a_ is that after the insertions.
+OP12_SQL = r"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), hashed AS (
+    SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 20 AS k
+    FROM named
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) FROM hashed WHERE k <> 0)
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged
+), faulty AS (
+    SELECT *, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN said = '' THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN said[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM numbered
+), turns AS MATERIALIZED (
+    SELECT conv_id, i, role[1] AS r, role, text, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM faulty
+), sums AS (
+    SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+), layers AS (
+    SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'a': '', 't': ''} AS z, {'c': 1000000000, 'a': '', 't': ''} AS s, {'c': 2, 'a': 'I', 't': chr(10) || 'user:'} AS u,
+        {'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a
+    FROM sums
+    UNION ALL
+    SELECT conv_id, i, z, s,
+        list_min([u, {'c': z.c + 2, 'a': z.a || 'I', 't': z.t || chr(10) || 'user:'}, {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'}, {'c': a.c + 2, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}]),
+        list_min([a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}, {'c': z.c + 4, 'a': z.a || 'II', 't': z.t || chr(10) || 'user:' || chr(10) || 'assistant:'},
+            {'c': s.c + 4, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}])
+    FROM (
+        SELECT l.conv_id, r.i, {'c': l.z.c + 3, 'a': l.z.a || 'D', 't': l.z.t} AS z,
+            list_min([{'c': l.s.c + 3, 'a': l.s.a || 'D', 't': l.s.t}, {'c': l.z.c + r.cut + CASE WHEN r.must OR r.r <> 's' THEN 1000000000 ELSE 0 END, 'a': l.z.a || 'K', 't': l.z.t || chr(10) || r.role || ':' || r.text}]) AS s,
+            list_min([{'c': l.u.c + 3, 'a': l.u.a || 'D', 't': l.u.t}] || list_transform([l.z, l.s, l.a], lambda x: {'c': x.c + r.cut + CASE WHEN r.must OR r.r <> 'u' THEN 1000000000 ELSE 0 END, 'a': x.a || 'K', 't': x.t || chr(10) || r.role || ':' || r.text})
+                || list_transform([l.z, l.s, l.a], lambda x: {'c': x.c + 2 + r.cut + CASE WHEN r.must THEN 1000000000 ELSE 0 END, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || r.text})) AS u,
+            list_min([{'c': l.a.c + 3, 'a': l.a.a || 'D', 't': l.a.t}, {'c': l.u.c + r.cut + CASE WHEN r.must OR r.r <> 'a' THEN 1000000000 ELSE 0 END, 'a': l.u.a || 'K', 't': l.u.t || chr(10) || r.role || ':' || r.text},
+                {'c': l.u.c + 2 + r.cut + CASE WHEN r.must THEN 1000000000 ELSE 0 END, 'a': l.u.a || 'R', 't': l.u.t || chr(10) || 'assistant:' || r.text}]) AS a
+        FROM layers l JOIN turns r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i + 1
+    )
+), ended AS (
+    SELECT l.conv_id, list_min([l.z, l.a]) AS best FROM layers l JOIN sums s ON s.conv_id IS NOT DISTINCT FROM l.conv_id AND s.n = l.i
+)
+SELECT o.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+    CAST(coalesce(e.best.c, 0) AS BIGINT) AS cost, coalesce(e.best.a, '') AS audit, sha256(coalesce(e.best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_chat": OP2_SQL, "op6_urls": OP6_SQL, "op11_divergence": OP11_SQL, "op12_repair": OP12_SQL}

@@ -124,3 +124,16 @@ def test_op10_pieces_are_those_of_the_tokenizer(spark, docs):
         used[r["sequence_id"]] = r["offset"] + r["length"]
     padded = sum(n if n & (n - 1) == 0 else 2048 for n in used.values())
     assert max(used.values()) <= 2048 and padded <= 1.01 * sum(used.values())
+
+
+def test_op13_equals_the_library(spark, docs):
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    from parallax.llm import bpe
+
+    library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_ranks()), special_tokens={})
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op13_bpe"](spark, FOLDER).collect()}
+    for doc_id, text, *_ in docs:
+        ids = library.encode_ordinary(text or "")
+        assert got[doc_id] == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), text or "")))
