@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parallax.functions.expr import PLAYING_TIME, RATE_SETS
 from parallax.operators import model
 from parallax.operators.timeline import LEAGUES, POSTED
+from parallax.sources.stored import stored
 
 
 def split(pairs: DataFrame, cohort: str = POSTED, direction: str | None = None, leagues: tuple[str, str] = LEAGUES) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +28,7 @@ def holdout(pairs: DataFrame, side: str, cohort: str = POSTED, stats: list[str]
     a, b = leagues
     train, test = split(pairs, cohort, direction, leagues)
     stats = stats or list(RATE_SETS[side])
-    rows = model.design(train, stats, key, leagues, order)
+    rows = stored(model.design(train, stats, key, leagues, order), "design")  # fits, sizes, numbers and draws read it
     fits = model.fit(rows)
     drawn = model.with_noise(model.bootstrap(rows, draws))
     stats = [s for s in stats if f"{a}_rel_{s}" in pairs.columns and f"{b}_rel_{s}" in pairs.columns]

@@ -1,29 +1,38 @@
 """Weighted translation models, their bootstrap and prediction intervals.
 
 Fits need only sums of weighted products by statistic (a 4 x 4 matrix each), which Spark makes with
-partial aggregation; the small solve runs on the driver. The same holds for each bootstrap draw.
+partial aggregation; the solves run where the sums are, many at a time. The same holds for each bootstrap draw.
+
+A draw picks as many players as there are, with replacement. Its counts are splittable: the picks of a range of
+players are split between its halves by a binomial draw whose generator is keyed by the range, down to blocks,
+and the picks of a block are numbers hashed from the block's name and a counter. So any task can make any block alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallax.functions.expr import RATE_SETS
 from parallax.operators.timeline import LEAGUES
+from parallax.sources.stored import stored
 
 MIN_PAIRS = 20
 AGE_CENTRE = 27.0
 TERMS = 4
-#: Letters of keys, or ordinals, that players are numbered by at a time.
-PREFIX, ORDINALS = 4, 1 << 16
+#: Players whose picks are made at once.
+BLOCK = 1 << 16
 X = [f"x{i}" for i in range(TERMS)]
 UPPER = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
-FIT = "stat string, retention_slope double, intercept double, level_ratio double, age_coef double, direction_coef double, n_pairs long, n_players long, residual_sd double, r_squared double"
+SUMS = ["n", *(f"s{i}{j}" for i, j in UPPER), *(f"t{i}" for i in range(TERMS)), "yy"]
+SOLVED = [*(f"b{i}" for i in range(TERMS)), "sd", "r2"]
 
 
 def design(pairs: DataFrame, stats: list[str], key: str = "player_register_id", leagues: tuple[str, str] = LEAGUES, order: str | None = None) -> DataFrame:
@@ -44,7 +53,7 @@ def design(pairs: DataFrame, stats: list[str], key: str = "player_register_id",
         raise ValueError(f"pairs have neither {key} nor an order")
     who = F.col(key) if key in have else F.col(order).cast("string")
     rows = pairs.select(
-        who.alias("key"), (F.col(order).cast("long") if order else F.lit(-1).cast("long")).alias("o"), age.alias("age"), F.sqrt(F.greatest(F.lit(1.0), least)).alias("w"),
+        who.alias("key"), (F.col(order) if order else F.lit(-1).cast("long")).alias("o"), age.alias("age"), F.sqrt(F.greatest(F.lit(1.0), least)).alias("w"),
         F.when(F.col("direction") == f"{a}_to_{b}", 1.0).otherwise(0.0).alias("x3"), each.alias("s"),
     )
     rows = rows.filter((F.col("s.u") > 0) & (F.col("s.v") > 0) & ~F.isnan("s.u") & ~F.isnan("s.v"))
@@ -63,31 +72,38 @@ def moments(times: Column | None = None) -> list[Column]:
     ]
 
 
-def solved(row) -> tuple[np.ndarray, float, float]:
-    """Minimum-norm coefficients, residual deviation and R² from the sums."""
-    s = np.zeros((TERMS, TERMS))
-    for i, j in UPPER:
-        s[i, j] = s[j, i] = row[f"s{i}{j}"]
-    t = np.array([row[f"t{i}"] for i in range(TERMS)])
-    beta = np.linalg.pinv(s, rcond=1e-12, hermitian=True) @ t
-    residual = max(0.0, row["yy"] - 2 * beta @ t + beta @ s @ beta)
-    total = row["yy"] - t[0] ** 2 / s[0, 0]
-    sd = float(np.sqrt(residual / max(row["n"] - TERMS, 1)))
-    return beta, sd, (1 - residual / total if total > 1e-15 else float("nan"))
+def solve(sums: DataFrame) -> DataFrame:
+    """Rows of sums to minimum-norm coefficients b0.., residual deviation sd and r2 (null without spread); other columns stay."""
+    rest = [f for f in sums.schema if f.name not in SUMS or f.name == "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = np.zeros((len(pdf), TERMS, TERMS))
+            for i, j in UPPER:
+                s[:, i, j] = s[:, j, i] = pdf[f"s{i}{j}"]
+            t, yy = pdf[[f"t{i}" for i in range(TERMS)]].to_numpy(), pdf["yy"].to_numpy()
+            beta = np.einsum("kij,kj->ki", np.linalg.pinv(s, rcond=1e-12, hermitian=True), t) if len(pdf) else t
+            residual = np.maximum(0.0, yy - 2 * (beta * t).sum(1) + np.einsum("ki,kij,kj->k", beta, s, beta))
+            total = yy - t[:, 0] ** 2 / s[:, 0, 0]
+            spread = total > 1e-15
+            out = pdf[[f.name for f in rest]].copy()
+            out[SOLVED[:TERMS]] = beta
+            out["sd"] = np.sqrt(residual / np.maximum(pdf["n"].to_numpy() - TERMS, 1))
+            out["r2"] = np.where(spread, 1 - residual / np.where(spread, total, 1.0), np.nan)
+            yield out
+
+    return sums.mapInPandas(run, T.StructType([*rest, *[T.StructField(c, T.DoubleType()) for c in SOLVED]]))
 
 
 def fit_sums(rows: DataFrame) -> DataFrame:
-    """A row for each statistic of a design with enough pairs: what ``solved`` needs, in one aggregation."""
+    """A row for each statistic of a design with enough pairs: what ``solve`` needs, in one aggregation."""
     return rows.groupBy("stat").agg(*moments(), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS)
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Fits by statistic (the columns of ``FIT``) of a design; statistics with under 20 pairs are left out."""
-    out = []
-    for r in fit_sums(rows).collect():  # a row for each statistic
-        b, sd, r2 = solved(r)
-        out.append((r["stat"], float(b[1]), float(b[0]), float(np.exp(b[0])), float(b[2]), float(b[3]), int(r["n"]), r["players"], sd, None if np.isnan(r2) else float(r2)))
-    return rows.sparkSession.createDataFrame(sorted(out), FIT)
+    """Fits by statistic of a design; statistics with under 20 pairs are left out."""
+    named = {"retention_slope": "b1", "intercept": "b0", "level_ratio": F.exp("b0"), "age_coef": "b2", "direction_coef": "b3", "n_pairs": F.col("n").cast("long"), "n_players": "players", "residual_sd": "sd", "r_squared": "r2"}
+    return solve(fit_sums(rows)).select("stat", *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in named.items()])
 
 
 def fit_pairs(pairs: DataFrame, side: str, stats: list[str] | None = None, **options) -> DataFrame:
@@ -111,71 +127,111 @@ def predicted(rate: Column, age: Column, forward: Column | float = 1.0) -> Colum
 def codes(rows: DataFrame) -> DataFrame:
     """(stat, key, code): players of each statistic numbered from 0 by their least order, then key.
 
-    Within buckets of orders or of the first letters of keys, whose sizes are then added up.
+    Players are dealt to ranges of about one size by what they are sorted by, numbered there, and the sizes of the ranges
+    before are added; the dealt players are stored, so that ranges are the same for both.
     """
     first = rows.groupBy("stat", "key").agg(F.min("o").alias("o"))
-    bucket = F.when(F.col("o") < 0, F.substring("key", 1, PREFIX)).otherwise(F.lpad(F.floor(F.col("o") / ORDINALS).cast("string"), 20, "0"))
-    placed = first.withColumn("bucket", bucket)
-    sizes = placed.groupBy("stat", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("stat").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("stat", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("stat", "bucket").orderBy("o", "key")) - 1
-    return placed.withColumn("own", own).join(starts, ["stat", "bucket"]).select("stat", "key", (F.col("start") + F.col("own")).alias("code"))
+    placed = stored(first.repartitionByRange("stat", "o", "key").withColumn("range", F.spark_partition_id()), "players")
+    sizes = placed.groupBy("stat", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stat").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("stat", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("stat", "range").orderBy("o", "key")) - 1
+    return placed.withColumn("own", own).join(F.broadcast(starts), ["stat", "range"]).select("stat", "key", (F.col("start") + F.col("own")).alias("code"))  # starts: a row for each range
+
+
+def name_key(*parts: object, digits: int = 8) -> int:
+    """A whole number from the first hexadecimal digits of the MD5 of a name."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:digits], 16)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers, mixed one to one (shifts and odd multipliers), held in 64 bits."""
+    low = np.uint64(0xFFFFFFFF)
+    for multiplier, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(multiplier)) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def blocks_of(name: tuple, n: int, block: int) -> Iterator[tuple[int, int, int]]:
+    """(first player, players, picks) of each block of a draw of n from n players: picks are split binomially, by halves."""
+    todo = [(0, n, n)]
+    while todo:
+        low, high, picks = todo.pop()
+        if high - low <= block:
+            if picks:
+                yield low, high - low, picks
+            continue
+        mid = low + -(-(high - low) // block) // 2 * block
+        left = int(np.random.Generator(np.random.Philox(key=name_key(*name, low, high, digits=32))).binomial(picks, (mid - low) / (high - low)))
+        todo += [(low, mid, left), (mid, high, picks - left)]
 
 
-def multiplicities(spark: SparkSession, players: dict[str, int], draws: int, seed: int) -> DataFrame:
-    """(stat, draw, code, k): how often each draw of each statistic picks each player.
+def picked(name: tuple, low: int, size: int, picks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Players of a block and how often each was picked; the j-th pick is ``mixed(key ^ mixed(j))`` of 2^32, scaled to the block."""
+    u = mixed(np.uint64(name_key(*name, low)) ^ mixed(np.arange(picks, dtype=np.uint64)))
+    k = np.bincount(((u * np.uint64(size)) >> np.uint64(32)).astype(np.int64))
+    at = np.flatnonzero(k)
+    return low + at, k[at]
 
-    Made where they are used: a task repeats the generator up to its draws, as the draws are one sequence of numbers.
+
+def multiplicities(players: DataFrame, draws: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """(stat, draw, code, k): how often each draw of each statistic of ``players`` (stat, players) picks each player.
+
+    The same however dealt. A draw's blocks, which share no work, go to different tasks.
     """
-    sizes = sorted(set(players.values()))
+    roots = players.select("stat", F.col("players").cast("long").alias("players"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")) if draws else players.select("stat", F.col("players").cast("long").alias("players"), F.lit(0).alias("draw")).limit(0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = {int(d) for pdf in batches for d in pdf["id"]}
-        for n in sizes if own else ():
-            rng = np.random.default_rng(seed)
-            for d in range(max(own) + 1):
-                picked = rng.integers(0, n, size=n)
-                if d in own:
-                    code, k = np.unique(picked, return_counts=True)
-                    yield pd.DataFrame({"n": n, "draw": d, "code": code, "k": k.astype(float)})
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for stat, n, draw in zip(pdf["stat"], pdf["players"], pdf["draw"], strict=True):
+                rows = []
+                for found in blocks_of((seed, stat, draw), int(n), block):
+                    rows.append((stat, draw, *found))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["stat", "draw", "low", "size", "picks"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["stat", "draw", "low", "size", "picks"])
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for stat, draw, low, size, picks in zip(*(pdf[c] for c in ("stat", "draw", "low", "size", "picks")), strict=True):
+                code, k = picked((seed, stat, draw), int(low), int(size), int(picks))
+                yield pd.DataFrame({"stat": stat, "draw": draw, "code": code, "k": k.astype(float)})
 
-    drawn = spark.range(draws).mapInPandas(run, "n long, draw int, code long, k double")
-    stats = spark.createDataFrame([(stat, n) for stat, n in players.items()], "stat string, n long")
-    return drawn.join(F.broadcast(stats), "n").select("stat", "draw", "code", "k")  # a row for each statistic
+    dealt = roots.mapInPandas(split, "stat string, draw int, low long, size long, picks long").repartition("stat", "draw", "low")
+    return dealt.mapInPandas(pick, "stat string, draw int, code long, k double")
 
 
 def bootstrap(rows: DataFrame, draws: int = 500, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
     """(stat, draw, at, b0..b3, sd): refits on players drawn with replacement; ``at`` numbers a statistic's draws.
 
     Statistics with under 20 pairs are left out, and draws of 4 rows or less. ``drawn``: other multiplicities
-    (stat, draw, code, k) than those of ``multiplicities``.
+    (stat, draw, code, k) than those of ``multiplicities``. ``rows`` is read several times and should be cheap or stored.
     """
-    spark = rows.sparkSession
-    sizes = rows.groupBy("stat").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS).collect()
-    players = {r["stat"]: r["players"] for r in sizes}
+    enough = rows.groupBy("stat").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("players")).filter(F.col("n") >= MIN_PAIRS)
+    enough = stored(enough, "statistics")  # a row for each statistic
+    rows = rows.join(F.broadcast(enough.select("stat")), "stat", "left_semi")
     if drawn is None:
-        drawn = multiplicities(spark, players, draws, seed)
-    coded = rows.join(codes(rows.filter(F.col("stat").isin(*players))), ["stat", "key"])
-    found = coded.join(drawn, ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).collect()
-    out, at = [], {}
-    for r in sorted(found, key=lambda r: (r["stat"], r["draw"])):  # draws x statistics, whatever the input
-        if r["n"] > TERMS:
-            b, sd, _ = solved(r)
-            at[r["stat"]] = at.get(r["stat"], -1) + 1
-            out.append((r["stat"], r["draw"], at[r["stat"]], *map(float, b), sd))
-    return spark.createDataFrame(out, "stat string, draw int, at int, b0 double, b1 double, b2 double, b3 double, sd double")
+        drawn = multiplicities(enough, draws, seed)
+    coded = rows.join(codes(rows), ["stat", "key"])
+    found = coded.join(drawn, ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).filter(F.col("n") > TERMS)
+    at = F.row_number().over(Window.partitionBy("stat").orderBy("draw")) - 1  # of the draws
+    return solve(found).select("stat", "draw", at.alias("at"), *SOLVED[:TERMS], "sd")
+
+
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 from the first eight hexadecimal digits of the MD5 of a name."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
 def with_noise(drawn: DataFrame, seed: int = 0) -> DataFrame:
-    """Draws with predictive noise of their deviation, the same for every case (common random numbers)."""
-    rows = sorted(drawn.collect(), key=lambda r: (r["stat"], r["at"]))
-    out = []
-    for stat in sorted({r["stat"] for r in rows}):
-        own = [r for r in rows if r["stat"] == stat]
-        noise = np.random.default_rng(seed).normal(0.0, [r["sd"] for r in own])
-        out += [(*r, float(e)) for r, e in zip(own, noise, strict=True)]
-    return drawn.sparkSession.createDataFrame(out, "stat string, draw int, at int, b0 double, b1 double, b2 double, b3 double, sd double, noise double")
+    """Draws with predictive noise of their deviation, the same for every case and statistic (common random numbers).
+
+    Normal numbers from two uniform ones, which the seed and the number of the draw name.
+    """
+    size, angle = uniform(F.lit(seed), F.col("at"), F.lit("size")), uniform(F.lit(seed), F.col("at"), F.lit("angle"))
+    return drawn.withColumn("noise", F.col("sd") * F.sqrt(-2.0 * F.log(size)) * F.cos(2 * math.pi * angle))
 
 
 LEVELS = (0.10, 0.25, 0.50, 0.75, 0.90)

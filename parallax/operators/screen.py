@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.operators.orderstat import quantiles
 from parallax.operators.timeline import recent_before
 
 # The share of the historical cohort that a setting leaves under the bar.
@@ -52,7 +53,8 @@ def profile(home: DataFrame, posted: DataFrame, side: str, is_korean: Callable[[
 
 def bar(scores: DataFrame, strictness: str = "balanced", column: str = "score") -> DataFrame:
     """One row: the exact quantile of a setting (unknown ones are balanced); null without scores."""
-    return scores.agg(F.percentile(column, F.lit(STRICTNESS.get(strictness, STRICTNESS["balanced"]))).alias("threshold"))
+    found = quantiles(scores, column, [STRICTNESS.get(strictness, STRICTNESS["balanced"])])
+    return found.agg(F.max(F.get("q", F.lit(0))).alias("threshold"))
 
 
 def screened(candidates: DataFrame, threshold: DataFrame, column: str = "score") -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import expr, names
-from parallax.operators import evaluate, model, quality, rates, resolve, screen, timeline
+from parallax.operators import evaluate, model, orderstat, quality, rates, resolve, screen, timeline
 from parallax.session import workers_see_package
+from parallax.sources.stored import stored
 from parallax.sources.tables import page_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,7 +307,7 @@ def cohort(read: Read) -> DataFrame:
 
 @query(f"SELECT round(quantile_cont(score, 0.0), 6) AS permissive, round(quantile_cont(score, 0.25), 6) AS balanced, round(quantile_cont(score, 0.5), 6) AS strict FROM (SELECT round(score, 6) AS score FROM ({SCORES}))")
 def quantile_bar(read: Read) -> DataFrame:
-    out = weighted_score(read).agg(F.percentile("score", F.array(*[F.lit(q) for q in screen.STRICTNESS.values()])).alias("q"))
+    out = orderstat.quantiles(weighted_score(read), "score", [*screen.STRICTNESS.values()])
     return out.select(*[F.round(F.get("q", F.lit(i)), 6).alias(name) for i, name in enumerate(screen.STRICTNESS)])
 
 
@@ -465,23 +466,26 @@ DESIGN = f"""(SELECT stat, key, cohort, direction, age, u, v, 1.0 AS x0, ln(u) A
     FROM (SELECT *, 'k_pct' AS stat, k1 AS u, k2 AS v FROM {PAIRS} UNION ALL SELECT *, 'bb_pct' AS stat, b1 AS u, b2 AS v FROM {PAIRS}))"""
 
 
-def fit_sql(source: str, by: str = "stat") -> str:
-    """Weighted least squares with four terms, by making each term orthogonal to those before: (by, n, players, b0..b3, sd, r2).
+def fit_sql(source: str, by: str = "stat", terms: int = 4) -> str:
+    """Weighted least squares with up to four terms, by making each term orthogonal to those before: (by, n, players, b0.., sd, r2).
 
-    ``source`` has x0..x3, y, weights w, and k, how often a row counts.
+    ``source`` has x0.., y, weights w, and k, how often a row counts.
     """
     steps = [f"q0 AS (SELECT *, k * w AS kw, x0 AS z0, y AS e0 FROM {source})"]
-    for j in range(1, 4):
+    for j in range(1, terms):
         dots = ", ".join(f"sum(kw * x{j} * z{i}) / sum(kw * z{i} * z{i}) AS c{j}{i}" for i in range(j))
         left = " - ".join([f"x{j}", *(f"c{j}{i} * z{i}" for i in range(j))])
         steps.append(f"q{j} AS (SELECT q.*, {', '.join(f'c{j}{i}' for i in range(j))}, {left} AS z{j} FROM q{j - 1} q JOIN (SELECT {by}, {dots} FROM q{j - 1} GROUP BY {by}) USING ({by}))")
-    gs = ", ".join(f"sum(kw * y * z{i}) / sum(kw * z{i} * z{i}) AS g{i}" for i in range(4))
-    cs = ", ".join(f"any_value(c{j}{i}) AS c{j}{i}" for j in range(1, 4) for i in range(j))
-    steps.append(f"g AS (SELECT {by}, sum(k) AS n, count(DISTINCT key) AS players, {gs}, {cs} FROM q3 GROUP BY {by})")
-    steps.append(f"b AS (SELECT *, g0 - c10 * b1 - c20 * b2 - c30 * b3 AS b0 FROM (SELECT *, g1 - c21 * b2 - c31 * b3 AS b1 FROM (SELECT *, g2 - c32 * b3 AS b2 FROM (SELECT *, g3 AS b3 FROM g))))")
-    rest = "q.y - b0 - b1 * q.x1 - b2 * q.x2 - b3 * q.x3"
+    gs = ", ".join(f"sum(kw * y * z{i}) / sum(kw * z{i} * z{i}) AS g{i}" for i in range(terms))
+    cs = ", ".join(f"any_value(c{j}{i}) AS c{j}{i}" for j in range(1, terms) for i in range(j))
+    back = "g"
+    for i in reversed(range(terms)):
+        back = f"(SELECT *, {' - '.join([f'g{i}', *(f'c{j}{i} * b{j}' for j in range(i + 1, terms))])} AS b{i} FROM {back})"
+    steps.append(f"g AS (SELECT {by}, sum(k) AS n, count(DISTINCT key) AS players, {gs}, {cs} FROM q{terms - 1} GROUP BY {by})")
+    steps.append(f"b AS {back}")
+    rest = " - ".join(["q.y", "b0", *(f"b{i} * q.x{i}" for i in range(1, terms))])
     steps.append(f"r AS (SELECT {by}, sum(kw * ({rest}) ^ 2) AS rss, sum(kw * q.y * q.y) - sum(kw * q.y) ^ 2 / sum(kw) AS tss FROM q0 q JOIN b USING ({by}) GROUP BY {by})")
-    return f"(WITH {', '.join(steps)} SELECT {by}, n, players, b0, b1, b2, b3, sqrt(rss / greatest(n - 4, 1)) AS sd, 1 - rss / tss AS r2 FROM b JOIN r USING ({by}))"
+    return f"(WITH {', '.join(steps)} SELECT {by}, n, players, {', '.join(f'b{i}' for i in range(terms))}, sqrt(rss / greatest(n - 4, 1)) AS sd, 1 - rss / tss AS r2 FROM b JOIN r USING ({by}))"
 
 
 FITS = fit_sql(DESIGN)
@@ -564,6 +568,66 @@ def bootstrap_refits(read: Read) -> DataFrame:
     return rounded(model.bootstrap(rows, DRAWS, drawn=draws_by_congruence(rows)).drop("at"), 5, "b0", "b1", "b2", "b3", "sd")
 
 
+#: The operator's own draws: picks are hashed from the name of a block, of which so few players have one, and a counter.
+def mix_sql(x: str) -> str:
+    for multiplier, shift in ((2246822507, 16), (3266489909, 13)):
+        x = f"(xor({x}, {x} >> {shift}) * {multiplier}::UBIGINT % 4294967296::UBIGINT)"
+    return x
+
+
+HASHED = f"""(WITH j AS (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM customer)))::UBIGINT AS j), d AS (SELECT stat, players, draw, ('0x' || md5('0:' || stat || ':' || draw || ':0')[1:8])::UBIGINT AS key
+    FROM (SELECT stat, count(DISTINCT key)::UBIGINT AS players FROM {DESIGN} GROUP BY 1), (SELECT unnest(generate_series(0, {DRAWS - 1}))::INT AS draw)),
+m1 AS (SELECT j, {mix_sql('j')} AS x FROM j), m2 AS (SELECT j, xor(x, x >> 16) AS x FROM m1), m3 AS (SELECT stat, players, draw, xor(key, x) AS x FROM d JOIN m2 ON j < players), m4 AS (SELECT stat, players, draw, {mix_sql('x')} AS x FROM m3)
+SELECT stat, draw, ((xor(x, x >> 16) * players) >> 32)::BIGINT AS code, count(*)::DOUBLE AS k FROM m4 GROUP BY ALL)"""
+
+
+def uniform_sql(name: str) -> str:
+    return f"((('0x' || md5({name})[1:8])::BIGINT + 0.5) / 4294967296)"
+
+
+NOISE = f"sd * sqrt(-2 * ln({uniform_sql("'0:' || draw || ':size'")})) * cos(2 * pi() * {uniform_sql("'0:' || draw || ':angle'")})"
+
+
+@query(HASHED[1:-1])
+def resampled_counts(read: Read) -> DataFrame:
+    rows = model.design(crossings(read), STATS)
+    return model.multiplicities(rows.groupBy("stat").agg(F.countDistinct("key").alias("players")), DRAWS, 0)
+
+
+HASH_RESAMPLED = RESAMPLED.replace(DRAWN, HASHED)
+
+
+@query(f"""SELECT split_part(which, ':', 1) AS stat, split_part(which, ':', 2)::INT AS draw, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(b3, 5) AS b3, round(sd, 5) AS sd, round({NOISE}, 5) AS noise
+FROM (SELECT *, split_part(which, ':', 2) AS draw FROM {fit_sql(HASH_RESAMPLED, 'which')})""")
+def resampled_refits(read: Read) -> DataFrame:
+    drawn = model.with_noise(model.bootstrap(stored(model.design(crossings(read), STATS), "design"), DRAWS))
+    return rounded(drawn.drop("at"), 5, "b0", "b1", "b2", "b3", "sd", "noise")
+
+
+FORWARD = f"(SELECT * FROM {DESIGN} WHERE direction = 'kbo_to_mlb')"
+
+
+@query(f"SELECT stat, round(b1, 5) AS retention_slope, round(b0 / 2, 5) AS intercept, round(exp(b0 / 2), 5) AS level_ratio, round(b2, 5) AS age_coef, round(b0 / 2, 5) AS direction_coef, n::BIGINT AS n_pairs, players AS n_players, round(sd, 5) AS residual_sd, round(r2, 5) AS r_squared FROM {fit_sql(FORWARD, terms=3)}")
+def deficient_fit(read: Read) -> DataFrame:
+    """One direction alone: its term is the constant again, and the shortest solution splits the intercept in two."""
+    fits = model.fit(model.design(crossings(read).filter("direction = 'kbo_to_mlb'"), STATS))
+    return rounded(fits, 5, *[c for c, kind in fits.dtypes if kind == "double"])
+
+
+#: The held-out cohort through draws of the others, by the operator's own generator and noise.
+TRAIN = f"(SELECT * FROM {DESIGN} WHERE cohort <> 'posted_from_kbo')"
+TRAINED_DRAWS = fit_sql(HASH_RESAMPLED.replace(DESIGN, TRAIN), "which")
+
+
+@query(f"""WITH n AS (SELECT stat, draw, b0, b1, b2, b3, {NOISE} AS noise FROM (SELECT *, split_part(which, ':', 1) AS stat, split_part(which, ':', 2) AS draw FROM {TRAINED_DRAWS})),
+c AS (SELECT key, stat, age, u, v FROM {DESIGN} WHERE cohort = 'posted_from_kbo' AND direction = 'kbo_to_mlb'),
+i AS (SELECT key, stat, any_value(v) AS v, quantile_cont(exp(b0 + b1 * ln(u) + b2 * (age - 27) / 10 + b3 + noise), 0.1) AS p10, quantile_cont(exp(b0 + b1 * ln(u) + b2 * (age - 27) / 10 + b3 + noise), 0.9) AS p90 FROM c JOIN n USING (stat) GROUP BY 1, 2)
+SELECT key AS player_register_id, stat, round_even(p10, 3) AS p10, round_even(p90, 3) AS p90, v BETWEEN p10 AND p90 AS in_interval FROM i""")
+def holdout_intervals(read: Read) -> DataFrame:
+    cases = evaluate.holdout(crossings(read), "batting", stats=STATS, draws=DRAWS)
+    return cases.select("player_register_id", "stat", "p10", "p90", "in_interval")
+
+
 # Rules and labels
 
 
@@ -742,5 +806,5 @@ def grouped_summary(read: Read) -> DataFrame:
 
 @query("SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def multi_percentile(read: Read) -> DataFrame:
-    out = read("lineitem").groupBy("l_suppkey").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, model.LEVELS))).alias("q"))
+    out = orderstat.quantiles(read("lineitem"), "l_extendedprice", model.LEVELS, ["l_suppkey"])
     return out.select("l_suppkey", *[F.round(F.get("q", F.lit(i)), 4).alias(f"p{round(q * 100)}") for i, q in enumerate(model.LEVELS)])

@@ -60,9 +60,10 @@ def test_bootstrap_equals_refits_on_resampled_rows(spark):
     x, y, w = np.array([[r[c] for c in model.X] for r in own]), np.array([r["y"] for r in own]), np.array([r["w"] for r in own])
     first = {k: i for i, k in enumerate(dict.fromkeys(r["key"] for r in own))}
     codes = np.array([first[r["key"]] for r in own])
-    rng = np.random.default_rng(0)
-    for got in model.bootstrap(rows, 5).orderBy("at").collect():
-        at = np.concatenate([np.flatnonzero(codes == p) for p in rng.integers(0, len(first), size=len(first))])
+    n = len(first)
+    for got in model.bootstrap(rows, 5, seed=4).orderBy("at").collect():
+        players, k = model.picked((4, "k_pct", got["draw"]), 0, n, n)
+        at = np.concatenate([np.flatnonzero(codes == p) for p in np.repeat(players, k)])
         root = np.sqrt(w[at])
         beta = np.linalg.lstsq(x[at] * root[:, None], y[at] * root, rcond=None)[0]
         e = y[at] - x[at] @ beta
@@ -80,15 +81,46 @@ def test_players_are_numbered_by_key_in_every_partitioning(spark):
     assert {r["key"]: r["code"] for r in model.codes(ordered).collect()} == {k: i for i, k in enumerate(reversed(keys))}
 
 
-def test_multiplicities_are_one_sequence_however_dealt(spark):
-    got = {(r["stat"], r["draw"], r["code"]): r["k"] for r in model.multiplicities(spark, {"a": 7, "b": 30, "c": 7}, 9, 3).collect()}
-    wanted = {}
-    for stat, n in (("a", 7), ("b", 30), ("c", 7)):
-        rng = np.random.default_rng(3)
-        for d in range(9):
-            code, k = np.unique(rng.integers(0, n, size=n), return_counts=True)
-            wanted |= {(stat, d, int(c)): float(x) for c, x in zip(code, k, strict=True)}
-    assert got == wanted
+def test_multiplicities_are_the_same_however_dealt(spark):
+    sizes = [("a", 7), ("b", 3000), ("c", 64), ("d", 65), ("e", 1)]
+    players = spark.createDataFrame(sizes, "stat string, players long")
+    got = [sorted(map(tuple, model.multiplicities(df, 9, 3, block=64).collect())) for df in (players.coalesce(1), players.repartition(4))]
+    assert got[0] == got[1] and len({r[:3] for r in got[0]}) == len(got[0])
+    total = {}
+    for stat, draw, code, k in got[0]:
+        assert 0 <= code < dict(sizes)[stat] and k >= 1
+        total[stat, draw] = total.get((stat, draw), 0) + k
+    assert total == {(s, d): n for s, n in sizes for d in range(9)}
+    assert sorted(map(tuple, model.multiplicities(players, 9, 3).filter("draw = 8 AND stat = 'a'").collect())) == [r for r in got[0] if r[:2] == ("a", 8)]
+    assert model.multiplicities(players, 0, 3).count() == 0 == model.multiplicities(players.limit(0), 5, 3).count()
+
+
+def test_splits_and_picks_are_multinomial():
+    blocks, players = np.zeros((400, 5)), np.zeros((400, 300))
+    for d in range(400):
+        for low, size, picks in model.blocks_of((1, "s", d), 300, 64):
+            blocks[d, low // 64] = picks
+            code, k = model.picked((1, "s", d), low, size, picks)
+            players[d, code] += k
+    assert (blocks.sum(1) == 300).all() and (players.sum(1) == 300).all()
+    assert blocks.mean(0) == pytest.approx([64, 64, 64, 64, 44], abs=1.5) and blocks.var(0) == pytest.approx([300 * p * (1 - p) for p in (64 / 300,) * 4 + (44 / 300,)], rel=0.35)
+    assert players.mean() == 1 and players.var() == pytest.approx(1 - 1 / 300, rel=0.03) and (players == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+    assert abs(np.corrcoef(players[:, 0], players[:, 1])[0, 1]) < 0.15
+
+
+def test_noise_is_normal_and_shared_by_statistics(spark):
+    drawn = spark.range(6000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("stat"), F.col("id").cast("int").alias("at"), F.lit(2.0).alias("sd"))
+    rows = model.with_noise(drawn, 5).collect()
+    z = np.array([r["noise"] for r in rows if r["stat"] == "a"]) / 2
+    assert {(r["at"], r["noise"]) for r in rows if r["stat"] == "a"} == {(r["at"], r["noise"]) for r in rows if r["stat"] == "b"}
+    assert abs(z.mean()) < 0.05 and z.std() == pytest.approx(1, abs=0.03) and (np.abs(z) < 1.96).mean() == pytest.approx(0.95, abs=0.01)
+
+
+def test_solves_of_empty_and_constant_sums(spark):
+    rows = model.design(pairs(spark, n=30).withColumn("mlb_rel_k_pct", F.lit(1.5)), ["k_pct"])
+    r = model.fit(rows).first()
+    assert r["r_squared"] is None and r["residual_sd"] == pytest.approx(0.0, abs=1e-6)
+    assert model.solve(model.fit_sums(rows.limit(0))).count() == 0 == model.bootstrap(rows.limit(0), 3).count()
 
 
 def test_intervals(spark):
@@ -99,7 +131,7 @@ def test_intervals(spark):
         r = model.intervals(case, drawn, "case").first()
         rows = sorted(drawn.collect(), key=lambda r: r["at"])
         centre = np.array([r["b0"] + r["b1"] * np.log(1.2) + r["b3"] for r in rows])
-        sample = np.exp(centre + np.random.default_rng(0).normal(0.0, [r["sd"] for r in rows]))
+        sample = np.exp(centre + [r["noise"] for r in rows])
         assert [r["p10"], r["p50"], r["p90"]] == pytest.approx(np.percentile(sample, [10, 50, 90]).tolist()) and r["point"] == pytest.approx(np.exp(centre.mean()))
         wide.append(r["p90"] / r["p10"])
     assert wide[1] > wide[0]
