@@ -29,15 +29,22 @@ def build_pairs(home: DataFrame, away: DataFrame, key: str = "player_register_id
     """One row for each crossing between two season tables, with either side's relative rates.
 
     Only rel_* columns of both tables come along; names are the first league's, else the other's. Of several rows of a
-    season the last by ``order`` counts (``tables.with_ordinal``), or by a hash of the row in a table without that column.
+    season the last by ``order`` counts (``tables.ordinal``), or by a hash of the row in a table without that column.
     """
     a, b = leagues
     rel = [c for c in home.columns if c.startswith("rel_") and c in away.columns]
     extra = [c for c in ("player", "name", *SIDE_COLUMNS) if c in home.columns or c in away.columns]
 
+    kinds = {df.schema[order].dataType.simpleString() for df in (home, away) if order in df.columns}
+    kind = kinds.pop() if len(kinds) == 1 else None  # places of both tables are of one type
+
+    def placed(df: DataFrame) -> Column:
+        by_hash = F.xxhash64(*[c for c in df.columns if c != order])
+        return F.struct((F.col(order) if kind and order in df.columns else F.lit(None).cast(kind or "long")).alias("place"), by_hash.alias("hash"))
+
     def slim(df: DataFrame, league: str) -> DataFrame:
         cols = [(F.col(c) if c in df.columns else F.lit(None).cast("string" if c in ("player", "name") else "double")).alias(c) for c in [*rel, *extra]]
-        return df.select(key, F.col("season").cast("int").alias("season"), F.lit(league).alias("league"), *cols, (F.col(order).cast("long") if order in df.columns else F.xxhash64(*df.columns)).alias("_o"))
+        return df.select(key, F.col("season").cast("int").alias("season"), F.lit(league).alias("league"), *cols, placed(df).alias("_o"))
 
     timeline = slim(home, a).unionByName(slim(away, b))
     found = switches(timeline, key, "season", "league", F.col("_o"), None, max_gap)

@@ -37,8 +37,8 @@ class Store:
     spark: SparkSession
     folder: str
 
-    def read(self, name: str, schema: str, required: bool = False) -> DataFrame:
-        return tables.read_csv(self.spark, f"{self.folder}/{name}.csv", schema, required)
+    def read(self, name: str, schema: str, required: bool = False, place: str | None = None) -> DataFrame:
+        return tables.read_csv(self.spark, f"{self.folder}/{name}.csv", schema, required, place)
 
     def write(self, df: DataFrame, name: str) -> None:
         tables.write_csv(df, f"{self.folder}/{name}.csv")
@@ -85,7 +85,7 @@ def fetch_away(store: Store, docs: dict[str, DataFrame], league_docs: dict[str,
 
 def link(store: Store, register: DataFrame) -> resolve.Crosswalk:
     """The crosswalk of the roster's players (their first record with a birth date) and the register's."""
-    roster = tables.with_ordinal(store.read("kbo_roster", ROSTER, True).filter("player_register_id IS NOT NULL"))
+    roster = store.read("kbo_roster", ROSTER, True, "ordinal").filter("player_register_id IS NOT NULL")
     home = resolve.best_record(roster, "player_register_id", [F.asc_nulls_last("date_of_birth"), F.asc("ordinal")])
     known = records.people(register)
     found = resolve.crosswalk(home, records.played(known), known)
@@ -115,11 +115,11 @@ def relative(store: Store, side: str, min_playing_time: float | None = None, sou
     """Home and linked away seasons relative to their leagues. Away tables link by whichever key they have."""
     least = MIN_PLAYING_TIME[side] if min_playing_time is None else min_playing_time
     links = store.read("crosswalk", LINKS, True)
-    away = tables.with_ordinal(store.read(f"mlb_{side}{source}", AWAY, True))
+    away = store.read(f"mlb_{side}{source}", AWAY, True, "ordinal")
     by = [away.filter(F.col(k).isNotNull()).join(id_map(links, k), k) for k in ("key_mlbam", "key_bbref")]
     away = by[0].unionByName(by[1].filter("key_mlbam IS NULL"))
     out = []
-    for league, rows in (("kbo", tables.with_ordinal(store.read(f"kbo_{side}", HOME, True))), ("mlb", away)):
+    for league, rows in (("kbo", store.read(f"kbo_{side}", HOME, True, "ordinal")), ("mlb", away)):
         totals = store.read(f"{league}_league_totals{source if league == 'mlb' else ''}", TOTALS, True)
         out.append(rates.relative_rates(rows, rates.league_rates(totals, side), side, least))
     return out[0], out[1]

@@ -6,6 +6,7 @@ grows with the tables. ``QUERIES`` and ``ORACLES`` are those of ``parallax.plans
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from parallax.functions.expr import number
 from parallax.operators import evaluate, model, quality, rates, timeline
 from parallax.plans import queries as base
 from parallax.plans.queries import DRAWS, FITS, RATE_SQL, RESAMPLED, SEASONS, SIDES, SPANS, STATS, SUMMED, TIERED, Read, check, cohorts, crossings, fit_sql, linked, long, loose_sql, n_rows, query, rounded, season_rows
-from parallax.sources import html, records, urls
+from parallax.sources import html, pagecache, records, tables, urls
+from parallax.sources.stored import new_path
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 
@@ -228,6 +230,78 @@ def addresses(read: Read) -> DataFrame:
     return read("customer").select("c_custkey", SITE.season(F.concat(F.lit("s"), id)).alias("season"), team.alias("team"), SITE.player(F.concat(F.lower(F.substring("c_mktsegment", 1, 1)), id)).alias("player"), SITE.player_stats(F.col("c_custkey"), "batting").alias("stats"), urls.page_key(team).alias("page"))
 
 
+# Files: shards, records that are set apart, order, cached pages
+
+
+BAD = "c_custkey % 50 = 7"
+
+
+def sharded(read: Read) -> list[str]:
+    """Folders of CSV files with the customers, of three headers; every fiftieth record lacks a cell or has one too many."""
+    key, name, money = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_acctbal").cast("string")
+    headers = (("id", "name", "balance"), ("balance", "id", "other", "name"), ("id", "name"))
+    cells = ((key, name, money), (money, key, F.lit("x"), name), (key, name))
+    folder, paths = new_path(read("customer").sparkSession, "shards"), []
+    for i, (header, own) in enumerate(zip(headers, cells, strict=True)):
+        line = F.when(F.expr(BAD) & (F.col("c_custkey") % 100 == 7), F.concat_ws(",", *own, F.lit("more"))).when(F.expr(BAD), F.concat_ws(",", *own[:-1])).otherwise(F.concat_ws(",", *own))
+        lines = read("customer").filter(F.col("c_custkey") % 3 == i).select(line.alias("value"))
+        text = lines.mapInArrow(with_header(",".join(header)), "value string")  # a file for each task, as other tools write them
+        text.write.text(f"{folder}/{i}")
+        paths.append(f"{folder}/{i}")
+    return paths
+
+
+def with_header(header: str):
+    def run(batches):
+        for at, batch in enumerate(batches):
+            yield batch if at else pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([header]), batch.column(0)])], schema=batch.schema)
+
+    return run
+
+
+SHARD = "id long, name string, balance double, missing int"
+
+
+@query(f"SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 <> 2 THEN round(c_acctbal, 2) END AS balance, c_custkey % 3 AS shard FROM customer WHERE NOT {BAD}")
+def sharded_rows(read: Read) -> DataFrame:
+    rows, _ = tables.read_csv_apart(read("customer").sparkSession, sharded(read), SHARD)
+    return rows.select("id", "name", F.round("balance", 2).alias("balance"), (F.col("id") % 3).alias("shard"))
+
+
+@query(f"SELECT c_custkey % 3 AS shard, CASE WHEN c_custkey % 100 = 7 THEN 'more' ELSE 'fewer' END AS kind, (c_custkey % 3 = 0)::INT * 3 + (c_custkey % 3 = 1)::INT * 4 + (c_custkey % 3 = 2)::INT * 2 AS n_cells, count(*) AS n FROM customer WHERE {BAD} GROUP BY ALL")
+def rejected_records(read: Read) -> DataFrame:
+    _, bad = tables.read_csv_apart(read("customer").sparkSession, sharded(read), SHARD)
+    shard = F.when(F.col("n_cells") == 3, 0).when(F.col("n_cells") == 4, 1).otherwise(2).cast("long")
+    return bad.groupBy(shard.alias("shard"), F.when(F.endswith("record", F.lit(",more")), "more").otherwise("fewer").alias("kind"), "n_cells").agg(n_rows().alias("n"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def last_in_file(read: Read) -> DataFrame:
+    """The last row in the file of each user and type: events lie in it by their number."""
+    events = tables.with_ordinal(read("events")).withColumn("k", F.struct("user_id", "event_type"))
+    return timeline.latest(events, "k", F.desc("ordinal")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT 'http://x.test/customer/' || c_custkey AS url, '<p>' || c_name || '</p>' AS html, '' AS error FROM customer WHERE c_custkey BETWEEN 1 AND 40 UNION ALL SELECT 'http://x.test/customer/none', '', 'not in the cache, and offline'")
+def cached_pages(read: Read) -> DataFrame:
+    """Every customer's page is cached, and only those that the filter names are opened."""
+    spark = read("customer").sparkSession
+    address = F.concat(F.lit("http://x.test/customer/"), F.col("c_custkey").cast("string"))
+    folder = new_path(spark, "pages")
+    pagecache.write_cache(read("customer").select(address.alias("url"), F.concat(F.lit("<p>"), "c_name", F.lit("</p>")).alias("html")), folder)
+    wanted = [f"http://x.test/customer/{i}" for i in (*range(1, 41), "none")]
+    return pagecache.read_cache(spark, folder).filter(F.col("url").isin(*wanted)).select("url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("html", "error")])
+
+
+@query("SELECT DISTINCT l_orderkey AS o, CASE l_orderkey % 11 WHEN 3 THEN 'no json' WHEN 5 THEN 'no document' ELSE 'no splits' END AS error FROM lineitem WHERE l_orderkey % 11 IN (3, 5, 7)")
+def json_failures(read: Read) -> DataFrame:
+    """Bodies that are cut off, null or empty."""
+    made = documents(read, batting_stat)
+    k = F.col("o") % 11
+    body = F.when(k == 3, F.expr("substring(body, 1, length(body) - 5)")).when(k == 7, F.lit('{"stats": []}')).when(k != 5, F.col("body"))
+    return records.json_failures(made.select("o", body.alias("body")))
+
+
 # Registers and names
 
 

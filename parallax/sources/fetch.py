@@ -1,4 +1,4 @@
-"""Driver-side fetching: rate limit, page cache, retries. Spark reads the cache, not the network."""
+"""Fetching of pages: rate limit, cached files, retries; ``pagecache`` does so from tasks."""
 
 from __future__ import annotations
 
@@ -14,7 +14,12 @@ class FetchError(RuntimeError):
 
     def __init__(self, url: str, reason: str, status: int | None = None):
         super().__init__(f"{url}: {reason}")
-        self.url, self.status = url, status
+        self.url, self.reason, self.status = url, reason, status
+
+
+def page_name(url: str) -> str:
+    """The file name of a page: 20 hexadecimal digits of its address."""
+    return f"{hashlib.sha256(url.encode()).hexdigest()[:20]}.html"
 
 
 class RateLimiter:
@@ -37,7 +42,7 @@ class RateLimiter:
 
 
 class PageCache:
-    """Pages in files named by their address; ``get`` downloads what is absent, unless offline.
+    """Pages in files named by their address, in folders by its first two digits; ``get`` downloads what is absent, unless offline.
 
     ``download(url)`` returns (status, text). 429 waits 60 s times the attempt, 5xx 2 to the attempt; any other 4xx fails.
     """
@@ -46,7 +51,8 @@ class PageCache:
         self.folder, self.download, self.limiter, self.retries, self.sleep = Path(folder), download, limiter or RateLimiter(), retries, sleep
 
     def file(self, url: str) -> Path:
-        return self.folder / f"{hashlib.sha256(url.encode()).hexdigest()[:20]}.html"
+        name = page_name(url)
+        return self.folder / name[:2] / name
 
     def get(self, url: str, force: bool = False) -> str:
         file = self.file(url)
@@ -59,7 +65,7 @@ class PageCache:
             self.limiter.wait()
             status, text = self.download(url)
             if status < 400:
-                self.folder.mkdir(parents=True, exist_ok=True)
+                file.parent.mkdir(parents=True, exist_ok=True)
                 file.write_text(text, encoding="utf-8")
                 return text
             if status != 429 and status < 500:

@@ -1,4 +1,4 @@
-"""HTML tables to rows: a parser on the standard library, as a table function.
+"""HTML tables to rows: a parser on the standard library, as a table function that is joined to pages.
 
 Cells are keyed by their ``data-stat``. Tables inside comments count like live ones; of several with
 one id the first counts. Body and foot rows are read, repeated headers inside the body are not.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +23,9 @@ IDENTITY = (*LABEL_COLUMNS, "year_ID", "year_id")
 class _Tables(HTMLParser):
     """Collects tables as lists of rows; a row is a dict of cell texts with the links' targets."""
 
-    def __init__(self):
+    def __init__(self, wanted: str | None = None):
         super().__init__(convert_charrefs=True)
+        self.wanted = wanted
         self.tables: list[tuple[str | None, list[dict]]] = []
         self.comments: list[str] = []
         self.open: list[tuple[str | None, list[dict]]] = []
@@ -48,6 +48,8 @@ class _Tables(HTMLParser):
             self.section = tag
         elif tag == "tr":
             self.close_row()
+            if self.wanted is not None and self.open[-1][0] != self.wanted:
+                return
             self.row = {"skip": self.section == "thead" or "thead" in a.get("class", "").split()}
         elif tag in ("td", "th") and self.row is not None:
             self.close_cell()
@@ -87,14 +89,15 @@ class _Tables(HTMLParser):
             self.section = "tbody"
 
 
-def tables_of(html: str) -> list[tuple[str | None, list[dict]]]:
-    """(id, rows) of a page's tables: live ones first, then those in comments, one for each id."""
-    parser = _Tables()
+def tables_of(html: str, wanted: str | None = None) -> list[tuple[str | None, list[dict]]]:
+    """(id, rows) of a page's tables: live ones first, then those in comments, one for each id. Of a page with a ``wanted`` id
+    the other tables' rows are not built."""
+    parser = _Tables(wanted)
     parser.feed(html or "")
     parser.close()
     found, at = list(parser.tables), 0
     while at < len(parser.comments):
-        inner = _Tables()
+        inner = _Tables(wanted)
         inner.feed(parser.comments[at])
         inner.close()
         found += inner.tables
@@ -104,23 +107,42 @@ def tables_of(html: str) -> list[tuple[str | None, list[dict]]]:
     return [t for t in found if t[0] is None or not (t[0] in seen or seen.add(t[0]))]
 
 
-PARSED = "array<struct<id:string,at:int,cells:map<string,string>>>"
+class PageRows:
+    """The rows of a page's tables, one by one; a page that cannot be read gives a row with an error alone."""
 
+    def eval(self, html: str, wanted: str):
+        if html is None:
+            yield None, None, None, "no page"
+            return
+        try:
+            found = tables_of(html, wanted)
+        except (ValueError, AssertionError, RecursionError) as e:
+            yield None, None, None, f"{type(e).__name__}: {e}"
+            return
+        for at, (table_id, rows) in enumerate(found):
+            if wanted is None or table_id == wanted:
+                for cells in rows:
+                    yield table_id, at, cells, None
+
+
+ROW = "table_id string, table_at int, cells map<string,string>, error string"
 
-def parsed(html: Column | str) -> Column:
-    """All rows of all tables of each page, by an Arrow UDF."""
-    return F.pandas_udf(_parsed, PARSED)(html)
 
+def page_rows(pages: DataFrame, table_id: str | None = None, html: str = "html") -> DataFrame:
+    """``pages`` joined with the rows of their tables, or of the one with an id: table_id, table_at, cells (texts by name), error.
 
-def _parsed(html: pd.Series) -> pd.Series:
-    return pd.Series([[{"id": i, "at": k, "cells": row} for k, (i, rows) in enumerate(tables_of(h)) for row in rows] for h in html], dtype=object)
+    A lateral join with a table function: a page's rows are streamed, never an array. Columns of these names are replaced.
+    """
+    rows = F.udtf(PageRows, returnType=ROW)
+    page = F.col(f"_page.{html}")
+    kept = [c for c in pages.columns if c.lower() not in ("table_id", "table_at", "cells", "error", html.lower())]
+    nested = pages.select(F.struct(*[F.col(f"`{c}`") for c in [*kept, html]]).alias("_page"))
+    return nested.lateralJoin(rows(page.outer(), F.lit(table_id).cast("string"))).select(*[F.col("_page")[c].alias(c) for c in kept], "table_id", "table_at", "cells", "error")
 
 
 def rows(pages: DataFrame, table_id: str | None = None, html: str = "html") -> DataFrame:
     """A row for each table row of ``pages``, with table_id, table_at and cells (map of texts)."""
-    out = pages.withColumn("_r", F.explode(parsed(F.col(html)))).withColumns({"table_id": F.col("_r.id"), "table_at": F.col("_r.at"), "cells": F.col("_r.cells")})
-    out = out.drop("_r", html)
-    return out if table_id is None else out.filter(F.col("table_id") == table_id)
+    return page_rows(pages, table_id, html).filter("error IS NULL").drop("error")
 
 
 def cell(name: str) -> Column:

@@ -137,9 +137,10 @@ def page_seasons(pages: DataFrame, side: str, key: str = "page") -> DataFrame:
 
 
 def failed_pages(pages: DataFrame, seasons: DataFrame, key: str = "page") -> DataFrame:
-    """Pages that gave no season, with the reason."""
-    missing = pages.select(key, "html").join(seasons.select(key).distinct(), key, "left_anti")
-    return missing.select(key, F.when(F.col("html").isNull(), "no page").otherwise("no season table").alias("error"))
+    """Pages that gave no season, with the reason: what the table function says, else that there is no season table."""
+    missing = pages.join(seasons.select(key).distinct(), key, "left_anti")
+    errors = html.page_rows(missing.select(key, "html"), "").select(key, "error")
+    return missing.select(key).join(errors, key, "left").select(key, F.coalesce("error", F.lit("no season table")).alias("error"))
 
 
 def page_league_totals(pages: DataFrame, side: str, key: str = "season") -> DataFrame:
@@ -169,6 +170,15 @@ def json_splits(docs: DataFrame, side: str, body: str = "body") -> DataFrame:
     return splits.filter(real).select(*[c for c in docs.columns if c != body], s["season"].try_cast("int").alias("season"), *[v.alias(c) for c, v in fields.items()], s["team"]["name"].alias("team"))
 
 
+def json_failures(docs: DataFrame, body: str = "body") -> DataFrame:
+    """Documents that give no splits, with the reason: no document, no JSON, or nothing in it."""
+    bad = "_malformed"
+    parsed = docs.withColumn("_j", F.from_json(body, f"{SPLITS}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    n = F.coalesce(F.aggregate("_j.stats", F.lit(0), lambda n, s: n + F.coalesce(F.size(s["splits"]), F.lit(0))), F.lit(0))
+    reason = F.when(F.col(body).isNull(), "no document").when(F.col(f"_j.{bad}").isNotNull(), "no json").when(n == 0, "no splits")
+    return parsed.select(*[c for c in docs.columns if c != body], reason.alias("error")).filter("error IS NOT NULL")
+
+
 def summed(rows: DataFrame, by: list[str], largest: tuple[str, ...] = ("age",)) -> DataFrame:
     """Sums of counts by key, the largest age, innings by way of outs."""
     counts = [f.name for f in rows.schema if f.name not in (*by, *largest) and not isinstance(f.dataType, StringType)]
