@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: Queries that put a result of one row beside all rows.
 ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed", "link_checks", "fit_summary", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals"}
 #: Queries that parse pages, make keys of names, solve fits or draw players.
-PYTHON = {"wls_fit", "predict", "fit_summary", "holdout_scorecard", "bootstrap_refits", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals", "strict_key", "loose_key", "surname_keys", "nationalities", "team_pages", "typed_players", "page_player_ids", "crawl_players", "crawl_roster", "crawl_totals", "player_pages", "page_failures", "page_totals"}
+PYTHON = {"wls_fit", "predict", "fit_summary", "holdout_scorecard", "bootstrap_refits", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals", "cached_pages", "strict_key", "loose_key", "surname_keys", "nationalities", "team_pages", "typed_players", "page_player_ids", "crawl_players", "crawl_roster", "crawl_totals", "player_pages", "page_failures", "page_totals"}
 
 
 def plan(df):
@@ -45,5 +45,5 @@ def test_fits_sum_with_partial_aggregation(spark):
 
 
 def test_only_names_and_pages_run_python(spark):
-    for name, query in QUERIES.items():
-        assert ("Python" in plan(query(spark, FOLDER))) == (name in PYTHON), name
+    found = {name for name, query in QUERIES.items() if any(node in plan(query(spark, FOLDER)) for node in ("Python", "MapInPandas", "MapInArrow", "page_cache"))}
+    assert found == PYTHON
