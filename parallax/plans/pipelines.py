@@ -222,7 +222,7 @@ class Bundle:
 
     def find(self, query: str) -> DataFrame:
         """Rows of players whose name sounds like the query."""
-        return self.home.filter(names.keys("player")["loose"] == F.lit(names.loose_key(query))).orderBy("season")
+        return self.home.filter(names.keys("player")["loose"] == names.keys(F.lit(query))["loose"]).orderBy("season")
 
     def project(self, players: DataFrame | list[str]) -> DataFrame:
         """Projections with trust, labels and eligibility, in display order."""
@@ -249,8 +249,7 @@ def projections(store: Store, side: str, season: int, players: list[str] | None
     """Projections of the named players active in a season, or of those with the most playing time; written too."""
     bundle = load(store, side, season, min_playing_time, direction, draws, source)
     if players:
-        wanted = [k for k in map(names.loose_key, players) if k]
-        chosen = bundle.home.filter(F.col("season") == season).filter(names.keys("player")["loose"].isin(wanted))
+            chosen = bundle.home.filter(F.col("season") == season).filter(names.keys("player")["loose"].isin(*[names.keys(F.lit(p))["loose"] for p in players]))
     else:
         chosen = bundle.top(top)
     named = chosen.groupBy("player_register_id").agg(F.max("player").alias("player"))

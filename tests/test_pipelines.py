@@ -115,7 +115,7 @@ def test_scrape_of_cached_pages(spark, tmp_path):
         cache.get(url)
     out = pipelines.Store(spark, str(tmp_path))
     pipelines.scrape_cached(out, f"{tmp_path}/cache", 2020, 2026)
-    assert out.read("kbo_batting", pipelines.HOME).count() == 2 and out.read("kbo_league_totals", pipelines.TOTALS).first()["PA"] == 57263
+    assert out.read("kbo_batting", pipelines.HOME).count() == 2 and out.read("kbo_league_totals", pipelines.TOTALS).first()["PA"] == 48112
 
 
 def test_refuses_thin_league_totals(spark, store, tmp_path):
