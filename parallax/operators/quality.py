@@ -1,11 +1,15 @@
-"""Data-quality checks: each is one aggregation that gives a row of one common schema.
+"""Data-quality checks: each gives a row of one common schema, (name, passed, severity, n_bad, message).
 
-(name, passed, severity, n_bad, message); ``audit`` unites them. No check raises: what cannot be
-checked, for want of a column, is a failed row that says so.
+No check raises: what cannot be checked, for want of a column, is a failed row that says so. A check of rows is a set of
+counters and how to judge them; ``audit`` counts all checks of one table in one pass over it. Where one of
+them asks for unique keys, the pass groups by these keys, which that check needs anyway, and sums up the other counters
+of the groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +30,53 @@ def result(spark: SparkSession, name: str, passed: bool, severity: str, message:
     return spark.createDataFrame([(name, passed, severity, n_bad, message)], RESULT)
 
 
+@dataclass
+class Counters:
+    """What a check counts in a table: rows that fulfil conditions and, with ``keys``, rows that share these with another row.
+
+    ``judge`` makes an array of results of the counts, of which that of shared keys is the last.
+    """
+
+    table: DataFrame
+    conditions: list[Column]
+    judge: Callable[[list[Column]], Column]
+    keys: tuple[str, ...] = ()
+
+    def frame(self) -> DataFrame:
+        """The results of this check alone; ``audit`` finds the counters again."""
+        out = one_pass([self])
+        out._counters = self
+        return out
+
+
+def one_pass(checks: list[Counters]) -> DataFrame:
+    """Results of checks of one table, of which the keyed ones have the same keys."""
+    keys = next((c.keys for c in checks if c.keys), ())
+    conditions = [x for c in checks for x in c.conditions]
+    counts = [F.count_if(F.coalesce(x, F.lit(False))).alias(f"_{i}") for i, x in enumerate(conditions)]
+    if keys:
+        groups = checks[0].table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *counts)
+        counts = [F.coalesce(F.sum(f"_{i}"), F.lit(0)).cast("long").alias(f"_{i}") for i in range(len(conditions))]
+        sums = groups.agg(*counts, F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("_shared"))
+    else:
+        sums = checks[0].table.agg(*counts)
+    at, judged = 0, []
+    for c in checks:
+        own = [F.col(f"_{i}") for i in range(at, at + len(c.conditions))]
+        judged.append(c.judge([*own, *([F.col("_shared")] if c.keys else [])]))
+        at += len(c.conditions)
+    return sums.select(F.explode(F.concat(*judged)).alias("c")).select("c.*")
+
+
+def outcome(name: str, passed: Column, severity: str, n_bad: Column, message: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), passed.alias("passed"), F.lit(severity).alias("severity"), n_bad.cast("long").alias("n_bad"), message.alias("message"))
+
+
+def counted_as(name: str, n: Column, good: str, what: str, severity: str = ERROR) -> Column:
+    """The result of a count that should be nothing."""
+    return outcome(name, n == 0, severity, n, F.when(n == 0, good).otherwise(F.concat_ws(" ", n.cast("string"), F.lit(what))))
+
+
 def counted(df: DataFrame, name: str, bad: Column, good: str, what: str, severity: str = ERROR) -> DataFrame:
     """A check that no row is bad; nulls are not."""
     return several(df, [(name, bad, good, what)], severity)
@@ -33,9 +84,7 @@ def counted(df: DataFrame, name: str, bad: Column, good: str, what: str, severit
 
 def several(df: DataFrame, checks: list[tuple[str, Column, str, str]], severity: str = ERROR) -> DataFrame:
     """Checks of single rows, all in one pass over ``df``."""
-    sums = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"_{i}") for i, (_, bad, _, _) in enumerate(checks)])
-    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_{i}").alias("n_bad"), F.lit(good).alias("good"), F.lit(what).alias("what")) for i, (name, _, good, what) in enumerate(checks)])
-    return judged(sums.select(F.explode(rows).alias("c")).select("c.*"), severity)
+    return Counters(df, [bad for _, bad, _, _ in checks], lambda n: F.array(*[counted_as(name, k, good, what, severity) for k, (name, _, good, what) in zip(n, checks, strict=True)])).frame()
 
 
 def judged(counts: DataFrame, severity: str = ERROR) -> DataFrame:
@@ -53,8 +102,7 @@ def uniqueness(df: DataFrame, keys: list[str], name: str, what: str = "duplicate
     """Rows that share their keys with another row; counts groups, so nothing is windowed."""
     if not set(keys) <= set(df.columns):
         return result(df.sparkSession, name, False, ERROR, "key columns unavailable")
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_bad"))
-    return judged(n.select(F.lit(name).alias("name"), "n_bad", F.lit("no duplicates").alias("good"), F.lit(what).alias("what")))
+    return Counters(df, [], lambda n: F.array(counted_as(name, n[0], "no duplicates", what)), tuple(keys)).frame()
 
 
 def missing_ids(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -79,9 +127,10 @@ def negative_counts(df: DataFrame, label: str, columns: tuple[str, ...] = COUNTS
     return counted(df, f"{label}.negative_counts", bad, "no negative counts", "rows with a negative count")
 
 
-def batting_identities(df: DataFrame, tolerance: float = 1) -> DataFrame | None:
-    """PA >= AB, H >= 2B + 3B + HR, TB = H + 2B + 2 3B + 3 HR; rows with nulls pass."""
-    n = {c: F.col(f"`{c}`").try_cast("double") for c in ("PA", "AB", "H", "2B", "3B", "HR", "TB") if c in df.columns}
+def batting_identities(df: DataFrame, tolerance: float = 1, columns: dict[str, Column] | None = None) -> DataFrame | None:
+    """PA >= AB, H >= 2B + 3B + HR, TB = H + 2B + 2 3B + 3 HR; rows with nulls pass. ``columns``: what the counts are, else their columns."""
+    known = {c: F.col(f"`{c}`") for c in df.columns} if columns is None else columns
+    n = {c: known[c].try_cast("double") for c in ("PA", "AB", "H", "2B", "3B", "HR", "TB") if c in known}
     checks = []
     if {"PA", "AB"} <= n.keys():
         checks.append(("batting.pa_ge_ab", n["AB"] > n["PA"], "PA >= AB holds", "rows where AB exceeds PA"))
@@ -160,18 +209,40 @@ def crosswalk_uniqueness(matches: DataFrame, key: str = "player_register_id") ->
 
 def null_share(df: DataFrame, column: str, name: str, most: float = 0.10) -> DataFrame:
     """A warning where at least ``most`` of the rows lack a value."""
-    n = df.agg(F.count_if(F.col(column).isNull()).alias("n_bad"), F.count(F.lit(1)).alias("all"))
-    fine = (F.col("all") == 0) | (F.col("n_bad") < most * F.col("all"))
-    return n.select(F.lit(name).alias("name"), fine.alias("passed"), F.lit(WARNING).alias("severity"), "n_bad", F.format_string(f"%d of %d rows lack {column}", "n_bad", "all").alias("message"))
+    def judge(n: list[Column]) -> Column:
+        bad, all = n
+        return F.array(outcome(name, (all == 0) | (bad < most * all), WARNING, bad, F.format_string(f"%d of %d rows lack {column}", bad, all)))
+
+    return Counters(df, [F.col(column).isNull(), F.lit(True)], judge).frame()
 
 
 def non_empty(df: DataFrame, label: str) -> DataFrame:
-    n = df.limit(1).agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.lit(f"{label}.non_empty").alias("name"), (F.col("n") > 0).alias("passed"), F.lit(ERROR).alias("severity"), (1 - F.col("n")).alias("n_bad"), F.when(F.col("n") > 0, "rows present").otherwise("no rows").alias("message"))
+    def judge(n: list[Column]) -> Column:
+        some = n[0] > 0
+        return F.array(outcome(f"{label}.non_empty", some, ERROR, F.when(some, 0).otherwise(1), F.when(some, "rows present").otherwise("no rows")))
+
+    return Counters(df, [F.lit(True)], judge).frame()
 
 
 def audit(checks: list[DataFrame | None]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [c for c in checks if c is not None])
+    """All results; checks that count in the same table do so in one pass, in their order within it."""
+    tables: list[list[Counters]] = []
+    others = []
+    for c in checks:
+        if c is None:
+            continue
+        own = getattr(c, "_counters", None)
+        if own is None:
+            others.append(c)
+            continue
+        for group in tables:
+            keys = next((x.keys for x in group if x.keys), ())
+            if group[0].table.sameSemantics(own.table) and not (keys and own.keys and keys != own.keys):
+                group.append(Counters(group[0].table, own.conditions, own.judge, own.keys))
+                break
+        else:
+            tables.append([own])
+    return reduce(DataFrame.unionByName, [*map(one_pass, tables), *others])
 
 
 def has_errors(results: DataFrame) -> bool:

@@ -429,7 +429,7 @@ def negative_counts(read: Read) -> DataFrame:
 
 @query(IDENTITY_SQL)
 def identities(read: Read) -> DataFrame:
-    return quality.batting_identities(read("lineitem").select(F.lit(4000.0).alias("PA"), (F.col("l_extendedprice") * F.col("l_discount")).alias("AB")))
+    return quality.batting_identities(read("lineitem"), columns={"PA": F.lit(4000.0), "AB": F.col("l_extendedprice") * F.col("l_discount")})
 
 
 @query(MISSING_SQL)
@@ -449,7 +449,10 @@ def dob_coverage(read: Read) -> DataFrame:
 
 @query(" UNION ALL ".join([RANGES_SQL, NEGATIVE_SQL, IDENTITY_SQL, MISSING_SQL, UNIQUE_SQL, COVERAGE_SQL]))
 def audit_summary(read: Read) -> DataFrame:
-    return quality.audit([f(read) for f in (value_ranges, negative_counts, identities, missing_ids, uniqueness, dob_coverage)])
+    """One pass a table: documents with their labels, lines by their keys, customers."""
+    labelled = read("documents").select("doc_id", "lang").join(read("labels"), "doc_id", "left")
+    documents = [quality.missing_ids(labelled, "lang", "documents.missing_ids"), quality.null_share(labelled, "quality", "labels.coverage")]
+    return quality.audit([*[f(read) for f in (value_ranges, negative_counts, identities, uniqueness)], *documents])
 
 
 # Models

@@ -47,3 +47,8 @@ def test_fits_sum_with_partial_aggregation(spark):
 def test_only_names_and_pages_run_python(spark):
     found = {name for name, query in QUERIES.items() if any(node in plan(query(spark, FOLDER)) for node in ("Python", "MapInPandas", "MapInArrow", "page_cache"))}
     assert found == PYTHON
+
+
+def test_audit_makes_one_pass_over_each_table(spark):
+    text = plan(QUERIES["audit_summary"](spark, FOLDER))
+    assert {t: len(re.findall(rf"FileScan parquet [^\n]*{t}.parquet", text)) for t in ("lineitem", "customer", "documents", "labels")} == dict.fromkeys(("lineitem", "customer", "documents", "labels"), 1)

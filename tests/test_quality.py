@@ -67,3 +67,12 @@ def test_null_share_coverage_and_empty(spark, batting):
     assert verdicts(quality.null_share(born, "dob", "n")) == {"n": (False, 1)}
     assert verdicts(quality.season_coverage(batting, 2019, 2021)) == {"coverage.seasons": (False, 1)}
     assert verdicts(quality.non_empty(batting.limit(0), "e")) == {"e.non_empty": (False, 1)}
+
+
+def test_checks_of_one_table_share_a_pass(spark, batting):
+    keys = ["player_register_id", "season", "team_bref_id"]
+    checks = lambda df: [quality.uniqueness(df, keys, "d"), quality.uniqueness(df, ["player"], "p"), quality.missing_ids(df, "player_register_id", "m"), quality.value_ranges(df, "b"), quality.null_share(df, "TB", "n"), quality.non_empty(df, "e"), quality.batting_identities(df)]
+    for df in (batting.union(batting.limit(2)).withColumn("age", F.col("age") * 9), batting.limit(0), batting.withColumn("TB", F.lit(None).cast("double"))):
+        alone = [r for c in checks(df) for r in c.collect()]
+        assert sorted(map(tuple, quality.audit(checks(df)).collect())) == sorted(map(tuple, alone))
+    assert verdicts(quality.uniqueness(batting.withColumn("team_bref_id", F.lit(None).cast("string")), keys, "d")) == {"d": (False, 2)}
