@@ -25,13 +25,22 @@ FILES = [
 
 
 def units_of(text):
+    """(unit, whole text, first block) of a text, by walking its lines."""
     lines = re.split(r"[\r\n]+|(?<=[.!?])\s+", text)
-    paragraphs = [p for p in re.split(r"[\r\n][^A-Za-z0-9\r\n]*(?:\r\n|\n|\r)[\r\n]*", text) if re.search(r"[\r\n]", p)]
-    return [(s, False) for s in lines + paragraphs] + [(text, True)]
+    blocks = re.split(r"[\r\n][^A-Za-z0-9\r\n]*(?:\r\n|\n|\r)[\r\n]*", text)
+    comments, run = [], []
+    for line in [*text.split("\n"), "code"]:
+        if re.match(r"[ \t]*(#|//|--|;|%|/?\*)", line):
+            run.append(line)
+        else:
+            comments += ["\n".join(run)] if len(run) > 1 else []
+            run = []
+    head = [(b, False, True) for b in blocks if re.search("[A-Za-z0-9]", b)][:1]
+    return [(s, False, False) for s in lines + [p for p in blocks if re.search(r"[\r\n]", p)] + comments] + head + [(text, True, False)]
 
 
 def brute(files):
-    """All units against all templates, ancestors walked one by one."""
+    """All units against all templates, by their common weight; ancestors walked one by one."""
     words = lambda s: re.findall("[a-z0-9]+", s.lower())
     n = len(files)
     seen = {}
@@ -44,32 +53,33 @@ def brute(files):
         v = {w: words(text).count(w) * idf(w) for w in set(words(text))}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    templates = [(name, *vector(t)) for name, ts in lic.TEMPLATES.items() for t in ts]
+    templates = [(name, *vector(t), title) for title, table in ((False, lic.TEMPLATES), (True, lic.TITLES)) for name, ts in table.items() for t in ts]
     own, speaks = [], {}
     for i, path, text in files:
         best = aloud = None
         named = re.search(r"(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$", (path or "").lower())
-        for s, whole in units_of(text or ""):
+        for s, whole, first in units_of(text or ""):
             v, size = vector(s)
-            scores = [(round(sum(x * u.get(w, 0) for w, x in v.items()) / (size * other), 6) if size else 0, -k, name) for k, (name, u, other) in enumerate(templates)]
-            top = max(scores)
-            if top[0] >= lic.COSINE:
+            common = [sum(x * u.get(w, 0) for w, x in v.items()) / other for _, u, other, _ in templates]
+            k = min(range(len(templates)), key=lambda k: (-round(common[k] / size, 6) if size else 0, k))
+            if size and round(common[k] / size, 6) >= lic.COSINE:
+                top = (templates[k][0] != "Proprietary", round(round(common[k] / size, 6) * size, 4), round(common[k] / size, 6), -k, templates[k][0])
                 best = max(best or top, top)
-                if whole or named or len(s) >= lic.FILE_SHARE * len(text):
+                if whole or named or len(s) >= lic.FILE_SHARE * len(text) or first and templates[k][3]:
                     aloud = max(aloud or top, top)
         own.append(best)
         directory = (path or "").rpartition("/")[0]
         if aloud:
-            speaks[directory] = min(speaks.get(directory, (9,)), (-aloud[0], aloud[2], path or ""))
+            speaks[directory] = min(speaks.get(directory, (9,)), (not aloud[0], -aloud[1], aloud[4], path or ""))
     out = []
     for (i, path, _), best in zip(files, own, strict=True):
         if best:
-            out.append((i, path or "", best[2], "own", None))
+            out.append((i, path or "", best[4], "own", None))
             continue
         at = (path or "").rpartition("/")[0]
         while at not in speaks and at:
             at = at.rpartition("/")[0]
-        out.append((i, path or "", speaks[at][1], "inherited", at) if at in speaks else (i, path or "", None, "none", None))
+        out.append((i, path or "", speaks[at][2], "inherited", at) if at in speaks else (i, path or "", None, "none", None))
     return sorted(out, key=str)
 
 
@@ -118,6 +128,32 @@ def test_whole_license_files_and_headers(spark, monkeypatch, broadcast):
     ]
 
 
+HOLDER = lic.BSD_NAMES.replace("the copyright holder", "Umbrella Widgets Incorporated")
+RESERVED = [
+    (1, "a/LICENSE", "Copyright (c) 2019, Umbrella Widgets Incorporated\nAll rights reserved.\n\n" + wrapped(lic.BSD_START) + "\n\n" + wrapped(HOLDER) + "\n\n" + wrapped(lic.BSD_END)),
+    (2, "a/src/x.c", PLAIN),
+    (3, "b/LICENSE", "Copyright (c) 2020 Acme. All rights reserved.\n\n" + wrapped(lic.MIT_TERMS.replace("publish", "advertise"))),
+    (4, "b/y.c", PLAIN),
+    (5, "c/z.c", "/*\n * Copyright 2001 Acme.\n * All rights reserved.\n *\n" + wrapped(lic.BSD_START, 70, " * ") + "\n *\n" + wrapped(HOLDER, 70, " * ") + "\n *\n" + wrapped(lic.BSD_END, 70, " * ") + "\n */\n\n" + "int value = compute(3);\n" * 500),
+    (6, "d/terms.txt", "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE\n\n" + "   Each party shall act under these terms and conditions as stated in this document.\n\n" * 150),
+    (7, "d/x.c", PLAIN),
+    (8, "e/notes.txt", "Copyright 2020 Acme. All rights reserved."),
+    (9, "e/f/w.c", PLAIN),
+    (10, "g/mpl.txt", "Mozilla Public License Version 2.0\n==================================\n\n" + "Terms of every kind are written down here.\n\n" * 100),
+    (11, "g/h/v.c", PLAIN),
+]
+
+
+def test_terms_outweigh_a_notice_of_reserved_rights(spark):
+    got = rows(spark, RESERVED)
+    assert got == brute(RESERVED)
+    assert {r[0]: r[2:] for r in got} == {
+        1: ("BSD-3-Clause", "own", None), 2: ("BSD-3-Clause", "inherited", "a"), 3: ("MIT", "own", None), 4: ("MIT", "inherited", "b"), 5: ("BSD-3-Clause", "own", None),
+        6: ("Apache-2.0", "own", None), 7: ("Apache-2.0", "inherited", "d"), 8: ("Proprietary", "own", None), 9: ("Proprietary", "inherited", "e"),
+        10: ("MPL-2.0", "own", None), 11: ("MPL-2.0", "inherited", "g"),
+    }
+
+
 def test_scores_do_not_fall_with_the_number_of_files(spark):
     """Words beside a statement weigh no more in a larger table."""
     said = "Unless noted otherwise this page is licensed under CC BY 4.0."
