@@ -20,7 +20,7 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from parallax.llm.common import ArrowBatches, arrow_batch, fresh, ready
 
 #: Steps, pairs of tokens and pieces that a worker remembers before it starts anew; pieces up to so many characters.
-STEPS, PAIRS, PIECES, PIECE_CHARS = 500_000, 500_000, 300_000, 32
+STEPS, PAIRS, PIECES, PIECE_CHARS = 500_000, 500_000, 500_000, 32
 #: Characters up to which a text's pieces are found at once.
 LONG_TEXT = 1 << 20
 #: Bytes after which a long piece is searched for what is certain.
@@ -186,17 +186,14 @@ class Transducer:
         return found
 
     def ids(self, text: str) -> Iterator[tuple[int, ...] | list[int]]:
-        """The ids of a text, in runs; short pieces are remembered."""
-        split, get = splitter(text), self.pieces.get
-        for piece in split.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in split.finditer(text)):
-            found = get(piece)
-            if found is None:
-                if len(piece) > PIECE_CHARS:
-                    yield from self.piece(piece.encode())
-                    continue
-                found = self.remember(piece)
-                get = self.pieces.get
-            yield found
+        """The ids of a text, in runs; short pieces are remembered, the pieces of a long text are not held at once."""
+        split = splitter(text)
+        for at in (split.findall(text),) if len(text) <= LONG_TEXT else batched((m.group() for m in split.finditer(text)), LONG_TEXT >> 4):
+            found = list(map(self.pieces.get, at))
+            for i, run in enumerate(found):
+                if run is None:
+                    found[i] = self.pieces.get(at[i]) or self.remember(at[i]) if len(at[i]) <= PIECE_CHARS else chain.from_iterable(self.piece(at[i].encode()))
+            yield from found
 
     def encode(self, text: str) -> array:
         return array("i", chain.from_iterable(self.ids(text)))
@@ -308,8 +305,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", ranks: str | N
         for batch in batches:
             offsets, ids = array("i", [0]), array("i")
             for value in batch.column(text):
-                for part in own.ids(value.as_py() or ""):
-                    ids.extend(part)
+                ids.extend(chain.from_iterable(own.ids(value.as_py() or "")))
                 offsets.append(len(ids))
             lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
             yield batch.append_column(out, lists)
