@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType
 
 LEAGUES = ("kbo", "mlb")
 POSTED, IMPORT, UNKNOWN = "posted_from_kbo", "import_returnee", "unknown"
@@ -68,9 +69,32 @@ def build_pairs(home: DataFrame, away: DataFrame, key: str = "player_register_id
     )
 
 
+#: Numbers that one word of bits stands for.
+WORD = 64
+
+
+def number_words(df: DataFrame, key: str, number: str) -> DataFrame:
+    """(key, word, bits, low, high): the distinct whole numbers or days of each key as words of bits, which merge before the shuffle.
+
+    A key's null numbers are a word without bits.
+    """
+    c = F.unix_date(number) if isinstance(df.schema[number].dataType, DateType) else F.col(number)
+    bit = F.expr("shiftleft(1L, cast(pmod(_c, 64) AS int))")
+    words = df.select(F.col(key), F.col(number), c.cast("long").alias("_c")).withColumn("word", F.floor(F.col("_c") / WORD))
+    return words.groupBy(key, "word").agg(F.bit_or(bit).alias("bits"), F.min(number).alias("low"), F.max(number).alias("high"))
+
+
+def whole(df: DataFrame, number: str) -> bool:
+    return isinstance(df.schema[number].dataType, (IntegralType, DateType))
+
+
 def spans(df: DataFrame, key: str, time: str, name: str) -> DataFrame:
     """(key, first_name, last_name, n_name): first, last and number of distinct times."""
-    return df.dropna(subset=[key, time]).groupBy(key).agg(F.min(time).alias(f"first_{name}"), F.max(time).alias(f"last_{name}"), F.countDistinct(time).alias(f"n_{name}"))
+    df = df.dropna(subset=[key, time])
+    if not whole(df, time):
+        return df.groupBy(key).agg(F.min(time).alias(f"first_{name}"), F.max(time).alias(f"last_{name}"), F.countDistinct(time).alias(f"n_{name}"))
+    n = F.sum(F.bit_count("bits")).alias(f"n_{name}")
+    return number_words(df, key, time).groupBy(key).agg(F.min("low").alias(f"first_{name}"), F.max("high").alias(f"last_{name}"), n)
 
 
 def classify(home: DataFrame, away: DataFrame, key: str = "player_register_id", time: str = "season", leagues: tuple[str, str] = LEAGUES) -> DataFrame:
@@ -119,4 +143,16 @@ def congestion(df: DataFrame, team: str = "team_name", season: str = "earliest_p
 
 
 def seasons_by_player(rows: DataFrame, key: str = "player_register_id", season: str = "season") -> DataFrame:
-    return rows.dropna(subset=[key]).groupBy(key).agg(F.countDistinct(season).alias("seasons"))
+    """How many seasons each player has rows in; none where all are unknown."""
+    rows = rows.dropna(subset=[key])
+    if not whole(rows, season):
+        return rows.groupBy(key).agg(F.countDistinct(season).alias("seasons"))
+    return number_words(rows, key, season).groupBy(key).agg(F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("seasons"))
+
+
+def sample_sizes(seasons: DataFrame, key: str, playing: str, least: float) -> DataFrame:
+    """One row: players and seasons, all and with at least so much playing time, from one row for each player."""
+    enough = F.coalesce(F.col(playing) >= least, F.lit(False))
+    players = seasons.dropna(subset=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(enough).alias("q"))
+    sums = {"players": F.count(F.lit(1)), "qualified": F.count_if(F.col("q") > 0), "player_seasons": F.sum("n"), "qualified_seasons": F.sum("q")}
+    return players.agg(*[F.coalesce(x, F.lit(0)).alias(c) for c, x in sums.items()])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import expr, names
-from parallax.operators import evaluate, model, quality, rates, resolve, screen, timeline
+from parallax.operators import evaluate, lookup, model, quality, rates, resolve, screen, timeline
 from parallax.plans import report
 from parallax.sources import records, tables
 from parallax.sources.urls import Sites, with_pages
@@ -220,9 +220,14 @@ class Bundle:
     def screen(self) -> DataFrame:
         return screen.screen_counts(self.roster(False).select("player", "score"), self.profile, self.strictness)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Home rows by the sound of their names, stored."""
+        return lookup.name_index(self.home)
+
     def find(self, query: str) -> DataFrame:
         """Rows of players whose name sounds like the query."""
-        return self.home.filter(names.keys("player")["loose"] == names.keys(F.lit(query))["loose"]).orderBy("season")
+        return lookup.find_one(self.index, query).drop("loose_key").orderBy("season")
 
     def project(self, players: DataFrame | list[str]) -> DataFrame:
         """Projections with trust, labels and eligibility, in display order."""
@@ -249,7 +254,8 @@ def projections(store: Store, side: str, season: int, players: list[str] | None
     """Projections of the named players active in a season, or of those with the most playing time; written too."""
     bundle = load(store, side, season, min_playing_time, direction, draws, source)
     if players:
-            chosen = bundle.home.filter(F.col("season") == season).filter(names.keys("player")["loose"].isin(*[names.keys(F.lit(p))["loose"] for p in players]))
+        typed = store.spark.createDataFrame([(p,) for p in players], "typed string").distinct()
+        chosen = lookup.find(bundle.index.filter(F.col("season") == season), typed)
     else:
         chosen = bundle.top(top)
     named = chosen.groupBy("player_register_id").agg(F.max("player").alias("player"))

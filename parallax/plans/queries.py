@@ -675,8 +675,7 @@ FROM (SELECT l_suppkey, year(l_shipdate) AS yr, count(*) AS n FROM lineitem GROU
 """)
 def sample_sizes(read: Read) -> DataFrame:
     seasons = read("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("yr")).agg(n_rows().alias("n"))
-    enough = F.col("n") >= 100
-    return seasons.agg(F.countDistinct("l_suppkey").alias("players"), F.countDistinct(F.when(enough, F.col("l_suppkey"))).alias("qualified"), n_rows().alias("player_seasons"), F.count_if(enough).alias("qualified_seasons"))
+    return timeline.sample_sizes(seasons, "l_suppkey", "n", 100)
 
 
 # Rates of both sides, of line items as season rows

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from parallax.functions import names
 from parallax.functions.expr import number
-from parallax.operators import evaluate, model, quality, rates, timeline
+from parallax.operators import evaluate, lookup, model, quality, rates, resolve, screen, timeline
+from parallax.plans import pipelines
 from parallax.plans import queries as base
 from parallax.plans.queries import DRAWS, FITS, RATE_SQL, RESAMPLED, SEASONS, SIDES, SPANS, STATS, SUMMED, TIERED, Read, check, cohorts, crossings, fit_sql, linked, long, loose_sql, n_rows, query, rounded, season_rows
 from parallax.sources import html, pagecache, records, tables, urls
@@ -346,6 +347,94 @@ def nationalities(read: Read) -> DataFrame:
     return spelled(read).select("c_custkey", korean.alias("korean"), source.alias("source"))
 
 
+@query(f"SELECT c_custkey, class AS surname FROM {CLASSED_SQL}")
+def surname_spellings(read: Read) -> DataFrame:
+    return spelled(read).select("c_custkey", F.coalesce(names.keys("name")["surname"], F.lit("")).alias("surname"))
+
+
+SYLLABLE_SQL = f"{names.INITIALS}[({{0}} // 588) + 1] || {names.MEDIALS}[({{0}} // 28) % 21 + 1] || {names.FINALS}[{{0}} % 28 + 1]"
+TWO_SYLLABLES = "(SELECT p_partkey, p_partkey * 7919 % 11172 AS a, p_partkey * 104729 % 11172 AS b FROM part)"
+
+
+@query(f"SELECT p_partkey, chr((44032 + a)::INT) || chr((44032 + b)::INT) AS said, {SYLLABLE_SQL.format('a')} || ' ' || {SYLLABLE_SQL.format('b')} AS roman FROM {TWO_SYLLABLES}")
+def romanized_syllables(read: Read) -> DataFrame:
+    """Two syllables for each part, of all that there are."""
+    def syllable(factor: int) -> Column:
+        return F.decode(F.unhex(F.hex(F.col("p_partkey") * factor % 11172 + names.FIRST)), "UTF-16BE")
+
+    rows = read("part").select("p_partkey", F.concat(syllable(7919), syllable(104729)).alias("said"))
+    return rows.select("p_partkey", "said", names.romanized(F.col("said")).alias("roman"))
+
+
+@query("SELECT c_custkey, strftime(try_cast(born AS DATE), '%Y-%m-%d') AS born, coalesce(year(try_cast(born AS DATE)), 0)::INT AS birth_year FROM (SELECT c_custkey, printf('19%02d-%02d-%02d', c_custkey % 90 + 10, c_custkey % 13, c_custkey % 32) AS born FROM customer)")
+def births(read: Read) -> DataFrame:
+    """Dates of birth as match keys; impossible ones are null."""
+    k = F.col("c_custkey")
+    rows = read("customer").select("c_custkey", "c_name", F.format_string("19%02d-%02d-%02d", k % 90 + 10, k % 13, k % 32).alias("born"))
+    return resolve.prepared(rows, "c_name", "born", "home", "c_custkey").select("c_custkey", F.date_format("_dob", "yyyy-MM-dd").alias("born"), F.coalesce("_birth_year", F.lit(0)).alias("birth_year"))
+
+
+def by_supplier(sql: str) -> str:
+    return sql.replace("c_custkey", "s_suppkey").replace("FROM customer", "FROM supplier")
+
+
+LOOSE_SQL = f"class || '|' || list_aggregate(list_sort([{loose_sql('lower(g)')} for g in given]), 'string_agg', '')"
+
+
+@query(f"""SELECT s_suppkey, k AS loose_key, n AS players, first AS first_player FROM (SELECT s_suppkey, {LOOSE_SQL} AS k FROM {by_supplier(CLASSED_SQL)})
+JOIN (SELECT {LOOSE_SQL} AS k, count(*) AS n, min(c_custkey) AS first FROM {CLASSED_SQL} GROUP BY 1) USING (k)""")
+def typed_names(read: Read) -> DataFrame:
+    """Suppliers' names looked up among customers' names, which are stored by their sound."""
+    index = lookup.name_index(spelled(read), "name", 8)
+    known = index.groupBy("loose_key").agg(n_rows().alias("players"), F.min("c_custkey").alias("first_player"))
+    typed = spelled(lambda _: read("supplier").select(F.col("s_suppkey").alias("c_custkey"))).select(F.col("c_custkey").alias("s_suppkey"), F.col("name").alias("typed"))
+    return lookup.find(known, typed).select("s_suppkey", "loose_key", "players", "first_player")
+
+
+#: Suppliers as players: names, places and teams by number; two seasons of three count, and five make a free agent here.
+SEASON = 1997
+ROSTER_SQL = f"""WITH lg AS (SELECT season, {', '.join(f"{RATE_SQL['batting'][s]} AS lg_{s}" for s in ('obp', 'slg'))} FROM {SUMMED}),
+own AS (SELECT l_suppkey, season, PA, {', '.join(f"{RATE_SQL['batting'][s]} AS {s}" for s in ('obp', 'slg'))} FROM {SEASONS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY season DESC) AS k FROM own JOIN lg USING (season)),
+score AS (SELECT l_suppkey, sum((obp + slg) * PA) / sum((lg_obp + lg_slg) * PA) AS score FROM r WHERE k <= 2 GROUP BY 1),
+bar AS (SELECT quantile_cont(round(s, 3), 0.25) AS threshold FROM (SELECT l_suppkey, sum((obp + slg) * PA) / sum((lg_obp + lg_slg) * PA) AS s FROM r WHERE l_suppkey % 3 = 0 GROUP BY 1)),
+who AS (SELECT s_suppkey, place = 'Seoul, KR' OR class <> '' AS korean FROM {by_supplier(CLASSED_SQL)}),
+p AS (SELECT l_suppkey, 'T' || l_suppkey % 5 AS team_name, s::INT AS seasons, score, {SEASON} + greatest(0, 7 - s) AS earliest_posting_season FROM (SELECT l_suppkey FROM own WHERE season = {SEASON}) JOIN (SELECT l_suppkey, count(DISTINCT season) AS s FROM own WHERE (l_suppkey + season) % 3 <> 0 GROUP BY 1) USING (l_suppkey)
+    JOIN score USING (l_suppkey) JOIN who ON s_suppkey = l_suppkey CROSS JOIN bar WHERE korean AND s < 5 AND score >= threshold)"""
+
+
+@query(f"""{ROSTER_SQL} SELECT l_suppkey::VARCHAR AS player_register_id, team_name, seasons, round(score, 5) AS score, earliest_posting_season::INT AS earliest_posting_season, count(*) OVER (PARTITION BY team_name, earliest_posting_season) AS club_eligible_that_year,
+    count(*) OVER (PARTITION BY team_name, earliest_posting_season) > 1 AS posting_likely_delayed FROM p""")
+def season_roster(read: Read) -> DataFrame:
+    """The roster of a season with all its filters, screen and congestion, of suppliers."""
+    rows = season_rows(read)
+    league = rates.league_rates(rows.drop("l_suppkey"), "batting")
+    people = spelled(lambda _: read("supplier").select(F.col("s_suppkey").alias("c_custkey"))).select(F.col("c_custkey").alias("l_suppkey"), F.col("name").alias("player"), F.nullif(F.col("place"), F.lit("")).alias("birth_city"))
+    named = rates.relative_rates(rows, league, "batting").join(people, "l_suppkey")
+    id = F.col("l_suppkey").cast("string").alias("player_register_id")
+    home = named.select("*", id, F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")).alias("team_name"), F.lit(25.0).alias("age"))
+    profile = screen.score(home.filter(F.col("l_suppkey") % 3 == 0), "batting", ["player_register_id"]).withColumn("score", F.round("score", 3))
+    served = home.filter((F.col("l_suppkey") + F.col("season")) % 3 != 0)
+    bundle = pipelines.Bundle("batting", SEASON, home, served, league, None, None, profile, people.select(id, "birth_city"), fa_seasons=5)
+    return bundle.roster().select("player_register_id", "team_name", "seasons", F.round("score", 5).alias("score"), "earliest_posting_season", "club_eligible_that_year", "posting_likely_delayed")
+
+
+@query("""WITH own AS (SELECT o_custkey, year(o_orderdate)::INT AS season, count(*)::DOUBLE AS pa, avg(o_totalprice) / 500000 AS obp, max(o_totalprice) / 500000 AS slg FROM orders GROUP BY 1, 2),
+lg AS (SELECT year(o_orderdate)::INT AS season, avg(o_totalprice) / 500000 AS lg FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY season DESC) AS k FROM own JOIN lg USING (season) WHERE o_custkey % 3 > 0 AND season < 1996 + o_custkey % 3)
+SELECT o_custkey::VARCHAR AS player_register_id, any_value(c_name) AS player, (1996 + o_custkey % 3)::INT AS first_mlb, round_even(sum((obp + slg) * pa) / sum(2 * lg * pa), 3) AS score, (max(season) - 1970)::DOUBLE AS age_last_kbo
+FROM r JOIN customer ON c_custkey = o_custkey WHERE k <= 2 AND o_custkey % 2 = 0 GROUP BY o_custkey""")
+def screen_profile(read: Read) -> DataFrame:
+    """The profile of customers who crossed in 1997 or 1998, by their last two years before; odd ones are no Koreans here."""
+    year, price = F.year("o_orderdate").alias("season"), F.col("o_totalprice") / 500000
+    own = read("orders").groupBy("o_custkey", year).agg(n_rows().cast("double").alias("PA"), F.avg(price).alias("obp"), F.max(price).alias("slg"))
+    league = read("orders").groupBy(year).agg(F.avg(price).alias("lg_obp"), F.avg(price).alias("lg_slg"))
+    people = read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("player"))
+    home = own.join(league, "season").join(people, "o_custkey").select("*", F.col("o_custkey").cast("string").alias("player_register_id"), (F.col("season") - 1970).alias("age"))
+    posted = read("customer").select(F.col("c_custkey").cast("string").alias("player_register_id"), F.when(F.col("c_custkey") % 3 > 0, 1996 + F.col("c_custkey") % 3).alias("first_mlb"))
+    return screen.profile(home, posted, "batting", lambda name, key: key.cast("long") % 2 == 0)
+
+
 # Cohorts and checks
 
 

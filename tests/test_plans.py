@@ -10,7 +10,7 @@ from parallax.plans.source_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that put a result of one row beside all rows.
-ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed", "link_checks", "fit_summary", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals"}
+ONE_ROW = {"screen_counts", "historical_profile", "predict", "holdout_scorecard", "bootstrap_refits", "wls_fit", "screen_missed", "link_checks", "fit_summary", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals", "season_roster"}
 #: Queries that parse pages, make keys of names, solve fits or draw players.
 PYTHON = {"wls_fit", "predict", "fit_summary", "holdout_scorecard", "bootstrap_refits", "prediction_intervals", "projection", "resampled_counts", "resampled_refits", "deficient_fit", "holdout_intervals", "cached_pages", "team_pages", "typed_players", "page_player_ids", "crawl_players", "crawl_roster", "crawl_totals", "player_pages", "page_failures", "page_totals"}
 
