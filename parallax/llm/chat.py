@@ -211,7 +211,8 @@ DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from their parts, which come as ``format_chats`` gives them."""
+    """What the formatted conversations hold, read back from their parts, which come as ``format_chats`` gives them: whole
+    conversations in a partition, their parts in order. Others raise an error."""
 
     def run(batches: ArrowBatches) -> ArrowBatches:
         state: list | None = None
@@ -226,7 +227,10 @@ def digests(chats: DataFrame) -> DataFrame:
             for conv_id, part, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part == 0:
                     finish()
-                    state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state, due = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                if state is None or state[0] != conv_id or part != due:
+                    raise ValueError(f"conversation {conv_id} has part {part} out of order: sort the parts of whole conversations")
+                due += 1
                 for role, said, _, _ in read_back(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())

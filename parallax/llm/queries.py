@@ -142,7 +142,7 @@ WITH rules(host, path, block) AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IS NOT NULL THEN CASE WHEN block THEN 'block' ELSE 'allow' END
-    WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(spam[^A-Za-z0-9]farm|cheap[^A-Za-z0-9]pills|casino|viagra|porn|xxx|free[^A-Za-z0-9]download|malware|phishing|adult[^A-Za-z0-9]cams)($|[^A-Za-z0-9])', 's') THEN 'block'
+    WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(spam[^A-Za-z0-9]farm|cheap[^A-Za-z0-9]pills|casino|viagra|porn|xxx|free[^A-Za-z0-9]download|malware|phishing|adult[^A-Za-z0-9]cams)($|[^A-Za-z0-9])', 'is') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM won
 """

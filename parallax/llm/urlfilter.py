@@ -42,13 +42,13 @@ def host_rule(name: str, block: bool) -> Rule:
     host, slash, path = name.partition("/")
     whole = re.findall(r"[A-Za-z0-9]+", host) + re.findall(r"[A-Za-z0-9]+(?=[^A-Za-z0-9])", slash + path)
     end = "" if slash else r"(?=/|\z)"
-    return Rule(name, f"^(?:[^/]*\\.)?{java_quote(host)}{java_quote(slash + path)}{end}", tuple(whole), block, 1)
+    return Rule(name, f"^(?:[^/]*\\.)?{java_quote(host)}{java_quote(slash + path)}{end}", tuple(w.lower() for w in whole), block, 1)
 
 
 def word_rule(*words: str) -> Rule:
-    """Blocks urls that have the words as whole tokens, one after the other."""
+    """Blocks urls that have the words as whole tokens, one after the other, in any case."""
     joined = "[^A-Za-z0-9]".join(words)
-    return Rule("-".join(words), f"(?<![A-Za-z0-9]){joined}(?![A-Za-z0-9])", words, True, 0)
+    return Rule("-".join(words), f"(?i)(?<![A-Za-z0-9]){joined}(?![A-Za-z0-9])", tuple(w.lower() for w in words), True, 0)
 
 
 def rules_of(lines: Iterable[str]) -> tuple[Rule, ...]:
@@ -64,7 +64,7 @@ def rules_of(lines: Iterable[str]) -> tuple[Rule, ...]:
         if parts[0] not in ("allow", "block") or len(parts) < 2 or (parts[1] == "word") != (len(parts) > 2):
             raise ValueError(f"not a rule: {line!r}")
         if parts[1] == "word":
-            found.append(replace(word_rule(*(re.escape(w) for w in parts[2:])), name="-".join(parts[2:]), tokens=tuple(w for w in parts[2:] if w.isalnum() and w.isascii()), block=parts[0] == "block"))
+            found.append(replace(word_rule(*(re.escape(w) for w in parts[2:])), name="-".join(parts[2:]), tokens=tuple(w.lower() for w in parts[2:] if w.isalnum() and w.isascii()), block=parts[0] == "block"))
         else:
             found.append(host_rule(parts[1], parts[0] == "block"))
     return tuple(found)
@@ -100,7 +100,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.array_distinct(F.split(text, "[^A-Za-z0-9]+"))
+    """In lower case, as those of rules are: which case counts is up to a rule's expression."""
+    return F.array_distinct(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS) -> DataFrame:

@@ -77,3 +77,12 @@ def test_conversations(spark):
     assert got[2]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
     assert got[2]["loss_sha256"] == hashlib.sha256(b"b</s>").hexdigest() and got[7]["loss_chars"] == 300_000
     assert chat.digests(chat.format_chats(turns.limit(0))).count() == 0
+
+
+def test_digests_refuse_parts_out_of_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 40)
+    turns = spark.createDataFrame([(c, t, 0, "user", f"said {c} {t} " * 5) for c in range(3) for t in range(6)], "record_id long, at long, position int, role string, text string")
+    parts = chat.format_chats(turns.coalesce(1)).orderBy("conv_id", "part").coalesce(1)
+    assert chat.digests(parts).count() == 3
+    with pytest.raises(Exception, match="out of order"):
+        chat.digests(parts.filter("part <> 1")).collect()

@@ -8,7 +8,7 @@ from parallax.llm import urlfilter as uf
 URLS = [
     "https://a.example.com/en/1", "http://Example.COM/en/72?x=1", "http://com/en/", "http://notcom/en/", "http://x.net/de/8", "http://example.net/de/81",
     "https://b.org/es", "https://b.org/es/#top", "ftp://spam-farm.example.org/fr", "http://spamfarm.org/", "http://x.org/spam_farm", "http://a://b.com/en/",
-    "no scheme", "", None, "http://", "http://xcom/en/", "http://cheap-pills.net/de/8", "HTTP://WWW.ORG/ES/", "http://line\nbreak.com/en/\n?q",
+    "no scheme", "", None, "http://", "http://xcom/en/", "http://cheap-pills.net/de/8", "HTTP://WWW.ORG/ES/", "http://a.b/CASINO", "http://a.b/Free-Download?x", "http://a.b/freedownload", "http://a.com/EN/1", "http://line\nbreak.com/en/\n?q",
 ]
 
 
@@ -81,3 +81,9 @@ def test_only_candidates_run(spark):
     pages = spark.createDataFrame([(1, "http://q.com/a")], "page_id long, url string")
     trap = uf.Rule("trap", "(", ("neverseen",), True, 0)
     assert uf.judge(pages, (trap,)).collect()[0]["verdict"] == "allow"
+
+
+def test_words_ignore_case_and_paths_do_not(spark):
+    urls = ["http://a.b/CASINO", "http://a.b/Free-Download", "http://SPAM.farm/", "http://a.com/EN/x", "http://a.com/en/x"]
+    got = uf.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [(None, "block")] * 3 + [(None, "allow"), ("com/en/", "block")]
