@@ -78,6 +78,23 @@ def test_stages_handle_empty_and_null_rows(spark, made):
             assert stage(spark, docs, folder).count() >= 0
 
 
+def test_stages_keep_columns_with_clashing_names_and_long_texts(spark, made):
+    folder, docs, item = made
+    long = " ".join(WORDS["aa"]) * 60
+    rows = [*docs[:60], (300, long, "aa", "s", len(long)), (301, long + " " + item + " end", "aa", "s", 0)]
+    names = ("lang_pred", "lang_rejected", "component_id", "Kept", "n_shingles", "leaks", "pii_spans", "pii_base", "_text", "unit", "row")
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in names])
+    plain = wide.select(*COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, folder)
+        kept = {r["doc_id"]: r for r in got.collect()}
+        assert got.columns == wide.columns, name
+        assert set(kept) == {r["doc_id"] for r in stage(spark, plain, folder).select("doc_id").collect()}, name
+        own = {"language_id": ("lang_pred", "lang_rejected"), "decontamination": ("leaks",), "pii": ("pii_spans", "pii_base")}.get(name, ())
+        assert all(r[c] == f"{c}{i}" for i, r in kept.items() for c in names if c not in own), name
+        assert 300 in kept and (301 in kept) == (name in ("language_id", "pii")) or name == "near_dedup", name
+
+
 def test_operators_are_those_of_the_stages():
     assert [f for _, f in corpus_pipeline.STAGES] == [stages.language_id, stages.near_dedup, stages.decontaminated, stages.without_pii, stages.packing]
     assert langid.REJECT_MOST <= 0.5 and minhash.SIMILAR == 75 and minhash.WORDS == 5 and decontaminate.SURE > decontaminate.LIKELY
