@@ -15,6 +15,7 @@ from parallax.functions import expr, names
 from parallax.operators import evaluate, lookup, model, quality, rates, resolve, screen, timeline
 from parallax.plans import report
 from parallax.sources import records, tables
+from parallax.sources.stored import stored
 from parallax.sources.urls import Sites, with_pages
 
 SITES = Sites()
@@ -103,7 +104,7 @@ def audit(store: Store, start: int, end: int) -> tuple[DataFrame, str, int]:
         matches = store.read("crosswalk", LINKS)
         people, none = batting.select("player_register_id").distinct(), matches.limit(0)
         linked = resolve.Crosswalk(matches, none, resolve.statistics(people, none, matches, none))
-    results = quality.run_all(batting, pitching, roster, totals, start, end, linked).cache()
+    results = stored(quality.run_all(batting, pitching, roster, totals, start, end, linked), "audit")
     return results, report.audit(results), int(quality.has_errors(results))
 
 
@@ -145,13 +146,13 @@ class NothingToFit(RuntimeError):
 
 def fit(store: Store, side: str, min_playing_time: float | None = None, direction: str | None = None, draws: int = 200, source: str = "") -> Modelled:
     """Fit without the posted cohort, validate on it, and write the tables and the report's parts."""
-    pairs = pairs_of(*relative(store, side, min_playing_time, source)).cache()
+    pairs = stored(pairs_of(*relative(store, side, min_playing_time, source)), "pairs")
     train, _ = evaluate.split(pairs, direction=direction)
     rows = model.design(train, list(expr.RATE_SETS[side]))
     fits = model.fit(rows)
     if fits.isEmpty():
         raise NothingToFit("not enough usable pairs to fit any statistic")
-    cases = evaluate.holdout(pairs, side, draws=draws, direction=direction).cache()
+    cases = stored(evaluate.holdout(pairs, side, draws=draws, direction=direction), "cases")
     scores = evaluate.scorecard(cases)
     out = Modelled(pairs, fits, model.inversion(rows), cases, scores, report.validation(side, model.summary(fits), scores, cases))
     for name, df in (("pairs", pairs), ("translation", model.summary(fits)), ("inversion", out.inversion), ("holdout", cases)):
@@ -269,7 +270,7 @@ def load(store: Store, side: str = "batting", season: int = 2026, min_playing_ti
     home, away = relative(store, side, min_playing_time, source)
     pairs = pairs_of(home, away)
     train, _ = evaluate.split(pairs, direction=direction)
-    rows = model.design(train, list(expr.RATE_SETS[side])).cache()
+    rows = stored(model.design(train, list(expr.RATE_SETS[side])), "design")
     _, any_away = relative(store, side, 1, source)
     roster = store.read("kbo_roster", ROSTER).filter("player_register_id IS NOT NULL")
     cities = timeline.latest(roster, "player_register_id", F.desc("season")).select("player_register_id", "birth_city")
