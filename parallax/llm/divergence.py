@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,8 @@ from parallax.llm.common import BROADCAST_ROWS, SALTS, ArrowBatches, forget, rea
 
 # Least documents of a kept term, scale of shares, ranks of terms.
 LEAST_DOCS, SCALE, RANKS = 3, 1_000_000_000, 200
-#: Bytes of a text that are split at a time, and counts that a task holds before it hands them on.
-SLICE, HELD = 4 << 20, 200_000
+#: Bytes of a text that are split at a time, counts that a task holds before it hands them on, and in batches of how many.
+SLICE, HELD, ROWS = 4 << 20, 600_000, 1 << 16
 #: Bits and bytes that a pass decides, and tied rows of a group that a sort may take.
 BITS, BYTES, TIED = 16, 2, 4096
 #: Bytes to what splits terms, or to lower case; bytes over 127 are parts of letters.
@@ -53,11 +54,12 @@ def counted(docs: DataFrame) -> DataFrame:
     def run(batches: ArrowBatches) -> ArrowBatches:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(*group, term, n, within[term]) for group, (total, within) in held.items() for term, n in total.items()]
+        def out() -> ArrowBatches:
+            rows = ((*group, term, n, within[term]) for group, (total, within) in held.items() for term, n in total.items())
+            while part := list(islice(rows, ROWS)):
+                lang, source, term, n, docs = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), *[pa.array(c, pa.int64()) for c in columns[3:]]], ["lang", "source", "term", "n", "docs"])
 
         size = 0
         for batch in batches:
@@ -70,9 +72,9 @@ def counted(docs: DataFrame) -> DataFrame:
                 within.update(own)
                 size += len(total) - before
                 if size >= HELD:
-                    yield out()
+                    yield from out()
                     size = 0
-        yield out()
+        yield from out()
 
     said = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", *GROUP)])
     return said.mapInArrow(run, "lang string, source string, term string, n long, docs long")
