@@ -25,16 +25,16 @@ def bucketed(df: DataFrame, key: str, tag: str, buckets: int = BUCKETS) -> DataF
 
 def name_index(rows: DataFrame, name: str = "player", buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with the phonetic key of a name, ``loose_key``, stored by it; rows without a key are left out."""
-    keyed = rows.withColumn("loose_key", names.keys(name)["loose"]).filter("loose_key IS NOT NULL")
+    keyed = rows.withColumn("loose_key", names.keys(name, "loose")["loose"]).filter("loose_key IS NOT NULL")
     return bucketed(keyed, "loose_key", "names", buckets)
 
 
 def find(index: DataFrame, typed: DataFrame, name: str = "typed") -> DataFrame:
     """Rows of a name index that sound like the typed names, each beside its name; nothing of the index is moved."""
-    return typed.withColumn("loose_key", names.keys(name)["loose"]).filter("loose_key IS NOT NULL").join(index, "loose_key")
+    return typed.withColumn("loose_key", names.keys(name, "loose")["loose"]).filter("loose_key IS NOT NULL").join(index, "loose_key")
 
 
 def find_one(index: DataFrame, typed: str) -> DataFrame:
     """Rows of a name index that sound like one typed name, from the one bucket that may have them."""
-    key = index.sparkSession.range(1).select(names.keys(F.lit(typed))["loose"]).first()[0]
+    key = index.sparkSession.range(1).select(names.keys(F.lit(typed), "loose")["loose"]).first()[0]
     return index.filter(F.col("loose_key") == F.lit(key))

@@ -46,7 +46,7 @@ def tier(name: str) -> dict[str, Column]:
 
 def prepared(df: DataFrame, name: str, born: str, suffix: str, keep: str) -> DataFrame:
     """(id, name, match keys); a date of birth that is none is null."""
-    k = names.keys(F.col(name))
+    k = names.keys(F.col(name), "strict", "loose")
     date = F.col(born).try_cast("date")
     return df.select(keep, F.col(name).alias(f"name_{suffix}"), k.alias("_k"), date.alias("_dob")).select(
         keep, f"name_{suffix}", F.col("_k.strict").alias("_strict"), F.col("_k.loose").alias("_loose"), "_dob", F.year("_dob").alias("_birth_year")

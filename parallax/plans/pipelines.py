@@ -202,7 +202,7 @@ class Bundle:
         playing = expr.PLAYING_TIME[self.side]
         now = timeline.latest(self.home.filter(F.col("season") == self.season), "player_register_id", F.desc_nulls_last(playing), F.asc("team_name"))
         out = now.select("player_register_id", "player", "team_name", "age", playing).join(self.seasons, "player_register_id", "left").join(self.cities, "player_register_id", "left")
-        korean, signal = names.nationality(names.keys("player")["is_korean"], F.col("birth_city"))
+        korean, signal = names.nationality(names.keys("player", "is_korean")["is_korean"], F.col("birth_city"))
         n = F.coalesce("seasons", F.lit(1)).cast("int")
         out = out.withColumns({"seasons": n, "korean": korean, "nationality_source": signal}).drop("birth_city")
         rules = expr.eligibility(F.col("seasons"), F.col("age"), F.lit(self.season), self.fa_seasons)
@@ -276,7 +276,7 @@ def load(store: Store, side: str = "batting", season: int = 2026, min_playing_ti
     cities = timeline.latest(roster, "player_register_id", F.desc("season")).select("player_register_id", "birth_city")
     posted = timeline.classify(home, any_away).filter(F.col("cohort") == timeline.POSTED)
     cohort = screen.profile(home, posted, side).join(cities, "player_register_id", "left")
-    korean, _ = names.nationality(names.keys("player")["is_korean"], F.col("birth_city"))
+    korean, _ = names.nationality(names.keys("player", "is_korean")["is_korean"], F.col("birth_city"))
     cohort = cohort.filter(korean).drop("birth_city")
     league = rates.league_rates(store.read(f"mlb_league_totals{source}", TOTALS, True), side)
     return Bundle(side, season, home, store.read(f"kbo_{side}", HOME, True), league, model.fit(rows), model.with_noise(model.bootstrap(rows, draws)), cohort, cities, train=train, **options)

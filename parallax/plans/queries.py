@@ -748,13 +748,13 @@ def loose_sql(token: str) -> str:
 @query(f"SELECT p_partkey, '|' || least(a, b) || greatest(a, b) AS strict_key FROM ({PARTS_SQL})")
 def strict_key(read: Read) -> DataFrame:
     """Part names have no surname of the table, so their keys are their sorted words."""
-    return read("part").select("p_partkey", names.keys("p_name")["strict"].alias("strict_key"))
+    return read("part").select("p_partkey", names.keys("p_name", "strict")["strict"].alias("strict_key"))
 
 
 @query(f"SELECT p_partkey, '|' || least(x, y) || greatest(x, y) AS loose_key, x AS first_token FROM (SELECT p_partkey, {loose_sql('a')} AS x, {loose_sql('b')} AS y FROM ({PARTS_SQL}))")
 def loose_key(read: Read) -> DataFrame:
     native = names.loose_token(F.split_part("p_name", F.lit(" "), F.lit(1)))
-    return read("part").select("p_partkey", names.keys("p_name")["loose"].alias("loose_key"), native.alias("first_token"))
+    return read("part").select("p_partkey", names.keys("p_name", "loose")["loose"].alias("loose_key"), native.alias("first_token"))
 
 
 @query(f"SELECT c_custkey, {SURNAME_SQL} AS surname_class FROM (SELECT c_custkey, ['lee', 'yi', 'gim', 'kwon', 'yuh', 'smith', 'chon', 'paik'][c_custkey % 8 + 1] AS t FROM customer)")

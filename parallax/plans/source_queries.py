@@ -343,13 +343,13 @@ def surname_keys(read: Read) -> DataFrame:
 @query(f"""SELECT c_custkey, place = 'Seoul, KR' OR class <> '' AS korean,
     CASE WHEN place = 'Seoul, KR' THEN 'birthplace' WHEN class <> '' AND place NOT IN ('', 'nan') THEN 'name (born abroad)' WHEN class <> '' THEN 'name' WHEN place NOT IN ('', 'nan') THEN 'birthplace' ELSE 'name' END AS source FROM {CLASSED_SQL}""")
 def nationalities(read: Read) -> DataFrame:
-    korean, source = names.nationality(names.keys("name")["is_korean"], F.nullif(F.col("place"), F.lit("")))
+    korean, source = names.nationality(names.keys("name", "is_korean")["is_korean"], F.nullif(F.col("place"), F.lit("")))
     return spelled(read).select("c_custkey", korean.alias("korean"), source.alias("source"))
 
 
 @query(f"SELECT c_custkey, class AS surname FROM {CLASSED_SQL}")
 def surname_spellings(read: Read) -> DataFrame:
-    return spelled(read).select("c_custkey", F.coalesce(names.keys("name")["surname"], F.lit("")).alias("surname"))
+    return spelled(read).select("c_custkey", F.coalesce(names.keys("name", "surname")["surname"], F.lit("")).alias("surname"))
 
 
 SYLLABLE_SQL = f"{names.INITIALS}[({{0}} // 588) + 1] || {names.MEDIALS}[({{0}} // 28) % 21 + 1] || {names.FINALS}[{{0}} % 28 + 1]"

@@ -82,7 +82,7 @@ def typed(rows: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
     if "date_of_birth" in out.columns:
         out = out.withColumn("date_of_birth", F.try_to_timestamp("date_of_birth").cast("date"))
     if "player" in out.columns:
-        out = out.withColumn("_k", names.keys("player")).withColumns({"name_clean": F.col("_k.clean"), "name_strict_key": F.col("_k.strict"), "name_loose_key": F.col("_k.loose")}).drop("_k")
+        out = out.withColumn("_k", names.keys("player", "clean", "strict", "loose")).withColumns({"name_clean": F.col("_k.clean"), "name_strict_key": F.col("_k.strict"), "name_loose_key": F.col("_k.loose")}).drop("_k")
     return out.filter("player_register_id IS NOT NULL")
 
 
