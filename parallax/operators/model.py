@@ -3,9 +3,8 @@
 Fits need only sums of weighted products by statistic (a 4 x 4 matrix each), which Spark makes with
 partial aggregation; the solves run where the sums are, many at a time. The same holds for each bootstrap draw.
 
-A draw picks as many players as there are, with replacement. Its counts are splittable: the picks of a range of
-players are split between its halves by a binomial draw whose generator is keyed by the range, down to blocks,
-and the picks of a block are numbers hashed from the block's name and a counter. So any task can make any block alone.
+A draw picks as many players as there are, with replacement. A pick is a number hashed from the draw's name and a
+counter, scaled to the players. So any task can make any block of picks alone, and a player's picks are added.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from parallax.sources.stored import stored
 MIN_PAIRS = 20
 AGE_CENTRE = 27.0
 TERMS = 4
-#: Players whose picks are made at once.
+#: Picks that are made at once.
 BLOCK = 1 << 16
 X = [f"x{i}" for i in range(TERMS)]
 UPPER = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
@@ -166,40 +165,34 @@ def blocks_of(name: tuple, n: int, block: int) -> Iterator[tuple[int, int, int]]
         todo += [(low, mid, left), (mid, high, picks - left)]
 
 
-def picked(name: tuple, low: int, size: int, picks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Players of a block and how often each was picked; the j-th pick is ``mixed(key ^ mixed(j))`` of 2^32, scaled to the block."""
-    u = mixed(np.uint64(name_key(*name, low)) ^ mixed(np.arange(picks, dtype=np.uint64)))
-    k = np.bincount(((u * np.uint64(size)) >> np.uint64(32)).astype(np.int64))
-    at = np.flatnonzero(k)
-    return low + at, k[at]
+def picked(name: tuple, low: int, size: int, picks: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Players of a block and how often each was picked; the j-th pick is ``mixed(key ^ mixed(j))`` of 2^32, scaled to the block, j from ``first`` on."""
+    u = mixed(np.uint64(name_key(*name, low)) ^ mixed(np.arange(first, first + picks, dtype=np.uint64)))
+    at, k = np.unique(((u * np.uint64(size)) >> np.uint64(32)).astype(np.int64), return_counts=True)
+    return low + at, k
+
+
+def dealt(few: DataFrame, *by: str) -> DataFrame:
+    """Few rows that each stand for much work, dealt to as many tasks as a shuffle has: adaptive plans merge no partitions of a given number."""
+    return few.repartition(int(few.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def multiplicities(players: DataFrame, draws: int, seed: int, block: int = BLOCK) -> DataFrame:
     """(stat, draw, code, k): how often each draw of each statistic of ``players`` (stat, players) picks each player.
 
-    The same however dealt. A draw's blocks, which share no work, go to different tasks.
+    The same however dealt: a draw's picks are numbered, and any ``block`` of them can be made alone.
     """
     roots = players.select("stat", F.col("players").cast("long").alias("players"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")) if draws else players.select("stat", F.col("players").cast("long").alias("players"), F.lit(0).alias("draw")).limit(0)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for stat, n, draw in zip(pdf["stat"], pdf["players"], pdf["draw"], strict=True):
-                rows = []
-                for found in blocks_of((seed, stat, draw), int(n), block):
-                    rows.append((stat, draw, *found))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["stat", "draw", "low", "size", "picks"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["stat", "draw", "low", "size", "picks"])
-
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for stat, draw, low, size, picks in zip(*(pdf[c] for c in ("stat", "draw", "low", "size", "picks")), strict=True):
-                code, k = picked((seed, stat, draw), int(low), int(size), int(picks))
+            for stat, n, draw, first in zip(*(pdf[c] for c in ("stat", "players", "draw", "first")), strict=True):
+                code, k = picked((seed, stat, draw), 0, int(n), int(min(block, n - first)), int(first))
                 yield pd.DataFrame({"stat": stat, "draw": draw, "code": code, "k": k.astype(float)})
 
-    dealt = roots.mapInPandas(split, "stat string, draw int, low long, size long, picks long").repartition("stat", "draw", "low")
-    return dealt.mapInPandas(pick, "stat string, draw int, code long, k double")
+    blocks = roots.filter("players > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1, F.lit(block).cast("long"))))
+    made = dealt(blocks, "stat", "draw", "first").mapInPandas(pick, "stat string, draw int, code long, k double")
+    return made.repartition("stat", "code").groupBy("stat", "draw", "code").agg(F.sum("k").alias("k"))  # joined by the same columns
 
 
 def bootstrap(rows: DataFrame, draws: int = 500, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:

@@ -108,6 +108,13 @@ def test_splits_and_picks_are_multinomial():
     assert abs(np.corrcoef(players[:, 0], players[:, 1])[0, 1]) < 0.15
 
 
+def test_draws_do_not_depend_on_the_size_of_blocks(spark):
+    players = spark.createDataFrame([("b", 3000)], "stat string, players long")
+    wanted = [("b", d, int(c), float(k)) for d in range(3) for c, k in zip(*model.picked((3, "b", d), 0, 3000, 3000), strict=True)]
+    for block in (64, 1000, 3000):
+        assert sorted(map(tuple, model.multiplicities(players, 3, 3, block=block).collect())) == wanted
+
+
 def test_noise_is_normal_and_shared_by_statistics(spark):
     drawn = spark.range(6000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("stat"), F.col("id").cast("int").alias("at"), F.lit(2.0).alias("sd"))
     rows = model.with_noise(drawn, 5).collect()
