@@ -206,8 +206,9 @@ def bootstrap(rows: DataFrame, draws: int = 500, seed: int = 0, drawn: DataFrame
     rows = rows.join(F.broadcast(enough.select("stat")), "stat", "left_semi")
     if drawn is None:
         drawn = multiplicities(enough, draws, seed)
-    coded = rows.join(codes(rows), ["stat", "key"])
-    found = coded.join(drawn, ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).filter(F.col("n") > TERMS)
+    # What stands for picks looks small to the planner until it is made, and must not be broadcast: n rows a draw.
+    coded = rows.join(codes(rows).hint("merge"), ["stat", "key"])
+    found = coded.join(drawn.hint("merge"), ["stat", "code"]).groupBy("stat", "draw").agg(*moments(F.col("k"))).filter(F.col("n") > TERMS)
     at = F.row_number().over(Window.partitionBy("stat").orderBy("draw")) - 1  # of the draws
     return solve(found).select("stat", "draw", at.alias("at"), *SOLVED[:TERMS], "sd")
 

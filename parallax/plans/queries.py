@@ -561,13 +561,17 @@ RESAMPLED = f"""(SELECT d.stat || ':' || m.draw AS which, d.stat, m.draw, d.key,
 def draws_by_congruence(rows: DataFrame) -> DataFrame:
     """Players that a congruence draws with replacement, in place of random numbers: (stat, draw, code, k)."""
     sizes = rows.groupBy("stat").agg(F.countDistinct("key").alias("players"))
-    slots = sizes.select("stat", "players", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1)).alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
-    return slots.groupBy("stat", F.col("draw").cast("int").alias("draw"), F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+    draws = F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))
+    blocks = sizes.withColumn("draw", F.explode(draws)).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("players") - 1, F.lit(model.BLOCK).cast("long"))))
+    own = F.sequence("first", F.least(F.col("first") + model.BLOCK, F.col("players")) - 1)
+    slots = model.dealt(blocks, "stat", "draw", "first").withColumn("slot", F.explode(own))
+    picks = slots.select("stat", F.col("draw").cast("int").alias("draw"), F.expr("(draw * 1103515245 + slot * 12345 + draw * slot * 7919) % players").alias("code"))
+    return picks.repartition("stat", "code").groupBy("stat", "draw", "code").agg(F.count(F.lit(1)).cast("double").alias("k"))
 
 
 @query(f"SELECT split_part(which, ':', 1) AS stat, split_part(which, ':', 2)::INT AS draw, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(b3, 5) AS b3, round(sd, 5) AS sd FROM {fit_sql(RESAMPLED, 'which')}")
 def bootstrap_refits(read: Read) -> DataFrame:
-    rows = model.design(crossings(read), STATS)
+    rows = stored(model.design(crossings(read), STATS), "design")
     return rounded(model.bootstrap(rows, DRAWS, drawn=draws_by_congruence(rows)).drop("at"), 5, "b0", "b1", "b2", "b3", "sd")
 
 

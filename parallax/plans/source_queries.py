@@ -17,7 +17,7 @@ from parallax.plans import pipelines
 from parallax.plans import queries as base
 from parallax.plans.queries import DRAWS, FITS, RATE_SQL, RESAMPLED, SEASONS, SIDES, SPANS, STATS, SUMMED, TIERED, Read, check, cohorts, crossings, fit_sql, linked, long, loose_sql, n_rows, query, rounded, season_rows
 from parallax.sources import html, pagecache, records, tables, urls
-from parallax.sources.stored import new_path
+from parallax.sources.stored import new_path, stored
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 
@@ -472,7 +472,7 @@ NOISY = f"(SELECT split_part(which, ':', 1) AS stat, split_part(which, ':', 2)::
 
 
 def noisy(read: Read) -> DataFrame:
-    rows = model.design(crossings(read), STATS)
+    rows = stored(model.design(crossings(read), STATS), "design")
     drawn = model.bootstrap(rows, DRAWS, drawn=base.draws_by_congruence(rows))
     return drawn.withColumn("noise", F.col("sd") * ((F.col("draw") * 37) % 11 - 5) / 5.0)
 

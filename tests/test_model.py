@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parallax.operators import evaluate, model, screen
+from parallax.plans.queries import DRAWS, draws_by_congruence
 
 SCHEMA = "player_register_id string, player string, direction string, kbo_season int, mlb_season int, gap_years int, kbo_rel_k_pct double, mlb_rel_k_pct double, kbo_age double, kbo_PA double, mlb_PA double, cohort string"
 
@@ -115,6 +118,21 @@ def test_draws_do_not_depend_on_the_size_of_blocks(spark):
         assert sorted(map(tuple, model.multiplicities(players, 3, 3, block=block).collect())) == wanted
 
 
+def test_picks_are_not_broadcast(spark):
+    rows = model.design(pairs(spark, n=60), ["k_pct"])
+    few = spark.createDataFrame([("k_pct", 0, 1, 2.0)], "stat string, draw int, code long, k double")
+    for drawn in (None, few, draws_by_congruence(rows)):
+        plan = model.bootstrap(rows, 3, drawn=drawn)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin .*code", plan) and not re.search(r"BroadcastHashJoin .*code", plan)
+
+
+def test_picks_of_one_statistic_are_dealt(spark):
+    sizes = spark.createDataFrame([("a", i) for i in range(model.BLOCK + 10)], "stat string, key int").coalesce(1)
+    assert draws_by_congruence(sizes).agg(F.sum("k")).first()[0] == DRAWS * (model.BLOCK + 10)
+    players = spark.createDataFrame([("a", 2000)], "stat string, players long")
+    assert model.dealt(players.select(F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i")), "i").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_noise_is_normal_and_shared_by_statistics(spark):
     drawn = spark.range(6000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("stat"), F.col("id").cast("int").alias("at"), F.lit(2.0).alias("sd"))
     rows = model.with_noise(drawn, 5).collect()
