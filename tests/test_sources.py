@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,25 @@ def test_rate_limiter_keeps_to_the_minute():
     for _ in range(4):
         limiter.wait()
     assert now[0] == 60.0
+
+
+def test_plain_markup_reads_as_the_parser_reads_it(monkeypatch):
+    """Random pieces of markup, well formed or not, through both ways."""
+    pieces = ["<table>", '<table id="t">', '<table class="x" id="u">', "</table>", "<thead>", "</thead>", "<tbody>", "<tfoot>", "</tfoot>", "<tr>", '<tr class="thead">', "</tr>", "<td>", '<td data-stat="a">', '<th data-stat="b">', "</td>", "</th>",
+              '<td data-stat="c">1,0</td>', '<td data-stat=""> x </td>', '<td data-stat="d"><a href="/p?id=1">\xa0N </a></td>', '<th data-stat="e"><a href="">M</th>', '<td data-stat="f">g</a></td>', '<a href="/q">', "</a>", " text ", "\xa0", "a > b",
+              "<!-- <table id=\"c\"><tr><td data-stat=\"a\">1</td></tr></table> -->", "<!-- - -->", "<!---->", "<!-->", "--", "&amp;", "&nbsp", "<br/>", "<TD>", "<script>", "</script>", "<p class='y'>", "<title>", "</div id=\"x\">", "<", "<td data-stat=\"h\" csk=\"2\">", "<div>"]
+    rng, plain = random.Random(3), 0
+    for i in range(6000):
+        kinds = pieces if i % 3 == 0 else [p for p in pieces if html.PLAIN.fullmatch(p)]
+        text = '<table id="t"><tr>' * (i % 2) + "".join(rng.choices(kinds, k=rng.randrange(1, 14)))
+        plain += html._Tables().read_plain(text)
+        got = html.tables_of(text), html.tables_of(text, "t")
+        with monkeypatch.context() as m:
+            m.setattr(html._Tables, "read_plain", lambda self, text: False)
+            assert got == (html.tables_of(text), html.tables_of(text, "t")), text
+    assert plain > 3000
+
+
+def test_pages_of_queries_are_plain(spark):
+    page = '<table id="s"><thead><tr><th data-stat="player">Player</th></tr></thead><tbody>' + '<tr><td data-stat="PA">1,000</td></tr>' * 3 + "</tbody></table>"
+    assert html._Tables().read_plain(page) and html._Tables().read_plain(f"<!-- <div>{page}</div> -->") and len(html.tables_of(page)[0][1]) == 3
