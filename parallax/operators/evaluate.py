@@ -36,9 +36,7 @@ def holdout(pairs: DataFrame, side: str, cohort: str = POSTED, stats: list[str]
     age = F.coalesce(F.col(f"{a}_age").cast("double"), F.lit(model.AGE_CENTRE)) if f"{a}_age" in pairs.columns else F.lit(model.AGE_CENTRE)
     cases = test.select(F.col("player"), key, F.col(f"{a}_season"), F.col(f"{b}_season"), age.alias("age"), each.alias("s"))
     cases = cases.select("player", key, f"{a}_season", f"{b}_season", "age", "s.*").filter((F.col("rate") > 0) & F.col("actual").isNotNull() & ~F.isnan("actual"))
-    cases = cases.join(fits, "stat").withColumn("case", F.xxhash64(key, f"{a}_season", f"{b}_season", "stat", "rate", "age"))
-    said = model.intervals(cases.select("case", "stat", "rate", "age").distinct(), drawn, "case")
-    out = cases.join(said.drop("stat"), "case", "left")
+    out = model.with_intervals(cases.join(F.broadcast(fits), "stat"), drawn)  # fits: a row for each statistic
     inside = F.when(F.col("n_draws").isNotNull(), F.col("actual").between(F.col("p10"), F.col("p90")))
     third = lambda c: F.bround(c, 3)
     return out.select(
@@ -78,11 +76,11 @@ def project(rows: DataFrame, drawn: DataFrame, league: DataFrame, side: str, sta
     stats = [s for s in stats if f"rel_{s}" in rows.columns]
     means = kept.groupBy(key).agg(F.max_by("age", F.col("season")).cast("double").alias("age"), *[weighted_mean(F.col(f"rel_{s}").cast("double"), F.col("_w")).alias(s) for s in stats])
     cases = means.select(key, "age", F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("rate")) for s in stats])).alias("s")).select(key, "age", "s.*").filter("rate > 0")
-    cases = cases.withColumn("age", F.coalesce("age", F.lit(model.AGE_CENTRE))).withColumn("case", F.xxhash64(key, "stat"))
-    said = model.intervals(cases, drawn, "case").drop("stat")
+    cases = cases.withColumn("age", F.coalesce("age", F.lit(model.AGE_CENTRE)))
+    said = model.with_intervals(cases, drawn).filter("n_draws IS NOT NULL")
     newest = league.agg(*[F.max_by(f"lg_{s}", F.col("season")).alias(s) for s in stats])
     rates = newest.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("lg")) for s in stats])).alias("l")).select("l.*")
-    out = cases.join(said, "case").join(rates, "stat")
+    out = said.join(F.broadcast(rates), "stat")  # rates: a row for each statistic
     return out.select(
         key, "stat", "age", F.bround("rate", 3).alias("kbo_relative"), F.bround("point", 3).alias("proj_mlb_relative"), F.bround("p10", 3).alias("p10_relative"), F.bround("p90", 3).alias("p90_relative"),
         F.bround("lg", 4).alias("mlb_league_rate"), *[F.bround(F.col(c) * F.col("lg"), 4).alias(n) for c, n in (("point", "proj_mlb_rate"), ("p10", "p10_rate"), ("p90", "p90_rate"))],

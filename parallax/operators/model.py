@@ -231,15 +231,35 @@ def with_noise(drawn: DataFrame, seed: int = 0) -> DataFrame:
 LEVELS = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def intervals(cases: DataFrame, drawn: DataFrame, case: str, rate: str = "rate", age: str = "age") -> DataFrame:
-    """(case, stat, point, p10, p25, p50, p75, p90, n_draws) of ``cases`` (case, stat, rate, age), forward.
+def with_intervals(cases: DataFrame, drawn: DataFrame, rate: str = "rate", age: str = "age") -> DataFrame:
+    """``cases`` (stat, rate, age, others) with point, p10, p25, p50, p75, p90 and n_draws, forward; null where a statistic has no draws.
 
-    Covers the uncertainty of the fit and the residual spread; point is exp of the mean draw.
+    Covers the uncertainty of the fit and the residual spread; point is exp of the mean draw. A statistic's draws are an
+    array beside each of its cases, so that cases are neither moved nor multiplied.
     """
-    centre = F.col("b0") + F.col("b1") * F.log(rate) + F.col("b2") * (F.col(age) - AGE_CENTRE) / 10 + F.col("b3")
-    sampled = cases.filter(F.col(rate) > 0).join(drawn, "stat").withColumns({"_c": centre, "_s": F.exp(centre + F.col("noise"))})
-    out = sampled.groupBy(case, "stat").agg(F.exp(F.avg("_c")).alias("point"), F.percentile("_s", F.array(*map(F.lit, LEVELS))).alias("_p"), F.count(F.lit(1)).alias("n_draws"))
-    return out.select(case, "stat", "point", *[F.get("_p", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(LEVELS)], "n_draws")
+    one = [F.col(f"b{i}") for i in range(TERMS)] + [F.col("noise")]
+    beside = drawn.groupBy("stat").agg(F.sort_array(F.collect_list(F.struct(*one))).alias("_d"))
+
+    def centre(d: Column) -> Column:
+        return d["b0"] + d["b1"] * F.log(rate) + d["b2"] * (F.col(age) - AGE_CENTRE) / 10 + d["b3"]
+
+    def known(of) -> Column:
+        return F.filter(F.transform("_d", of), lambda x: x.isNotNull())
+
+    def level(q: float) -> Column:  # as ``percentile`` does
+        at = F.lit(q) * (F.size("_s") - 1)
+        low, high = F.get("_s", F.floor(at).cast("int")), F.get("_s", F.ceil(at).cast("int"))
+        return F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    sampled = cases.join(F.broadcast(beside), "stat", "left").withColumns({"_c": known(centre), "_s": F.array_sort(known(lambda d: F.exp(centre(d) + d["noise"])))})  # beside: a row for each statistic
+    point = F.exp(F.aggregate("_c", F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size("_c"), F.lit(0)))
+    return sampled.withColumns({"point": point, **{f"p{round(q * 100)}": level(q) for q in LEVELS}, "n_draws": F.when(F.col("_d").isNotNull(), F.size("_d")).cast("long")}).drop("_d", "_c", "_s")
+
+
+def intervals(cases: DataFrame, drawn: DataFrame, case: str, rate: str = "rate", age: str = "age") -> DataFrame:
+    """(case, stat, point, p10, p25, p50, p75, p90, n_draws) of ``cases`` (case, stat, rate, age), each once, with draws."""
+    said = with_intervals(cases.filter(F.col(rate) > 0), drawn, rate, age).filter("n_draws IS NOT NULL")
+    return said.select(case, "stat", "point", *[f"p{round(q * 100)}" for q in LEVELS], "n_draws")
 
 
 def inversion(rows: DataFrame) -> DataFrame:

@@ -133,6 +133,15 @@ def test_picks_of_one_statistic_are_dealt(spark):
     assert model.dealt(players.select(F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i")), "i").select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_cases_of_intervals_stay_where_they_are(spark):
+    drawn = spark.createDataFrame([("a", 0.1, 1.0, 0.0, 0.0, 0.1), ("a", None, 1.0, 0.0, 0.0, 0.0), ("a", 0.3, 1.0, 0.0, 0.0, -0.1)], "stat string, b0 double, b1 double, b2 double, b3 double, noise double")
+    cases = spark.createDataFrame([(1, "a", 2.0, 27.0), (2, "b", 1.0, 27.0), (3, "a", 0.0, 27.0)], "case int, stat string, rate double, age double")
+    out = model.intervals(cases, drawn, "case")
+    assert "hashpartitioning(case" not in out._jdf.queryExecution().executedPlan().toString()
+    (r,) = out.collect()
+    assert (r["case"], r["n_draws"]) == (1, 3) and r["point"] == pytest.approx(2 * np.exp(0.2)) and r["p10"] == pytest.approx(2 * np.exp(0.2)) == r["p90"]
+
+
 def test_noise_is_normal_and_shared_by_statistics(spark):
     drawn = spark.range(6000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("stat"), F.col("id").cast("int").alias("at"), F.lit(2.0).alias("sd"))
     rows = model.with_noise(drawn, 5).collect()
