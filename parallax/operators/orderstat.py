@@ -18,6 +18,8 @@ from parallax.sources.stored import stored
 
 #: Rows of a span that one task may sort; splitters of a span (a power of two, less one) and how exact their sketch is.
 FEW = 1 << 16
+#: Rows that a task sorts to number them.
+TASK_ROWS = 500_000
 SPLITTERS, ACCURACY = 255, 2048
 #: Rows of spans that are broadcast to the values, of at most 100 bytes each, and what their rows are repeated by beyond.
 BROADCAST_ROWS, SALTS = 50_000, 32
@@ -77,15 +79,23 @@ def order_statistics(values: DataFrame, sizes: DataFrame, wanted: DataFrame, few
     # Groups that are small as a whole are numbered by themselves; the rows of others stay where they are, if these can be broadcast.
     rest = values.join(F.broadcast(hot), "g", "left_anti") if 0 < n_large <= BROADCAST_ROWS else values
     ranks = every.filter(F.col("n") <= few).select("g").join(wanted, "g").groupBy("g").agg(F.collect_list("rank").alias("ranks"))
-    found.append(numbered(rest.join(ranks, "g"), ["g"], F.lit(0)))
+    n_rest = every.filter(F.col("n") <= few).agg(F.sum("n")).first()[0] or 0
+    # Both are dealt by the number of rows, else the join deals them anew; it hashes the ranks, a row for each group.
+    rest, ranks = (by_rows(df, n_rest, "g") for df in (rest, ranks))
+    found.append(numbered(rest.join(ranks.hint("shuffle_hash"), "g"), ["g"], F.lit(0)))
     if small:
         spans = stored(reduce(DataFrame.unionByName, small).join(wanted.groupBy("g").agg(F.collect_list("rank").alias("ranks")), "g"), "spans")
-        n = spans.count()
+        n, rows = spans.agg(F.count(F.lit(1)), F.sum("n")).first()
         if n:
-            found.append(numbered(with_spans(values, spans, n), ["g", "first"], F.col("first")))
+            found.append(numbered(by_rows(with_spans(values, spans.drop("n"), n), rows, "g", "first"), ["g", "first"], F.col("first")))
     return reduce(DataFrame.unionByName, found)
 
 
+def by_rows(values: DataFrame, n: int, *by: str) -> DataFrame:
+    """``values``, of which n are sorted, dealt to as many tasks as keeps a sort small."""
+    return values.repartition(-(-n // TASK_ROWS), *by) if n > TASK_ROWS else values
+
+
 def numbered(values: DataFrame, by: list[str], first: Column) -> DataFrame:
     """(g, rank, value) of few values in order, from ``first`` on, where ``ranks`` has the rank."""
     place = first + F.row_number().over(Window.partitionBy(*by).orderBy("v")) - 1

@@ -1,6 +1,7 @@
 """Exact quantiles against ``percentile``, with spans so small that every pass is met."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,11 @@ def test_no_aggregate_holds_a_groups_values(spark):
     out = orderstat.quantiles(table(spark, 2000), "v", [0.5], ["g"], 10)
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in text and "collect_list(v" not in text
+
+
+def test_rows_that_are_sorted_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(orderstat, "TASK_ROWS", 100)
+    df = table(spark, 1000)
+    out = orderstat.quantiles(df, "v", LEVELS, ["g", "h"])
+    assert re.search(r", 10\), REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r)[:-1]: pytest.approx(r["q"], nan_ok=True) for r in out.collect()} == wanted(df, ["g", "h"])
